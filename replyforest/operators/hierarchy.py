@@ -7,11 +7,11 @@ level is a column, so no plan grows with the depth of the forest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import strip_prefix
-from replyforest.session import stage
+from replyforest.session import small_side, stage
 
 # What a pointer rests on: a post, a comment still to be climbed, or an id with several parents.
 POST, OPEN, HELD = "post", "open", "held"
@@ -38,20 +38,19 @@ def _links(posts: DataFrame, comments: DataFrame) -> DataFrame:
     ``parent_id`` to ``last_parent`` spans the parents of a comment; they differ only
     for an id that was dumped more than once with different parents.
     """
-    answers = stripped(comments).select("id", "parent_id").where(F.col("parent_id").isNotNull())
     absent = F.lit(None).cast("string")
-    occurrences = (
-        posts.where(F.col("id").isNotNull())
-        .select("id", absent.alias("parent_id"), F.lit(True).alias("is_post"), F.lit(False).alias("is_parent"))
-        .unionByName(answers.select("id", "parent_id", F.lit(False).alias("is_post"), F.lit(False).alias("is_parent")))
-        .unionByName(
-            answers.select(
-                F.col("parent_id").alias("id"),
-                absent.alias("parent_id"),
-                F.lit(False).alias("is_post"),
-                F.lit(True).alias("is_parent"),
-            )
+
+    def occurrence(id_: Column, parent: Column, is_post: bool, is_parent: bool) -> Column:
+        return F.struct(
+            id_.alias("id"), parent.alias("parent_id"), F.lit(is_post).alias("is_post"), F.lit(is_parent).alias("is_parent")
         )
+
+    child, parent = F.col("id"), F.col("parent_id")
+    answers = stripped(comments).select("id", "parent_id").where(parent.isNotNull())
+    occurrences = answers.select(
+        F.inline(F.array(occurrence(child, parent, False, False), occurrence(parent, absent, False, True)))
+    ).unionByName(
+        posts.where(child.isNotNull()).select(F.inline(F.array(occurrence(child, absent, True, False))))
     )
     return occurrences.groupBy("id").agg(
         F.min("parent_id").alias("parent_id"),
@@ -87,10 +86,10 @@ def _climb(below: DataFrame, targets: DataFrame) -> DataFrame:
 def _settle_options(options: DataFrame) -> DataFrame:
     """Places the ids that have several parents: the shallowest place wins.
 
-    Ties go to the smaller path.  Options may hang on one another, so places are
+    Ties go to the smaller path, then to the smaller post.  Options may hang on one another, so places are
     improved until they no longer change; every round is a join on the ids concerned.
     """
-    rank = F.struct(F.size("path"), F.col("path"))
+    rank = F.struct(F.size("path"), F.col("path"), F.col("pointer"))
 
     def best_of(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id").agg(F.min_by(F.struct("pointer", "path"), rank).alias("place")).select("id", "place.*")
@@ -241,8 +240,8 @@ def cascade_prune(nodes: DataFrame, level: int) -> DataFrame:
     if "connected" not in nodes.columns:
         nodes = nodes.withColumn("connected", F.lit(True))
     cut = nodes.where(F.col("lvl") == level)
-    ancestors = cut.select(F.explode(F.slice("path", 1, level)).alias("id")).distinct()
-    cut_tops = cut.select("ctp_id", F.lit(True).alias("top_cut")).distinct()
+    ancestors = small_side(cut.select(F.explode(F.slice("path", 1, level)).alias("id")).distinct())
+    cut_tops = small_side(cut.select("ctp_id", F.lit(True).alias("top_cut")).distinct())
     return (
         nodes.where(F.col("lvl") < level)
         .join(ancestors, "id", "left_anti")

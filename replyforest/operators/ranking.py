@@ -44,6 +44,15 @@ def last_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return first_rows(df, n, *[F.col(name).desc() for name in order])
 
 
-def row_at(df: DataFrame, offset: int, *order: Column | str) -> DataFrame:
-    """The row at a 0-based offset."""
-    return numbered(df, *order).where(F.col("position") == offset).drop("position")
+def rows_at(df: DataFrame, picks: DataFrame, key: str) -> DataFrame:
+    """The rows whose place in the order of a unique ``key`` is in ``picks(position, ...)``.
+
+    Only the key is put in order; the rows are fetched by it.
+    """
+    places = numbered(df.select(key), key).join(F.broadcast(picks), "position").drop("position")
+    return df.join(F.broadcast(places), key)
+
+
+def row_at(df: DataFrame, offset: int, key: str) -> DataFrame:
+    """The row at a 0-based offset in the order of a unique ``key``."""
+    return rows_at(df, df.sparkSession.createDataFrame([(offset,)], "position bigint"), key)

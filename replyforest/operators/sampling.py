@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import comment_withdrawn, post_withdrawn
 from replyforest.operators.hierarchy import stripped
-from replyforest.operators.ranking import numbered
+from replyforest.operators.ranking import rows_at
 from replyforest.operators.threads import members
 from replyforest.schemas import level_name
 
@@ -22,11 +22,10 @@ def seeded_offset(seed: int, rows: int) -> int:
 def at_offsets(threads: DataFrame, picks: list[tuple[int, int]]) -> DataFrame:
     """Threads at ``(pick, offset)`` in order of the top-level comment; offsets may repeat.
 
-    The picks are as many as the caller asks for, however large the table is.
+    For tables with one thread per top-level comment.  The picks are as many as the
+    caller asks for, however large the table is.
     """
-    spark = threads.sparkSession
-    wanted = spark.createDataFrame(picks, "pick bigint, position bigint")
-    return numbered(threads, "ctp_id").join(F.broadcast(wanted), "position").drop("position")
+    return rows_at(threads, threads.sparkSession.createDataFrame(picks, "pick bigint, position bigint"), "ctp_id")
 
 
 def random_thread(threads: DataFrame, seed: int) -> DataFrame | None:

@@ -119,12 +119,20 @@ def level_widths(nodes: DataFrame) -> DataFrame:
 
 
 def lookup_shapes(posts: DataFrame, widths: DataFrame) -> DataFrame:
-    """Per post: number of levels and widest level, 0 without comments."""
-    per_post = widths.groupBy("posts").agg(F.count("*").alias("levels"), F.max("width").alias("widest"))
+    """Per post: number of levels, widest level (0 without comments) and the width of each level."""
+    per_post = widths.groupBy("posts").agg(
+        F.count("*").alias("levels"), F.max("width").alias("widest"), F.collect_list("width").alias("widths")
+    )
     return (
-        posts.select(F.col("id").alias("posts"))
+        posts.select(F.col("id").alias("posts"), "subreddit")
         .join(per_post, "posts", "left")
-        .select("posts", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("widest", F.lit(0)).alias("widest"))
+        .select(
+            "posts",
+            "subreddit",
+            F.coalesce("levels", F.lit(0)).alias("levels"),
+            F.coalesce("widest", F.lit(0)).alias("widest"),
+            F.coalesce("widths", F.array().cast("array<bigint>")).alias("widths"),
+        )
     )
 
 
@@ -181,7 +189,10 @@ def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
     depth = depth_from_lengths(segmented, ["segment"], levels)
     lengths = thread_lengths(depth, ["segment"])
     communities = segmented.groupBy("segment", "subreddit").agg(F.count("*").alias("value")).where(F.col("subreddit").isNotNull())
-    places = numbered(communities, "segment", F.col("value").desc(), "subreddit")
+    placed = numbered(communities, "segment", F.col("value").desc(), "subreddit")
+    # One row per segment.
+    starts = F.broadcast(placed.groupBy("segment").agg(F.min("position").alias("start")))
+    places = placed.join(starts, "segment").withColumn("position", F.col("position") - F.col("start"))
     seg = F.col("segment")
     return (
         _as_histogram(numbers, F.col("stat"), seg, F.col("number"), F.col("number"), F.col("value"))
@@ -195,27 +206,24 @@ def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
     )
 
 
-def lookup_histograms(posts: DataFrame, nodes: DataFrame, communities: list[str] | None = None) -> DataFrame:
-    """Histograms of the lookup, of all posts or of each of the communities."""
-    widths = level_widths(nodes)
-    shapes = lookup_shapes(posts, widths)
-    if communities is None:
-        segment: Column = F.lit("lookup_table")
-    else:
-        chosen = posts.where(F.col("subreddit").isin(*communities)).select(F.col("id").alias("posts"), "subreddit")
-        widths, shapes = widths.join(chosen, "posts"), shapes.join(chosen, "posts")
-        segment = F.concat("subreddit", F.lit("_lookup"))
-    per_post = shapes.select(
-        segment.alias("segment"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("thread_lengths").alias("stat"), F.col("levels").alias("number")),
-                F.struct(F.lit("thread_widths").alias("stat"), F.col("widest").alias("number")),
-            )
-        ).alias("entry"),
-    ).select("segment", "entry.*")
-    per_level = widths.select(segment.alias("segment"), F.lit("all_widths").alias("stat"), F.col("width").alias("number"))
-    counted = per_post.unionByName(per_level).groupBy("segment", "stat", "number").agg(F.count("*").alias("value"))
+def lookup_histograms(posts: DataFrame, nodes: DataFrame, communities: list[str]) -> DataFrame:
+    """Histograms of the lookup, of all posts and of each of the communities, in one pass."""
+
+    def entry(stat: str, number: Column) -> Column:
+        return F.named_struct(F.lit("stat"), F.lit(stat), F.lit("number"), number)
+
+    community = F.when(F.col("subreddit").isin(*communities), F.concat("subreddit", F.lit("_lookup")))
+    entries = F.concat(
+        F.array(entry("thread_lengths", F.col("levels")), entry("thread_widths", F.col("widest"))),
+        F.transform("widths", lambda width: entry("all_widths", width)),
+    )
+    counted = (
+        lookup_shapes(posts, level_widths(nodes))
+        .select(F.explode(F.array_compact(F.array(F.lit("lookup_table"), community))).alias("segment"), entries.alias("entries"))
+        .select("segment", F.inline("entries"))
+        .groupBy("segment", "stat", "number")
+        .agg(F.count("*").alias("value"))
+    )
     return _as_histogram(counted, F.col("stat"), F.col("segment"), F.col("number"), F.col("number"), F.col("value"))
 
 
@@ -324,10 +332,8 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def value_percent(rows: DataFrame, column: str) -> DataFrame:
     """Share of each value in percent, nulls left out."""
-    counts = value_counts(rows, column)
-    total = rows.agg(F.count(column).alias("total"))
-    # The total is a single row.
-    return counts.join(F.broadcast(total)).select("value", (F.col("count") / F.col("total") * 100).alias("percent"))
+    total = rows.agg(F.count(column)).scalar()
+    return value_counts(rows, column).select("value", (F.col("count") / total * 100).alias("percent"))
 
 
 def distinct_row_count(rows: DataFrame) -> DataFrame:

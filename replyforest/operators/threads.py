@@ -14,6 +14,7 @@ from replyforest.functions.expressions import (
 )
 from replyforest.operators.hierarchy import stripped
 from replyforest.schemas import level_name
+from replyforest.session import small_side
 
 
 def connected(nodes: DataFrame) -> DataFrame:
@@ -38,9 +39,10 @@ def longest_threads(threads: DataFrame, seed: int | None = None) -> DataFrame:
     than one row per task.
     """
     tie = F.element_at("path", -1) if seed is None else F.rand(seed)
-    rank = F.struct(F.size("path").alias("length"), tie.alias("tie"))
+    rank = F.struct(F.size("path"), F.col("tie"))
     return (
         threads.where(F.col("ctp_id").isNotNull())
+        .withColumn("tie", tie)
         .groupBy("ctp_id")
         .agg(F.max_by(F.struct("posts", "path"), rank).alias("longest"))
         .select("longest.posts", "ctp_id", "longest.path")
@@ -147,7 +149,7 @@ def lookup_long(nodes: DataFrame, max_ids: int = 100_000) -> DataFrame:
     of the id, so no array and no task has to hold a whole hot post.
     """
     nodes = connected(nodes)
-    crowded = (
+    crowded = small_side(
         nodes.groupBy("root_id", "lvl")
         .agg(F.count("*").alias("width"))
         .where(F.col("width") > max_ids)

@@ -34,25 +34,20 @@ class Study:
     label_quartiles: DataFrame
 
 
-def segmented(corpus: Corpus, settings: Settings) -> DataFrame:
-    """Clean threads tagged with their segments; the names of the top communities pass the driver."""
+def top_communities(corpus: Corpus, n: int) -> list[str]:
+    """Names of the communities with the most clean threads."""
     sizes = corpus.clean.groupBy("subreddit").agg(F.count("*").alias("number_of_posts"))
     known = sizes.where(F.col("subreddit").isNotNull())
-    communities = [row.subreddit for row in stats.top_communities(known, settings.top_n).collect()]
-    return filters.segments(corpus.facts, communities, settings.author_counts, settings.viral)
+    return [row.subreddit for row in stats.top_communities(known, n).collect()]
 
 
 def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Histograms of all segments and of the lookups, and the list of segments by family."""
-    tagged = segmented(corpus, settings)
+    communities = top_communities(corpus, settings.top_n)
+    tagged = filters.segments(corpus.facts, communities, settings.author_counts, settings.viral)
     families = tagged.select("family", "segment").distinct()
-    communities = [
-        row.segment.removesuffix("_threads") for row in families.where(F.col("family") == "subreddits").collect()
-    ]
-    histograms = (
-        stats.segment_histograms(tagged, corpus.levels)
-        .unionByName(stats.lookup_histograms(corpus.posts, corpus.nodes))
-        .unionByName(stats.lookup_histograms(corpus.posts, corpus.nodes, communities))
+    histograms = stats.segment_histograms(tagged, corpus.levels).unionByName(
+        stats.lookup_histograms(corpus.posts, corpus.nodes, communities)
     )
     return stage(histograms, "histograms"), stage(families, "families")
 

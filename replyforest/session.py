@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "replyforest", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,3 +61,12 @@ def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Narrow join side of keys, broadcast when it was counted to be small.
+
+    A larger one is left to a shuffled join.
+    """
+    staged = stage(df, "side")
+    return F.broadcast(staged) if staged.count() <= max_rows else staged

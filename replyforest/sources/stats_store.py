@@ -11,9 +11,13 @@ CHUNK = 4096  # entries of a histogram in one JSON line
 
 
 def save(stats: DataFrame, path: str) -> None:
-    """Replaces the histograms that ``stats`` holds and leaves all others."""
+    """Replaces the histograms that ``stats`` holds and leaves all others.
+
+    Rebalancing gathers small histograms in one file each and splits large ones.
+    """
     (
         stats.select("ord", "key", "value", "stat", "segment")
+        .hint("rebalance", F.col("stat"), F.col("segment"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("stat", "segment")
