@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import strip_prefix
-from replyforest.session import small_side, stage
+from replyforest.session import passing_folder, small_side, stage, stage_and_count
 
 # What a pointer rests on: a post, a comment still to be climbed, or an id with several parents.
 POST, OPEN, HELD = "post", "open", "held"
@@ -83,44 +83,51 @@ def _climb(below: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _settle_options(options: DataFrame) -> DataFrame:
+def _settle_options(options: DataFrame, folder: str) -> DataFrame:
     """Places the ids that have several parents: the shallowest place wins.
 
-    Ties go to the smaller path, then to the smaller post.  Options may hang on one another, so places are
-    improved until they no longer change; every round is a join on the ids concerned.
+    Ties go to the smaller path, then to the smaller post.  Options may hang on one
+    another, so places are improved until they no longer change; every round is a join
+    on the ids concerned.
     """
     rank = F.struct(F.size("path"), F.col("path"), F.col("pointer"))
 
     def best_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id").agg(F.min_by(F.struct("pointer", "path"), rank).alias("place")).select("id", "place.*")
+        best = rows.groupBy("id").agg(F.min_by(F.struct("pointer", "path"), rank).alias("place"))
+        return stage(best.select("id", "place.*"), "options", folder=folder)
 
     def fingerprint(rows: DataFrame):
         return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "pointer", "path"))).first()
 
     rooted = options.where(F.col("status") == POST).select("id", "pointer", "path")
     hanging = options.where(F.col("status") == HELD).select("id", F.col("pointer").alias("anchor"), F.col("path").alias("below"))
-    best = stage(best_of(rooted), "options")
+    best = best_of(rooted)
     mark = fingerprint(best)
     while True:
         moved = hanging.join(best.withColumnRenamed("id", "anchor"), "anchor").select(
             "id", "pointer", F.concat("path", "below").alias("path")
         )
-        best = stage(best_of(rooted.unionByName(moved)), "options")
+        best = best_of(rooted.unionByName(moved))
         previous, mark = mark, fingerprint(best)
         if mark == previous:
             return best
 
 
 def unroll(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Every comment that hangs, directly or not, under a post.
+    """Every comment that hangs, directly or not, under a post; staged.
 
     Pointers are doubled: after round r a comment knows its ancestors up to distance
     2^r, so the number of rounds grows with the logarithm of the depth.  A comment whose
     parent id is both a post and a comment answers the post.  Comments in a cycle, or
     under a parent that is not there, never attach.
     """
-    links = stage(_links(posts, comments), "links")
+    with passing_folder(comments.sparkSession, "unroll") as folder:
+        return stage(_attach(posts, comments, folder), "nodes")
+
+
+def _attach(posts: DataFrame, comments: DataFrame, folder: str) -> DataFrame:
     several = F.col("parent_id") != F.col("last_parent")
+    links, ambiguous_ids = stage_and_count(_links(posts, comments), "links", several, folder=folder)
     is_comment = F.col("parent_id").isNotNull()
     empty_path = F.array().cast("array<string>")
 
@@ -137,21 +144,19 @@ def unroll(posts: DataFrame, comments: DataFrame) -> DataFrame:
         (F.col("is_parent") & ~F.col("is_post")).alias("is_target"),
         F.lit(False).alias("is_option"),
     )
-    ambiguous = links.where(several).select("id")
-    has_ambiguous = not ambiguous.isEmpty()
-    if has_ambiguous:
-        below = below.unionByName(_options(comments, ambiguous))
+    if ambiguous_ids:
+        below = below.unionByName(_options(comments, links.where(several).select("id")))
 
     fixed = targets.where(F.col("status") != OPEN)
     pieces: list[DataFrame] = []
     open_rows = -1
     while True:
-        step = stage(_climb(below, targets), "climb", partition_by="status")
-        pieces.append(step.where(F.col("status") != OPEN))
-        below = step.where(F.col("status") == OPEN)
+        is_open, open_before = F.col("status") == OPEN, open_rows
+        step, open_rows = stage_and_count(_climb(below, targets), "climb", is_open, "status", folder)
+        pieces.append(step.where(~is_open))
+        below = step.where(is_open)
         # Each round takes every comment nearer than the doubled distance off the open
         # ones, so a round that takes none leaves only cycles and what hangs on them.
-        open_before, open_rows = open_rows, below.count()
         if open_rows in (0, open_before):
             break
         targets = fixed
@@ -162,8 +167,8 @@ def unroll(posts: DataFrame, comments: DataFrame) -> DataFrame:
     for piece in pieces[1:]:
         attached = attached.unionByName(piece)
     placed = attached.where((F.col("status") == POST) & ~F.col("is_option")).select("id", "pointer", "path")
-    if has_ambiguous:
-        best = _settle_options(attached.where("is_option"))
+    if ambiguous_ids:
+        best = _settle_options(attached.where("is_option"), folder)
         on_best = (
             attached.where((F.col("status") == HELD) & ~F.col("is_option"))
             .select("id", F.col("pointer").alias("anchor"), F.col("path").alias("below"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforest.session import stage
+from replyforest.session import stage, stage_and_count
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 TOP_LIMIT = 100_000
@@ -32,6 +32,22 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     )
 
 
+def numbered_within(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """``df`` with its 0-based ``position`` inside each of a few groups.
+
+    Groups that were counted to be small are sorted as windows; else all rows are put
+    in one distributed order and each group's start is taken off.
+    """
+    staged, rows = stage_and_count(df, "groups")
+    if rows <= TOP_LIMIT:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint") - 1
+        return staged.withColumn("position", place)
+    placed = numbered(staged, by, *order)
+    # One row per group.
+    starts = F.broadcast(placed.groupBy(by).agg(F.min("position").alias("_first")))
+    return placed.join(starts, by).withColumn("position", F.col("position") - F.col("_first")).drop("_first")
+
+
 def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows in the given order; a large ``n`` is cut by position."""
     if n <= TOP_LIMIT:

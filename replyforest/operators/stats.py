@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import name_of_level
-from replyforest.operators.ranking import first_rows, numbered
+from replyforest.operators.ranking import first_rows, numbered_within
 from replyforest.operators.threads import connected
+from replyforest.session import stage
 
 EPSILON = 1e-4  # fixed value in the denominator of the weighted average
 BLOCK = 4096  # keys of a histogram that are accumulated in one go
@@ -41,39 +42,37 @@ def depth_distribution(threads: DataFrame) -> DataFrame:
     )
 
 
-def depth_from_lengths(segmented: DataFrame, by: list[str], levels: int) -> DataFrame:
-    """``depth_distribution`` of tables with one thread per top-level comment.
+def depth_from_lengths(lengths: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
+    """``depth_distribution`` per segment, of tables with one thread per top-level comment.
 
     There every comment id occurs once, so a level has as many ids as threads reach it;
-    only the posts need a distinct count.  Levels down to ``levels`` that a segment does
-    not reach count 0.
+    only the posts need a distinct count.  ``lengths`` has one row per segment and
+    length, ``roots`` the number of posts per segment.  Levels down to ``levels`` that a
+    segment does not reach count 0.
     """
-    lengths = segmented.groupBy(*by, "length").agg(F.count("*").alias("threads"))
-    # One row per segment and length from here on.
-    up = Window.partitionBy(*by).orderBy("length")
-    down = Window.partitionBy(*by).orderBy(F.col("length").desc())
-    reach = (
-        lengths.withColumn("row_count", F.sum("threads").over(down))
-        .withColumn("from", F.coalesce(F.lag("length").over(up), F.lit(0)) + 1)
-        .select(*by, "row_count", F.explode(F.sequence("from", "length")).alias("ord"))
+    up = Window.partitionBy("segment").orderBy("length")
+    down = Window.partitionBy("segment").orderBy(F.col("length").desc())
+    steps = lengths.select(
+        "segment",
+        F.sum("threads").over(down).alias("row_count"),
+        (F.coalesce(F.lag("length").over(up), F.lit(0)) + 1).alias("first"),
+        F.col("length").alias("last"),
+        F.max("length").over(Window.partitionBy("segment")).alias("deepest"),
     )
-    unreached = (
-        lengths.groupBy(*by)
-        .agg(F.max("length").alias("deepest"))
-        .where(F.col("deepest") < levels)
-        .select(*by, F.explode(F.sequence(F.col("deepest") + 1, F.lit(levels).cast("bigint"))).alias("ord"))
-        .withColumn("row_count", F.lit(0).cast("bigint"))
-    )
-    roots = (
-        segmented.groupBy(*by)
-        .agg(F.count_distinct("posts").alias("row_count"))
-        .withColumn("ord", F.lit(0).cast("bigint"))
-    )
-    return (
-        roots.unionByName(reach)
-        .unionByName(unreached)
-        .withColumn("conversation_length", name_of_level(F.col("ord") - 1))
+    # What lies below the deepest level hangs on its row.
+    unreached = F.when(
+        (F.col("last") == F.col("deepest")) & (F.col("deepest") < levels),
+        F.struct(F.lit(0).cast("bigint").alias("row_count"), (F.col("deepest") + 1).alias("first"), F.lit(levels).cast("bigint").alias("last")),
     )
+    reached = F.struct("row_count", "first", "last")
+    spans = steps.select("segment", F.explode(F.array_compact(F.array(reached, unreached))).alias("span")).select("segment", "span.*")
+    below = spans.select("segment", "row_count", F.explode(F.sequence("first", "last")).alias("ord"))
+    posts = roots.select("segment", "row_count", F.lit(0).cast("bigint").alias("ord"))
+    return posts.unionByName(below).withColumn("conversation_length", name_of_level(F.col("ord") - 1))
+
+
+def segment_roots(segmented: DataFrame) -> DataFrame:
+    return segmented.groupBy("segment").agg(F.count_distinct("posts").alias("row_count"))
 
 
 def thread_lengths(depth: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -166,43 +165,48 @@ def _as_histogram(rows: DataFrame, stat: Column, segment: Column, ord_: Column,
     )
 
 
-def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
-    """All histograms of all segments from one pass over the tagged threads.
+def segment_counts(segmented: DataFrame) -> DataFrame:
+    """Threads per segment, statistic and value, of all statistics in one aggregation."""
 
-    Numbers are counted together in one aggregation; the levels follow from the
-    lengths, and the communities need their place by count.
-    """
-    numbers = (
-        segmented.select(
-            "segment",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("thread_score_distribution").alias("stat"), F.col("total_score").alias("number")),
-                    F.struct(F.lit("author_distribution").alias("stat"), F.col("authors").alias("number")),
-                    F.struct(F.lit("number_of_threads").alias("stat"), F.lit(0).cast("bigint").alias("number")),
-                )
-            ).alias("entry"),
-        )
-        .groupBy("segment", "entry.stat", "entry.number")
+    def entry(stat: str, number: Column, label: Column) -> Column:
+        return F.struct(F.lit(stat).alias("stat"), number.cast("bigint").alias("number"), label.cast("string").alias("label"))
+
+    nothing = F.lit(None)
+    entries = F.array(
+        entry("thread_score_distribution", F.col("total_score"), nothing),
+        entry("author_distribution", F.col("authors"), nothing),
+        entry("number_of_threads", F.lit(0), nothing),
+        entry("length", F.col("length"), nothing),
+        entry("subreddit_distribution", nothing, F.col("subreddit")),
+    )
+    return (
+        segmented.select("segment", F.inline(entries))
+        .groupBy("segment", "stat", "number", "label")
         .agg(F.count("*").alias("value"))
     )
-    depth = depth_from_lengths(segmented, ["segment"], levels)
-    lengths = thread_lengths(depth, ["segment"])
-    communities = segmented.groupBy("segment", "subreddit").agg(F.count("*").alias("value")).where(F.col("subreddit").isNotNull())
-    placed = numbered(communities, "segment", F.col("value").desc(), "subreddit")
-    # One row per segment.
-    starts = F.broadcast(placed.groupBy("segment").agg(F.min("position").alias("start")))
-    places = placed.join(starts, "segment").withColumn("position", F.col("position") - F.col("start"))
-    seg = F.col("segment")
+
+
+def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
+    """All histograms of all segments.
+
+    The tagged threads are read twice, once for all counts and once for the distinct
+    posts; the rest works on the counts.
+    """
+    counts = stage(segment_counts(segmented), "counts")
+    stat, seg, value = F.col("stat"), F.col("segment"), F.col("value")
+    numbers = counts.where(~stat.isin("length", "subreddit_distribution"))
+    lengths = counts.where(stat == "length").select("segment", F.col("number").alias("length"), value.alias("threads"))
+    depth = depth_from_lengths(lengths, segment_roots(segmented), levels)
+    differences = thread_lengths(depth, ["segment"])
+    labels = counts.where((stat == "subreddit_distribution") & F.col("label").isNotNull()).select("segment", "label", "value")
+    places = numbered_within(labels, "segment", value.desc(), "label")
     return (
-        _as_histogram(numbers, F.col("stat"), seg, F.col("number"), F.col("number"), F.col("value"))
+        _as_histogram(numbers, stat, seg, F.col("number"), F.col("number"), value)
         .unionByName(
             _as_histogram(depth, F.lit("depth_distribution"), seg, F.col("ord"), F.col("conversation_length"), F.col("row_count"))
         )
-        .unionByName(_as_histogram(lengths, F.lit("thread_lengths"), seg, F.col("length"), F.col("length"), F.col("threads")))
-        .unionByName(
-            _as_histogram(places, F.lit("subreddit_distribution"), seg, F.col("position"), F.col("subreddit"), F.col("value"))
-        )
+        .unionByName(_as_histogram(differences, F.lit("thread_lengths"), seg, F.col("length"), F.col("length"), F.col("threads")))
+        .unionByName(_as_histogram(places, F.lit("subreddit_distribution"), seg, F.col("position"), F.col("label"), value))
     )
 
 

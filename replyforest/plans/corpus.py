@@ -27,7 +27,7 @@ class Corpus:
         """All attached comments."""
         if self._nodes is not None:
             return self._nodes
-        return stage(hierarchy.unroll(self.posts, self.comments), "nodes")
+        return hierarchy.unroll(self.posts, self.comments)
 
     @cached_property
     def levels(self) -> int:

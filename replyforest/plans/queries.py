@@ -595,8 +595,9 @@ def depth_distribution_all_threads(spark, sf_dir):
 @query
 def thread_lengths(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    depth = stats.depth_from_lengths(c.clean.withColumn("segment", F.lit("threads")), ["segment"], c.levels)
-    return stats.thread_lengths(depth, ["segment"])
+    rows = c.clean.withColumn("segment", F.lit("threads"))
+    lengths = rows.groupBy("segment", "length").agg(F.count("*").alias("threads"))
+    return stats.thread_lengths(stats.depth_from_lengths(lengths, stats.segment_roots(rows), c.levels), ["segment"])
 
 
 @query

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,27 +48,62 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_dir(spark)}/replyforest/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/replyforest/{name}-{uuid.uuid4().hex}"
+    """A new path for this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this application wrote."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def passing_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for steps between two tables, deleted at the end."""
+    folder = scratch_path(spark, name)
+    try:
+        yield folder
+    finally:
+        remove(spark, folder)
+
+
+def stage(df: DataFrame, name: str = "table", partition_by: str | None = None, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage without losing it to an executor, keeps column pruning and
     gives adaptive execution real sizes.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_and_count(
+    df: DataFrame, name: str, condition: Column | None = None, partition_by: str | None = None, folder: str | None = None
+) -> tuple[DataFrame, int]:
+    """As ``stage``, with the number of rows that meet ``condition``, counted while they are written."""
+    seen = Observation()
+    counted = F.count(F.lit(1) if condition is None else F.when(condition, F.lit(1)))
+    staged = stage(df.observe(seen, counted.alias("rows")), name, partition_by, folder)
+    rows = seen.get.get("rows")
+    if rows is None:
+        rows = (staged if condition is None else staged.where(condition)).count()
+    return staged, rows
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Narrow join side of keys, broadcast when it was counted to be small.
 
     A larger one is left to a shuffled join.
     """
-    staged = stage(df, "side")
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    staged, rows = stage_and_count(df, "side")
+    return F.broadcast(staged) if rows <= max_rows else staged

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,6 @@ def ingest_after_id(spark: SparkSession, path: str, fields: list[str], resume_id
 
 def append_csv(records: DataFrame, path: str) -> int:
     """Appends records to a CSV folder, each file with its header; returns how many."""
-    from pyspark.sql import Observation
-
     seen = Observation()
     observed = records.observe(seen, F.count(F.lit(1)).alias("rows"))
     observed.write.mode("append").option("header", True).option("escape", '"').csv(path)

@@ -143,6 +143,14 @@ def test_positions(spark):
     assert [r.k for r in ranking.last_rows(rows, 2, "k").collect()] == ["k04999", "k04998"]
 
 
+def test_positions_within_groups(spark, monkeypatch):
+    rows = spark.range(300).select((F.col("id") % 3).alias("g"), F.format_string("k%03d", F.pmod(F.col("id") * 7, F.lit(300))).alias("k"))
+    small = sorted(tuple(r) for r in ranking.numbered_within(rows, "g", F.col("k").desc()).select("g", "k", "position").collect())
+    monkeypatch.setattr(ranking, "TOP_LIMIT", 10)
+    large = sorted(tuple(r) for r in ranking.numbered_within(rows, "g", F.col("k").desc()).select("g", "k", "position").collect())
+    assert small == large and max(p for _, _, p in small) == 99
+
+
 def test_large_head_is_cut_by_position(spark, monkeypatch):
     monkeypatch.setattr(ranking, "TOP_LIMIT", 10)
     assert sorted(r.id for r in ranking.first_rows(spark.range(100), 30, "id").collect()) == list(range(30))
