@@ -1,0 +1,119 @@
+"""Records of CSV files whose quoted text holds line breaks, read in splits.
+
+The built-in reader takes such a file as a whole, in one task.  Here the lines are read
+in splits, and a line starts a record when an even number of quotes lies before it in
+the file.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from replyforest.session import small_side, stage
+
+SPLIT = ["file", "split"]
+RUNNING = "value string, file string, split bigint, row bigint, quotes bigint, odd boolean, even_lines bigint, odd_lines bigint"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("bigint").alias("quotes"),
+    )
+
+
+def _running_totals():
+    """The step that runs along the lines of a task.
+
+    Made inside a function, so that it travels to the executors by value and they need
+    no copy of this package.
+    """
+
+    def run_along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds, within each split: whether the quotes before a line are odd, and how many lines
+        up to it came after an even and after an odd number.
+
+        The lines of a split arrive in order; the totals are carried from batch to batch.
+        """
+        at, totals = None, np.zeros(3, dtype=np.int64)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            file = table["file"].combine_chunks()
+            split = table["split"].to_numpy()
+            new_file = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new_file | (split[1:] != split[:-1])) + 1).tolist(), len(split)]
+            quotes = table["quotes"].to_numpy()
+            odd = np.empty(len(split), dtype=bool)
+            lines = np.empty((2, len(split)), dtype=np.int64)
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                place = (file[begin].as_py(), int(split[begin]))
+                if place != at:
+                    at, totals = place, np.zeros(3, dtype=np.int64)
+                part = quotes[begin:end]
+                odd[begin:end] = (totals[0] + np.cumsum(part) - part) % 2 == 1
+                lines[0, begin:end] = totals[1] + np.cumsum(~odd[begin:end])
+                lines[1, begin:end] = totals[2] + np.cumsum(odd[begin:end])
+                totals = np.array([totals[0] + part.sum(), lines[0, end - 1], lines[1, end - 1]])
+            columns = [("odd", odd), ("even_lines", lines[0]), ("odd_lines", lines[1])]
+            for name, values in columns:
+                table = table.append_column(name, pa.array(values))
+            yield from table.combine_chunks().to_batches()
+
+    return run_along
+
+
+def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """One row per record, its text in ``value``; each file's header is left out.
+
+    The first pass counts the quotes of every split, the second reads on with the parity
+    that holds at its beginning.  Only records of several lines are gathered, first
+    inside a split, then the pieces that cross a border.
+    """
+    # One row per split from here on.
+    totals = stage(_lines(spark, path).groupBy(*SPLIT).agg(F.sum("quotes").alias("quotes")), "splits")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    entry = totals.select(*SPLIT, (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    lines = _lines(spark, path).mapInArrow(_running_totals(), RUNNING).join(small_side(entry), SPLIT)
+
+    lines = lines.withColumn("starts", F.col("odd") == F.col("inside")).withColumn(
+        "record", F.when(F.col("inside"), F.col("odd_lines")).otherwise(F.col("even_lines"))
+    )
+    if header:
+        lines = lines.where(~((F.col("split") == 0) & (F.col("record") == 1)))
+    whole = F.col("starts") & (F.col("quotes") % 2 == 0)
+    single = lines.where(whole & (F.trim("value") != "")).select("value")
+
+    def joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        texts = F.transform(F.sort_array(F.collect_list(F.struct(order, "value"))), lambda one: one["value"])
+        return rows.groupBy(*keys).agg(F.array_join(texts, "\n").alias("value"))
+
+    # Lines of longer records, and the rest of a split that lies inside one.
+    pieces = stage(joined(lines.where(~whole), [*SPLIT, "record"], "row"), "pieces")
+    last = pieces.where(F.col("record") > 0).groupBy(*SPLIT).agg(F.max("record").alias("last"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    origin = F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("split").alias("origin"), F.col("last").alias("origin_record"))), True)
+    origins = totals.select(*SPLIT).join(last, SPLIT, "left").select(*SPLIT, origin.over(earlier).alias("from")).select(*SPLIT, "from.*")
+    head = pieces.where(F.col("record") > 0).withColumn("piece", F.col("split"))
+    rest = (
+        pieces.where(F.col("record") == 0)
+        .join(origins, SPLIT)
+        .select("file", F.col("origin").alias("split"), F.col("origin_record").alias("record"), "value", F.col("split").alias("piece"))
+    )
+    several = joined(head.unionByName(rest), [*SPLIT, "record"], "piece").select("value")
+    return single.unionByName(several).select(F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Size of the largest file; lists the files without reading them."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0

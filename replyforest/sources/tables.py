@@ -9,24 +9,32 @@ from pyspark.sql import types as T
 from replyforest.functions.expressions import typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
 from replyforest.sources.jsonl import BAD
+from replyforest.sources.quoted import largest_file, records
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+SPLIT_ABOVE = 256 * 1024 * 1024  # the built-in reader takes a file up to this size in one task
 
 
-def csv_text(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, split_above: int, **options: str) -> DataFrame:
+    """Rows of CSV files; files larger than ``split_above`` are read in splits."""
+    options = {**CSV_OPTIONS, **options}
+    if largest_file(spark, path) <= split_above:
+        return spark.read.schema(schema).options(**options).csv(path)
+    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    del options["header"]
+    return records(spark, path).select(F.from_csv("value", fields, options).alias("row")).select("row.*")
+
+
+def csv_text(spark: SparkSession, path: str, fields: list[str], split_above: int = SPLIT_ABOVE) -> DataFrame:
     """All columns of a CSV with header as text; only empty fields are null."""
-    return spark.read.schema(text_schema(fields)).options(**CSV_OPTIONS).csv(path)
+    return _csv_rows(spark, path, text_schema(fields), split_above)
 
 
-def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Short rows are padded with nulls; rows that are too long or of a wrong type are dropped."""
     schema = text_schema(fields).add(T.StructField(BAD, T.StringType()))
-    rows = (
-        spark.read.schema(schema)
-        .options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
-        .csv(path)
-    )
+    rows = _csv_rows(spark, path, schema, split_above, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
     # Both kinds of wrong length are flagged; only a row that is too long fills its last column.
     keep = F.col(BAD).isNull() | F.col(fields[-1]).isNull()
     for name in fields:
@@ -49,9 +57,10 @@ def load_comments(spark: SparkSession, path: str, fields: list[str]) -> DataFram
 
 def csv_head(spark: SparkSession, path: str, fields: list[str], n: int) -> DataFrame:
     """The first ``n`` rows, files in order of their names; no more is read than that needs."""
+    reader = spark.read.schema(text_schema(fields)).options(**CSV_OPTIONS)
     rows: list = []
-    for file in sorted(csv_text(spark, path, fields).inputFiles()):
-        rows += csv_text(spark, file, fields).take(n - len(rows))
+    for file in sorted(reader.csv(path).inputFiles()):
+        rows += reader.csv(file).take(n - len(rows))
         if len(rows) >= n:
             break
     return spark.createDataFrame(rows, text_schema(fields))

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 
@@ -99,6 +101,32 @@ def test_tolerant_csv(spark, tmp_path):
     assert sorted(r.id for r in tables.csv_tolerant_scan(spark, path, COMMENT_FIELDS).select("id").collect()) == ["a", "b", "e", "f"]
 
 
+def test_csv_in_splits_gives_the_same_rows(spark, tmp_path, many_splits):
+    rng = random.Random(5)
+    parts = ["a", 'b "q" ', "\n", "\n\n", ",", '""', "x\r\ny", '"']
+    for number in range(2):
+        path = tmp_path / "c" / f"{number}.csv"
+        path.parent.mkdir(exist_ok=True)
+        with open(path, "w", newline="", encoding="utf-8") as file:
+            rows = csv.writer(file, lineterminator="\n")
+            rows.writerow(COMMENT_FIELDS)
+            for i in range(300):
+                body = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+                rows.writerow([f"{number}_{i}", body, rng.choice(["1", "", "many"]), "me", "t3_p"])
+            file.write("s1,short\nl1,b,1,me,t3_p,more,yet\n\n" + f'end{number},"no\nnewline after this",1,me,t3_p')
+    path = str(tmp_path / "c")
+    for read in (tables.csv_text, tables.csv_tolerant_scan):
+        whole, split = ([tuple(map(repr, r)) for r in read(spark, path, COMMENT_FIELDS, limit).collect()] for limit in (1 << 40, 0))
+        assert len(whole) > 300 and sorted(whole) == sorted(split)
+
+
+def test_one_record_over_many_splits(spark, tmp_path, many_splits):
+    body = "\n".join(f"line {i}" for i in range(400))
+    path = write(tmp_path / "c.csv", f'id,body\na,x\nb,"{body}"\nc,"two\nlines"\n')
+    rows = {r.id: r.body for r in tables.csv_text(spark, path, ["id", "body"], 0).collect()}
+    assert rows == {"a": "x", "b": body, "c": "two\nlines"}
+
+
 def test_strict_csv_fails_on_a_bad_score(spark, tmp_path):
     good = write(tmp_path / "good.csv", "id,body,score,author,parent_id\na,x,7,me,t3_p\n")
     assert tables.load_comments(spark, good, COMMENT_FIELDS).first().score == 7
