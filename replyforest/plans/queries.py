@@ -13,7 +13,7 @@ from replyforest.operators import explore, filters, hierarchy, ranking, sampling
 from replyforest.plans import study
 from replyforest.plans.corpus import Corpus
 from replyforest.schemas import COMMENT_FIELDS, POST_FIELDS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, level_name
-from replyforest.session import scratch_path, stage
+from replyforest.session import exists, mark, scratch_path
 from replyforest.sources import exports, jsonl, tables
 from replyforest.sources import stats_store as store
 from replyforest.streaming import ingest
@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 LEVELS = 10  # id columns of the wide tables shown here; deeper forests keep them in the path
 
-_corpora: dict[tuple, object] = {}
+_corpora: dict[tuple, tuple[str, object]] = {}
 
 
 def query(function: Query) -> Query:
@@ -31,11 +31,12 @@ def query(function: Query) -> Query:
 
 
 def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]):
-    """Tables are built once per session, as a database would keep them."""
+    """Tables are built once per session, as a database would keep them, and again if
+    the shared folder was cleared."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _corpora:
-        _corpora[key] = make()
-    return _corpora[key]
+    if key not in _corpora or not exists(spark, _corpora[key][0]):
+        _corpora[key] = (mark(spark), make())
+    return _corpora[key][1]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

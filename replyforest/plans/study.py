@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyforest.operators import filters, stats
+from replyforest.operators.ranking import first_rows
 from replyforest.plans.corpus import Corpus
 from replyforest.session import stage
 
@@ -16,6 +17,7 @@ from replyforest.session import stage
 class Settings:
     """Fixed values of the study, open to change."""
 
+    max_posts: int | None = None
     min_rows: int = 100
     min_ratio: float = 0.05
     viral: int = filters.VIRAL_SCORE
@@ -54,6 +56,8 @@ def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataF
 
 def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings()) -> Study:
     """Attach, cut twice, choose threads, and count, average and rank each segment."""
+    if settings.max_posts is not None:
+        posts = first_rows(posts, settings.max_posts, "id")
     corpus = Corpus(posts, comments).cut_short_levels(settings.min_rows).cut_sparse_levels(settings.min_ratio)
     histograms, families = all_histograms(corpus, settings)
     ranked = histograms.where(F.col("stat") != "number_of_threads")

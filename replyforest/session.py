@@ -58,11 +58,28 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def mark(spark: SparkSession) -> str:
+    """An empty folder that shows whether what was staged around it is still there."""
+    path = scratch_path(spark, "mark")
+    files, folder = _folder(spark, path)
+    files.mkdirs(folder)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this application wrote."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
 
 
 @contextmanager

@@ -25,14 +25,25 @@ def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     return spark.createDataFrame([(line,) for line in lines], "value string")
 
 
-def jsonl_head(spark: SparkSession, path: str, fields: list[str], n: int = 1000) -> DataFrame:
+def field_names(lines: DataFrame) -> list[str]:
+    """Names of all fields that occur, in the order in which records hold them.
+
+    One row per name comes back; a dump has a few dozen.
+    """
+    keys = lines.select(F.posexplode(F.json_object_keys("value")).alias("place", "name"))
+    return [row.name for row in keys.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]
+
+
+def jsonl_head(spark: SparkSession, path: str, fields: list[str] | None = None, n: int = 1000) -> DataFrame:
     """The first ``n`` records; a missing field is null, a malformed line raises.
 
-    Values stay text, nested objects stay JSON text.
+    Values stay text, nested objects stay JSON text.  Without ``fields`` all are taken.
     """
+    lines = first_lines(spark, path, n)
+    fields = fields or field_names(lines)
     record = F.from_json("value", text_schema(fields), {"mode": "FAILFAST"})
     whole = F.when(F.trim("value") == "", F.raise_error(F.lit("empty line in JSONL"))).otherwise(record)
-    return first_lines(spark, path, n).select(whole.alias("record")).select("record.*")
+    return lines.select(whole.alias("record")).select("record.*")
 
 
 def parse_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
@@ -50,12 +61,15 @@ def parse_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
-def jsonl_columns(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """All records of a dump, chosen fields as text; malformed lines are skipped."""
-    return parse_lines(spark.read.text(path), fields)
+def jsonl_columns(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """All records of a dump, chosen fields (or all) as text; malformed lines are skipped."""
+    lines = spark.read.text(path)
+    return parse_lines(lines, fields or field_names(lines))
 
 
-def ingest_after_id(spark: SparkSession, path: str, fields: list[str], resume_id: str | None = None) -> DataFrame:
+def ingest_after_id(
+    spark: SparkSession, path: str, fields: list[str] | None = None, resume_id: str | None = None
+) -> DataFrame:
     """Records that follow the first one with ``resume_id``; later copies of it are left out too.
 
     Places are compared by file, split and row, so the files stay spread over the tasks.
@@ -69,6 +83,7 @@ def ingest_after_id(spark: SparkSession, path: str, fields: list[str], resume_id
             F.monotonically_increasing_id().alias("row"),
         ).alias("place"),
     )
+    fields = fields or field_names(lines)
     wanted = fields if "id" in fields else [*fields, "id"]
     records = parse_lines(lines, wanted)
     if resume_id is not None:

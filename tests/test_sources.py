@@ -48,6 +48,12 @@ def test_columns_skip_malformed_lines(spark, tmp_path):
     assert sorted(r.id for r in jsonl.jsonl_columns(spark, path, FIELDS).collect()) == ["a", "b"]
 
 
+def test_all_fields_without_a_choice(spark, tmp_path):
+    path = write(tmp_path / "d.jsonl", lines(GOOD, SHORT, {"id": "c", "archived": True}, "broken"))
+    assert jsonl.jsonl_columns(spark, path).columns == ["id", "archived", "score", "author", "media", "extra"]
+    assert jsonl.jsonl_head(spark, path, n=2).columns == ["id", "score", "author", "media", "extra"]
+
+
 @pytest.fixture
 def many_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")

@@ -211,5 +211,25 @@ def test_study_runs_on_small_input(spark):
     assert averages["thread_lengths", "threads"] == pytest.approx((-5 * 0 + 2 * 1 + 4 * 2) / (6 + 1e-4))
 
 
+def test_tables_are_built_again_after_the_folder_was_cleared(spark, monkeypatch):
+    from replyforest.plans import queries
+    from replyforest.session import exists, remove
+
+    built = []
+    monkeypatch.setattr(queries, "_corpora", {})
+    for expected in (1, 1, 2):
+        if expected == 2:
+            remove(spark, queries._corpora[next(iter(queries._corpora))][0])
+        queries._once("kind", spark, "folder", lambda: built.append(1))
+        assert len(built) == expected
+    assert exists(spark, shared_dir(spark))
+
+
+def test_study_of_the_first_posts(spark):
+    posts = posts_frame(spark, ["p", "q"])
+    result = study.run(posts, comments_frame(spark, [("a", "p"), ("b", "q")]), study.Settings(max_posts=1, min_rows=1))
+    assert [r.id for r in result.corpus.nodes.collect()] == ["a"]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
