@@ -113,19 +113,35 @@ def _settle_options(options: DataFrame, folder: str) -> DataFrame:
             return best
 
 
-def unroll(posts: DataFrame, comments: DataFrame) -> DataFrame:
+def unroll(posts: DataFrame, comments: DataFrame, min_rows: int | None = None) -> DataFrame:
     """Every comment that hangs, directly or not, under a post; staged.
 
     Pointers are doubled: after round r a comment knows its ancestors up to distance
     2^r, so the number of rounds grows with the logarithm of the depth.  A comment whose
     parent id is both a post and a comment answers the post.  Comments in a cycle, or
     under a parent that is not there, never attach.
+
+    With ``min_rows`` climbing ends once a level that ``first_short_level`` would find is
+    known, as nothing below it is wanted: levels down to that one are whole, deeper ones
+    need not be.  That keeps a few endless chains from growing endless paths.
     """
     with passing_folder(comments.sparkSession, "unroll") as folder:
-        return stage(_attach(posts, comments, folder), "nodes")
+        return stage(_attach(posts, comments, min_rows, folder), "nodes")
+
 
+def _short_level_known(pieces: list[DataFrame], min_rows: int) -> bool:
+    """Whether a level that is whole by now has fewer than ``min_rows`` comments.
 
-def _attach(posts: DataFrame, comments: DataFrame, folder: str) -> DataFrame:
+    After r rounds all levels below 2^r - 1 are whole.
+    """
+    rows = pieces[0]
+    for piece in pieces[1:]:
+        rows = rows.unionByName(piece)
+    counts = rows.groupBy((F.size("path") - 1).cast("bigint").alias("lvl")).agg(F.count("*").alias("row_count"))
+    return first_short_level(counts, min_rows) < 2 ** len(pieces) - 1
+
+
+def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder: str) -> DataFrame:
     several = F.col("parent_id") != F.col("last_parent")
     links, ambiguous_ids = stage_and_count(_links(posts, comments), "links", several, folder=folder)
     is_comment = F.col("parent_id").isNotNull()
@@ -159,6 +175,9 @@ def _attach(posts: DataFrame, comments: DataFrame, folder: str) -> DataFrame:
         # ones, so a round that takes none leaves only cycles and what hangs on them.
         if open_rows in (0, open_before):
             break
+        # With ids that have several parents the levels are known only in the end.
+        if min_rows and not ambiguous_ids and len(pieces) > 1 and _short_level_known(pieces, min_rows):
+            break
         targets = fixed
         for piece in (*pieces, below):
             targets = targets.unionByName(piece.where("is_target").select("id", "pointer", "path", "status"))

@@ -443,7 +443,8 @@ def unroll_levels_chains(spark, sf_dir):
 
 @query
 def unroll_levels_min_rows(spark, sf_dir):
-    cut = corpus(spark, sf_dir).cut_short_levels()
+    posts, comments = fixtures.forest(spark, sf_dir)
+    cut = Corpus(posts, comments, hierarchy.unroll(posts, comments, min_rows=100)).cut_short_levels(100)
     return cut.nodes.select("id", "parent_id", "root_id", "ctp_id", "lvl", "connected")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyforest.operators import filters, stats
+from replyforest.operators import filters, hierarchy, stats
 from replyforest.operators.ranking import first_rows
 from replyforest.plans.corpus import Corpus
 from replyforest.session import stage
@@ -58,7 +58,8 @@ def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings())
     """Attach, cut twice, choose threads, and count, average and rank each segment."""
     if settings.max_posts is not None:
         posts = first_rows(posts, settings.max_posts, "id")
-    corpus = Corpus(posts, comments).cut_short_levels(settings.min_rows).cut_sparse_levels(settings.min_ratio)
+    nodes = hierarchy.unroll(posts, comments, settings.min_rows)
+    corpus = Corpus(posts, comments, nodes).cut_short_levels(settings.min_rows).cut_sparse_levels(settings.min_ratio)
     histograms, families = all_histograms(corpus, settings)
     ranked = histograms.where(F.col("stat") != "number_of_threads")
     return Study(

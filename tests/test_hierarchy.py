@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +65,24 @@ def test_deep_chain_needs_few_rounds(spark):
     assert len(found["c0299"][1]) == 300
 
 
+@pytest.mark.parametrize("min_rows", [1, 2, 4, 30])
+def test_climbing_ends_at_a_short_level(spark, min_rows):
+    """Chains of very different length: the cut is the same, the longest is not followed to its end."""
+    links = []
+    for chain, length in enumerate([200, 200, 9, 9, 5, 3] + [2] * 30):
+        links += [(f"c{chain}_{i}", f"c{chain}_{i - 1}" if i else "p") for i in range(length)]
+    posts, comments = posts_frame(spark, ["p"]), comments_frame(spark, links)
+    whole, part = hierarchy.unroll(posts, comments), hierarchy.unroll(posts, comments, min_rows)
+
+    def cut(nodes):
+        level = hierarchy.first_short_level(hierarchy.level_counts(nodes), min_rows)
+        return level, sorted((r.id, r.connected) for r in hierarchy.cascade_prune(nodes, level).collect())
+
+    assert cut(whole) == cut(part)
+    if min_rows > 2:
+        assert part.agg(F.max("lvl")).first()[0] < 40
+
+
 names = st.sampled_from([f"n{i}" for i in range(9)])
 
 
