@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import strip_prefix
-from replyforest.session import passing_folder, small_side, stage, stage_and_count
+from replyforest.session import SMALL_ROWS, passing_folder, stage, stage_and_count
 
 # What a pointer rests on: a post, a comment still to be climbed, or an id with several parents.
 POST, OPEN, HELD = "post", "open", "held"
@@ -263,9 +263,12 @@ def cascade_prune(nodes: DataFrame, level: int) -> DataFrame:
     """
     if "connected" not in nodes.columns:
         nodes = nodes.withColumn("connected", F.lit(True))
-    cut = nodes.where(F.col("lvl") == level)
-    ancestors = small_side(cut.select(F.explode(F.slice("path", 1, level)).alias("id")).distinct())
-    cut_tops = small_side(cut.select("ctp_id", F.lit(True).alias("top_cut")).distinct())
+    on_level = nodes.where(F.col("lvl") == level).select("ctp_id", F.slice("path", 1, level).alias("ancestors"))
+    cut, rows = stage_and_count(on_level, "cut")
+    ancestors = cut.select(F.explode("ancestors").alias("id")).distinct()
+    cut_tops = cut.select("ctp_id", F.lit(True).alias("top_cut")).distinct()
+    if rows * level <= SMALL_ROWS:
+        ancestors, cut_tops = F.broadcast(ancestors), F.broadcast(cut_tops)
     return (
         nodes.where(F.col("lvl") < level)
         .join(ancestors, "id", "left_anti")

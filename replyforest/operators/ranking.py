@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforest.session import stage, stage_and_count
+from replyforest.session import SMALL_ROWS, stage
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
-TOP_LIMIT = 100_000
 
 
-def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, rows: int | None = None) -> DataFrame:
     """``df`` with its 0-based ``position`` in the given order.
 
     Rows are range-partitioned and sorted where they are; only the row counts of the
-    partitions come together, one number per partition.
+    partitions come together, one number per partition.  A table that was counted to be
+    small is numbered in one window.
     """
+    everything = Window.partitionBy(F.lit(0))
+    if rows is not None and rows <= SMALL_ROWS:
+        return df.withColumn("position", F.row_number().over(everything.orderBy(*order)).cast("bigint") - 1)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stage(ranged.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    staged = stage(ranged.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     partition = F.shiftright("_row", ROW_BITS)
-    sizes = rows.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_size"))
+    before = everything.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_partition", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     return (
-        rows.withColumn("_partition", partition)
+        staged.withColumn("_partition", partition)
         # One row per shuffle partition, so the broadcast side does not grow with the data.
         .join(F.broadcast(starts), "_partition")
         .withColumn("position", F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
@@ -32,17 +35,9 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     )
 
 
-def numbered_within(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
-    """``df`` with its 0-based ``position`` inside each of a few groups.
-
-    Groups that were counted to be small are sorted as windows; else all rows are put
-    in one distributed order and each group's start is taken off.
-    """
-    staged, rows = stage_and_count(df, "groups")
-    if rows <= TOP_LIMIT:
-        place = F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint") - 1
-        return staged.withColumn("position", place)
-    placed = numbered(staged, by, *order)
+def numbered_within(df: DataFrame, rows: int, by: str, *order: Column | str) -> DataFrame:
+    """``df`` of ``rows`` rows with its 0-based ``position`` inside each of a few groups."""
+    placed = numbered(df, by, *order, rows=rows)
     # One row per group.
     starts = F.broadcast(placed.groupBy(by).agg(F.min("position").alias("_first")))
     return placed.join(starts, by).withColumn("position", F.col("position") - F.col("_first")).drop("_first")
@@ -50,7 +45,7 @@ def numbered_within(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
 
 def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows in the given order; a large ``n`` is cut by position."""
-    if n <= TOP_LIMIT:
+    if n <= SMALL_ROWS:
         return df.orderBy(*order).limit(n)
     return numbered(df, *order).where(F.col("position") < n).drop("position")
 
@@ -60,15 +55,15 @@ def last_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return first_rows(df, n, *[F.col(name).desc() for name in order])
 
 
-def rows_at(df: DataFrame, picks: DataFrame, key: str) -> DataFrame:
+def rows_at(df: DataFrame, picks: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """The rows whose place in the order of a unique ``key`` is in ``picks(position, ...)``.
 
     Only the key is put in order; the rows are fetched by it.
     """
-    places = numbered(df.select(key), key).join(F.broadcast(picks), "position").drop("position")
+    places = numbered(df.select(key), key, rows=rows).join(F.broadcast(picks), "position").drop("position")
     return df.join(F.broadcast(places), key)
 
 
-def row_at(df: DataFrame, offset: int, key: str) -> DataFrame:
+def row_at(df: DataFrame, offset: int, key: str, rows: int | None = None) -> DataFrame:
     """The row at a 0-based offset in the order of a unique ``key``."""
-    return rows_at(df, df.sparkSession.createDataFrame([(offset,)], "position bigint"), key)
+    return rows_at(df, df.sparkSession.createDataFrame([(offset,)], "position bigint"), key, rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from replyforest.functions.expressions import name_of_level
 from replyforest.operators.ranking import first_rows, numbered_within
 from replyforest.operators.threads import connected
-from replyforest.session import stage
+from replyforest.session import stage_and_count
 
 EPSILON = 1e-4  # fixed value in the denominator of the weighted average
 BLOCK = 4096  # keys of a histogram that are accumulated in one go
@@ -192,14 +192,15 @@ def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
     The tagged threads are read twice, once for all counts and once for the distinct
     posts; the rest works on the counts.
     """
-    counts = stage(segment_counts(segmented), "counts")
     stat, seg, value = F.col("stat"), F.col("segment"), F.col("value")
+    is_label = (stat == "subreddit_distribution") & F.col("label").isNotNull()
+    counts, label_rows = stage_and_count(segment_counts(segmented), "counts", is_label)
     numbers = counts.where(~stat.isin("length", "subreddit_distribution"))
     lengths = counts.where(stat == "length").select("segment", F.col("number").alias("length"), value.alias("threads"))
     depth = depth_from_lengths(lengths, segment_roots(segmented), levels)
     differences = thread_lengths(depth, ["segment"])
-    labels = counts.where((stat == "subreddit_distribution") & F.col("label").isNotNull()).select("segment", "label", "value")
-    places = numbered_within(labels, "segment", value.desc(), "label")
+    labels = counts.where(is_label).select("segment", "label", "value")
+    places = numbered_within(labels, label_rows, "segment", value.desc(), "label")
     return (
         _as_histogram(numbers, stat, seg, F.col("number"), F.col("number"), value)
         .unionByName(

@@ -747,7 +747,8 @@ def limit_n(spark, sf_dir):
 def offset_pick(spark, sf_dir):
     """The thread in the middle of the table."""
     c = corpus(spark, sf_dir)
-    return _thread_rows(ranking.row_at(c.threads, c.threads.count() // 2, "ctp_id"))
+    rows = c.threads.count()
+    return _thread_rows(ranking.row_at(c.threads, rows // 2, "ctp_id", rows))
 
 
 @query

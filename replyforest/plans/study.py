@@ -43,15 +43,22 @@ def top_communities(corpus: Corpus, n: int) -> list[str]:
     return [row.subreddit for row in stats.top_communities(known, n).collect()]
 
 
+def families(corpus: Corpus, communities: list[str], settings: Settings) -> DataFrame:
+    """The segments by family, a dozen rows."""
+    rows = [("all", "threads"), ("virality", "threads_viral"), ("virality", "threads_non_viral")]
+    rows += [("participants", f"threads_{count}_authors") for count in settings.author_counts]
+    rows += [("subreddits", f"{name}_threads") for name in communities]
+    return corpus.posts.sparkSession.createDataFrame(rows, "family string, segment string")
+
+
 def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Histograms of all segments and of the lookups, and the list of segments by family."""
     communities = top_communities(corpus, settings.top_n)
     tagged = filters.segments(corpus.facts, communities, settings.author_counts, settings.viral)
-    families = tagged.select("family", "segment").distinct()
     histograms = stats.segment_histograms(tagged, corpus.levels).unionByName(
         stats.lookup_histograms(corpus.posts, corpus.nodes, communities)
     )
-    return stage(histograms, "histograms"), stage(families, "families")
+    return stage(histograms, "histograms"), families(corpus, communities, settings)
 
 
 def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings()) -> Study:
@@ -60,12 +67,12 @@ def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings())
         posts = first_rows(posts, settings.max_posts, "id")
     nodes = hierarchy.unroll(posts, comments, settings.min_rows)
     corpus = Corpus(posts, comments, nodes).cut_short_levels(settings.min_rows).cut_sparse_levels(settings.min_ratio)
-    histograms, families = all_histograms(corpus, settings)
+    histograms, by_family = all_histograms(corpus, settings)
     ranked = histograms.where(F.col("stat") != "number_of_threads")
     return Study(
         corpus=corpus,
         row_counts=stats.row_counts(posts, corpus.nodes),
-        families=families,
+        families=by_family,
         histograms=histograms,
         averages=stats.weighted_averages(ranked),
         quartiles=stats.weighted_quartiles(ranked),

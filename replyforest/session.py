@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+SMALL_ROWS = 200_000  # narrow rows that may be broadcast, or sorted in one task, once they were counted
+
 
 def build_session(app_name: str = "replyforest", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides them.
@@ -117,10 +119,10 @@ def stage_and_count(
     return staged, rows
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Narrow join side of keys, broadcast when it was counted to be small.
 
     A larger one is left to a shuffled join.
     """
     staged, rows = stage_and_count(df, "side")
-    return F.broadcast(staged) if rows <= max_rows else staged
+    return F.broadcast(staged) if rows <= SMALL_ROWS else staged

@@ -145,18 +145,26 @@ def test_positions(spark):
 
 def test_positions_within_groups(spark, monkeypatch):
     rows = spark.range(300).select((F.col("id") % 3).alias("g"), F.format_string("k%03d", F.pmod(F.col("id") * 7, F.lit(300))).alias("k"))
-    small = sorted(tuple(r) for r in ranking.numbered_within(rows, "g", F.col("k").desc()).select("g", "k", "position").collect())
-    monkeypatch.setattr(ranking, "TOP_LIMIT", 10)
-    large = sorted(tuple(r) for r in ranking.numbered_within(rows, "g", F.col("k").desc()).select("g", "k", "position").collect())
+
+
+    def found():
+        places = ranking.numbered_within(rows, 300, "g", F.col("k").desc())
+        return sorted(tuple(r) for r in places.select("g", "k", "position").collect())
+
+    small = found()
+    monkeypatch.setattr(ranking, "SMALL_ROWS", 10)
+    large = found()
     assert small == large and max(p for _, _, p in small) == 99
 
 
 def test_large_head_is_cut_by_position(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "TOP_LIMIT", 10)
+    monkeypatch.setattr(ranking, "SMALL_ROWS", 10)
     assert sorted(r.id for r in ranking.first_rows(spark.range(100), 30, "id").collect()) == list(range(30))
 
 
-def test_seeded_picks(spark, corpus):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_seeded_picks(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(ranking, "SMALL_ROWS", small)
     names = sorted(r.ctp_id for r in corpus.threads.collect())
     for seed in (0, 1, 202):
         offset = random.Random(seed).randint(0, len(names) - 1)
