@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replyforest.schemas import FIELD_TYPES, level_name
 
@@ -86,10 +87,15 @@ def is_integer_text(text: Column) -> Column:
     return text.rlike("^-*[0-9]+$")
 
 
+def cast_or_fail(column: Column, kind: str | T.DataType) -> Column:
+    """A cast that fails on a bad value, whatever the session says about casts."""
+    value = column.try_cast(kind)
+    return F.when(column.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("bad value: "), column))).otherwise(value)
+
+
 def typed(name: str, strict: bool = True) -> Column:
-    """A text field cast to its type; ``strict`` raises on a bad value, else it becomes null."""
-    kind = FIELD_TYPES.get(name)
-    column = F.col(name)
+    """A text field cast to its type; ``strict`` fails on a bad value, else it becomes null."""
+    kind, column = FIELD_TYPES.get(name), F.col(name)
     if kind is None:
         return column
-    return (column.cast(kind) if strict else column.try_cast(kind)).alias(name)
+    return (cast_or_fail(column, kind) if strict else column.try_cast(kind)).alias(name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyforest.functions.expressions import typed
+from replyforest.functions.expressions import cast_or_fail, typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
 from replyforest.sources.jsonl import BAD
 from replyforest.sources.quoted import largest_file, records
@@ -51,7 +51,7 @@ def load_posts(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
 def load_comments(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """The columns of the comments table; a score that is no number fails the job."""
     return csv_text(spark, path, fields).select(
-        *[F.col("score").cast("int").alias("score") if name == "score" else F.col(name) for name in COMMENT_FIELDS]
+        *[cast_or_fail(F.col("score"), "int").alias("score") if name == "score" else F.col(name) for name in COMMENT_FIELDS]
     )
 
 

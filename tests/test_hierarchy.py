@@ -5,8 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import executed_plan
 from forests import attach, comments_frame, places, posts_frame
-from replyforest.operators import hierarchy
+from replyforest.operators import hierarchy, threads
+from replyforest.session import stage
 
 
 def check(spark, posts, links):
@@ -117,31 +119,43 @@ def test_levels_at_which_cuts_start(spark):
     assert hierarchy.first_sparse_level(counts(100, 50), 0.05).first().lvl is None
 
 
-def test_hot_parent_is_split(spark):
-    """Half of all comments under one comment: the join on the parent must split that key."""
-    small = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {key: spark.conf.get(key, None) for key in small}
-    for key, value in small.items():
-        spark.conf.set(key, value)
-    try:
-        n = 60_000
-        hot = spark.range(n).select(
-            F.concat(F.lit("c"), "id").alias("id"),
-            F.when(F.col("id") == 0, F.lit("p")).when(F.col("id") % 2 == 0, F.lit("c0")).otherwise(F.concat(F.lit("c"), (F.col("id") / 3).cast("bigint"))).alias("pointer"),
-        )
-        below = hot.select("id", "pointer", F.array("id").alias("path"), F.lit("open").alias("status"), F.lit(False).alias("is_target"), F.lit(False).alias("is_option"))
-        targets = hot.select("id", "pointer", F.array("id").alias("path"), F.lit("open").alias("status"))
-        joined = hierarchy._climb(below, targets.repartition(8))
-        joined.write.format("noop").mode("overwrite").save()
-        joined.collect()
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+def hot_forest(spark, n):
+    """Half of all comments answer one post, a quarter one comment, the others earlier comments."""
+    i = F.col("id")
+    parent = (
+        F.when(i % 2 == 0, F.lit("t3_p0")).when(i % 4 == 1, F.lit("t1_c0")).otherwise(F.concat(F.lit("t1_c"), F.floor(i / 3)))
+    )
+    comments = spark.range(n).select(
+        F.concat(F.lit("c"), i).alias("id"),
+        F.lit("text").alias("body"),
+        (i % 7).alias("score"),
+        F.concat(F.lit("u"), i % 5).alias("author"),
+        parent.alias("parent_id"),
+    )
+    return posts_frame(spark, ["p0", "p1"]), comments
+
+
+def test_hot_parent_is_split(spark, tiny_skew):
+    posts, comments = hot_forest(spark, 40_000)
+    links = stage(hierarchy._links(posts, comments))
+    targets = links.where("is_parent").select("id", F.col("parent_id").alias("pointer"), F.array("id").alias("path"), F.lit("open").alias("status"))
+    below = links.where("parent_id IS NOT NULL").select(
+        "id", F.col("parent_id").alias("pointer"), F.array("id").alias("path"), F.lit(True).alias("is_target"), F.lit(False).alias("is_option")
+    )
+    assert "skew=true" in executed_plan(hierarchy._climb(below, targets))
+
+
+def test_hot_post_is_split_when_facts_are_gathered(spark, tiny_skew):
+    posts, comments = hot_forest(spark, 40_000)
+    nodes = hierarchy.unroll(posts, comments)
+    assert nodes.count() == 40_000
+    longest = stage(threads.longest_threads(threads.all_threads(nodes)))
+    facts = threads.thread_facts(longest, posts, comments)
+    assert "skew=true" in executed_plan(facts)
+    assert facts.count() == 20_000 and facts.where("posts = 'p0' AND post_score = 1").count() == 20_000
+
+
+def test_hot_post_is_split_when_threads_are_chosen(spark, tiny_skew):
+    posts, comments = hot_forest(spark, 40_000)
+    answers = hierarchy.answers_to(hierarchy.stripped(comments).repartition(8), posts)
+    assert "skew=true" in executed_plan(answers) and answers.count() == 20_000
