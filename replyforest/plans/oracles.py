@@ -65,7 +65,7 @@ facts AS (SELECT t.posts, t.ctp_id, t.path, len(t.path) AS length, f.* EXCLUDE (
 clean AS (SELECT * FROM facts WHERE NOT withdrawn)"""
 
 
-def _stats(nodes: str = "tree") -> str:
+def _stats(nodes: str = "tree", all_nodes: str = "tree") -> str:
     return f"""
 top5 AS (SELECT subreddit FROM clean GROUP BY subreddit ORDER BY count(*) DESC, subreddit LIMIT 5),
 seg AS (
@@ -78,7 +78,7 @@ seg AS (
 families AS (SELECT DISTINCT family, segment FROM seg),
 depth AS (SELECT segment, CAST(0 AS BIGINT) AS ord, count(DISTINCT posts) AS n FROM seg GROUP BY segment
   UNION ALL SELECT s.segment, r.o, count(CASE WHEN s.length >= r.o THEN 1 END)
-    FROM seg s, range(1, (SELECT max(lvl) + 2 FROM {nodes})) r(o) GROUP BY s.segment, r.o),
+    FROM seg s, range(1, (SELECT max(lvl) + 2 FROM {all_nodes})) r(o) GROUP BY s.segment, r.o),
 lookup_ids AS (SELECT root_id AS posts, lvl, count(*) AS width, list_sort(list(id)) AS ids FROM {nodes} GROUP BY root_id, lvl),
 shapes AS (SELECT p.id AS posts, p.subreddit, count(l.lvl) AS levels, coalesce(max(l.width), 0) AS widest
   FROM posts p LEFT JOIN lookup_ids l ON l.posts = p.id GROUP BY p.id, p.subreddit),
@@ -186,7 +186,7 @@ RAW_POST = """score + 1588291200 AS created_utc, id, 't3_' || id AS name, title,
 POST_TABLE = "SELECT id, title, selftext, subreddit, score, upvote_ratio, media, author FROM raw_posts"
 RAW_POSTS = f"raw_posts AS (SELECT {RAW_POST} FROM posts)"
 PADDED_POSTS = f"""padded AS ({POST_TABLE} UNION ALL
-  SELECT 'short_' || id, title, NULL, NULL, NULL, NULL, NULL, NULL FROM posts)"""
+  SELECT 'short_' || id, title, NULL, NULL, -1, -1, NULL, NULL FROM posts)"""
 
 
 def _row_counts(nodes: str) -> str:
@@ -278,7 +278,7 @@ UNION ALL SELECT id, 'comment' FROM comments WHERE author IN ('[deleted]', '[rem
         "pad_levels": _on_tree(f"SELECT root_id AS posts, {WIDE} FROM tree"),
         "like_filter": _on_tree(f"SELECT * FROM ({_row_counts('tree')}) WHERE table_name LIKE 'comments_%'"),
         "typed_cast": _on_posts(
-            """SELECT id, CAST(CAST(score AS VARCHAR) AS INTEGER) AS score, TRY_CAST(body AS INTEGER) AS body_number,
+            """SELECT id, CAST(CAST(score AS VARCHAR) AS INTEGER) AS score, coalesce(TRY_CAST(body AS INTEGER), -1) AS body_number,
   CAST(score AS DOUBLE) AS score_double FROM comments"""
         ),
         "array_length": _on_tree("SELECT root_id AS posts, lvl, count(*) AS width FROM tree GROUP BY root_id, lvl"),
@@ -295,7 +295,8 @@ FROM tree GROUP BY root_id, lvl"""
         "regex_level": _on_tree(
             f"""SELECT conversation_length, row_count,
   CASE WHEN conversation_length = 'comments_to_posts' THEN 0
-       ELSE CAST(nullif(regexp_extract(conversation_length, '^comments_to_comments_([0-9]+)$', 1), '') AS BIGINT) END AS lvl
+       WHEN conversation_length = 'posts' THEN -1
+       ELSE CAST(regexp_extract(conversation_length, '^comments_to_comments_([0-9]+)$', 1) AS BIGINT) END AS lvl
 FROM ({_level_counts_by_name('tree')})"""
         ),
         "clamp_negative": _on_threads(
@@ -491,12 +492,16 @@ WHERE segment = 'threads' AND CASE stat WHEN 'thread_score_distribution' THEN or
         "compare_segments": _on_stats("SELECT family, stat, segment, key, value FROM compared", COMPARED),
         # the whole study
         "thread_study": _sql(
-            "SELECT a.stat, a.segment, a.average, q.q1, q.q2, q.q3, q.iqr FROM averages a LEFT JOIN quartiles q USING (stat, segment)",
+            """SELECT stat, segment, 'average' AS measure, average AS value FROM averages
+UNION ALL SELECT stat, segment, 'q1', CAST(q1 AS DOUBLE) FROM quartiles
+UNION ALL SELECT stat, segment, 'q2', CAST(q2 AS DOUBLE) FROM quartiles
+UNION ALL SELECT stat, segment, 'q3', CAST(q3 AS DOUBLE) FROM quartiles
+UNION ALL SELECT stat, segment, 'iqr', CAST(iqr AS DOUBLE) FROM quartiles""",
             _tree(),
             CUTS,
             "kept AS (SELECT * FROM c2 WHERE connected)",
             _threads("kept"),
-            _stats("kept").replace("FROM kept))", "FROM c2))"),
+            _stats("kept", "c2"),
             QUARTILES,
             AVERAGES,
         ),

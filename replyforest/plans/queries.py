@@ -171,13 +171,13 @@ def _csv_posts(spark, sf_dir) -> str:
 
 @query
 def csv_tolerant_scan(spark, sf_dir):
-    return tables.csv_tolerant_scan(spark, _csv_posts(spark, sf_dir), POST_FIELDS)
+    return tables.csv_tolerant_scan(spark, _csv_posts(spark, sf_dir), POST_FIELDS).fillna(-1)
 
 
 @query
 def load_posts(spark, sf_dir):
     rows = tables.load_posts(spark, _csv_posts(spark, sf_dir), POST_FIELDS)
-    return tables.overwrite(rows, scratch_path(spark, "posts"))
+    return tables.overwrite(rows, scratch_path(spark, "posts")).fillna(-1)
 
 
 @query
@@ -356,7 +356,7 @@ def typed_cast(spark, sf_dir):
     return c.comments.select(
         "id",
         F.col("score").cast("string").cast("int").alias("score"),
-        F.col("body").try_cast("int").alias("body_number"),
+        F.coalesce(F.col("body").try_cast("int"), F.lit(-1)).alias("body_number"),
         F.col("score").cast("double").alias("score_double"),
     )
 
@@ -391,7 +391,7 @@ def json_write(spark, sf_dir):
 def regex_level(spark, sf_dir):
     c = corpus(spark, sf_dir)
     depth = stats.depth_distribution(threads.all_threads(c.nodes))
-    return depth.select("conversation_length", x.level_of_name(F.col("conversation_length")).alias("lvl"), "row_count")
+    return depth.select("conversation_length", F.coalesce(x.level_of_name(F.col("conversation_length")), F.lit(-1)).alias("lvl"), "row_count")
 
 
 @query
@@ -867,7 +867,10 @@ def compare_segments(spark, sf_dir):
 def thread_study(spark, sf_dir):
     """Averages and quartiles of every segment, from the raw posts and comments on."""
     result = study.run(*fixtures.forest(spark, sf_dir))
-    return result.averages.join(result.quartiles, ["stat", "segment"], "left")
+    quartiles = result.quartiles.select("stat", "segment", *[F.col(c).cast("double").alias(c) for c in ("q1", "q2", "q3", "iqr")])
+    return result.averages.unpivot(["stat", "segment"], ["average"], "measure", "value").unionByName(
+        quartiles.unpivot(["stat", "segment"], ["q1", "q2", "q3", "iqr"], "measure", "value")
+    )
 
 
 @query

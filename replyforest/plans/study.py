@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from replyforest.operators import filters, hierarchy, stats
 from replyforest.operators.ranking import first_rows
 from replyforest.plans.corpus import Corpus
+from replyforest.operators.threads import widen
 from replyforest.session import stage
+from replyforest.sources import stats_store
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,14 @@ def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataF
     return stage(histograms, "histograms"), families(corpus, communities, settings)
 
 
+def save(result: Study, folder: str) -> None:
+    """Writes the tables of a study; the histograms become the statistics store."""
+    stats_store.save(result.histograms, f"{folder}/stats")
+    for name in ("row_counts", "families", "averages", "quartiles", "label_quartiles"):
+        getattr(result, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    widen(result.corpus.threads, result.corpus.levels).write.mode("overwrite").parquet(f"{folder}/threads")
+
+
 def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings()) -> Study:
     """Attach, cut twice, choose threads, and count, average and rank each segment."""
     if settings.max_posts is not None:
