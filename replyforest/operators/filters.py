@@ -57,34 +57,41 @@ def virality(score: Column, threshold: int = VIRAL_SCORE) -> Column:
     return F.when(score >= threshold, F.lit("threads_viral")).when(score < threshold, F.lit("threads_non_viral"))
 
 
-def segments(
+FAMILIES = ("virality", "participants", "subreddits")
+
+
+def tagged(
     facts: DataFrame,
     communities: list[str],
     author_counts: tuple[int, ...] = (2, 3, 4, 5),
     threshold: int = VIRAL_SCORE,
 ) -> DataFrame:
-    """Threads without withdrawn content, repeated once for each segment they are in.
+    """Threads without withdrawn content, with the name of their segment in each family or null.
 
-    A thread is in at most four: all threads, its virality, its number of authors and
-    its community.  Rows stay narrow and are tagged in the scan, without a join.
+    The names are worked out in the scan, without a join; ``communities`` are a few.
     """
     of_authors = (F.col("fewest_comments") >= 2) & F.col("named_authors").isin(*author_counts)
-    tags = F.array(
-        F.struct(F.lit("all").alias("family"), F.lit("threads").alias("segment")),
-        F.struct(F.lit("virality").alias("family"), virality(F.col("post_score"), threshold).alias("segment")),
-        F.struct(
-            F.lit("participants").alias("family"),
-            F.when(of_authors, F.concat(F.lit("threads_"), F.col("named_authors"), F.lit("_authors"))).alias("segment"),
-        ),
-        F.struct(
-            F.lit("subreddits").alias("family"),
-            F.when(F.col("subreddit").isin(*communities), F.concat("subreddit", F.lit("_threads"))).alias("segment"),
-        ),
+    return without_withdrawn(facts).withColumns(
+        {
+            "virality": virality(F.col("post_score"), threshold),
+            "participants": F.when(of_authors, F.concat(F.lit("threads_"), F.col("named_authors"), F.lit("_authors"))),
+            "subreddits": F.when(F.col("subreddit").isin(*communities), F.concat("subreddit", F.lit("_threads"))),
+        }
     )
+
+
+def in_segments(rows: DataFrame) -> DataFrame:
+    """Tagged rows repeated once for each segment they are in, at most four times."""
+    tags = [F.struct(F.lit("all").alias("family"), F.lit("threads").alias("segment"))]
+    tags += [F.struct(F.lit(name).alias("family"), F.col(name).alias("segment")) for name in FAMILIES]
     return (
-        without_withdrawn(facts)
-        .withColumn("tag", F.explode(tags))
+        rows.withColumn("tag", F.explode(F.array(*tags)))
         .select("*", "tag.*")
         .where(F.col("segment").isNotNull())
-        .drop("tag")
+        .drop("tag", *FAMILIES)
     )
+
+
+def segments(facts: DataFrame, communities: list[str], author_counts: tuple[int, ...] = (2, 3, 4, 5), threshold: int = VIRAL_SCORE) -> DataFrame:
+    """Threads without withdrawn content, once for each segment they are in."""
+    return in_segments(tagged(facts, communities, author_counts, threshold))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.functions.expressions import name_of_level
+from replyforest.operators.filters import FAMILIES, in_segments
 from replyforest.operators.ranking import first_rows, numbered_within
 from replyforest.operators.threads import connected
 from replyforest.session import stage_and_count
@@ -165,28 +166,32 @@ def _as_histogram(rows: DataFrame, stat: Column, segment: Column, ord_: Column,
     )
 
 
-def segment_counts(segmented: DataFrame) -> DataFrame:
-    """Threads per segment, statistic and value, of all statistics in one aggregation."""
+# Column of the thread facts behind each statistic.
+COUNTED = {
+    "thread_score_distribution": "total_score",
+    "author_distribution": "authors",
+    "thread_lengths": "length",
+    "subreddit_distribution": "subreddit",
+}
 
-    def entry(stat: str, number: Column, label: Column) -> Column:
-        return F.struct(F.lit(stat).alias("stat"), number.cast("bigint").alias("number"), label.cast("string").alias("label"))
 
-    nothing = F.lit(None)
-    entries = F.array(
-        entry("thread_score_distribution", F.col("total_score"), nothing),
-        entry("author_distribution", F.col("authors"), nothing),
-        entry("number_of_threads", F.lit(0), nothing),
-        entry("length", F.col("length"), nothing),
-        entry("subreddit_distribution", nothing, F.col("subreddit")),
-    )
-    return (
-        segmented.select("segment", F.inline(entries))
-        .groupBy("segment", "stat", "number", "label")
-        .agg(F.count("*").alias("value"))
+def segment_counts(tagged: DataFrame) -> DataFrame:
+    """Threads per segment, statistic and value.
+
+    Threads are counted by grouping sets, one per statistic, together with their tags;
+    only the counts are then repeated for the segments.
+    """
+    columns = list(COUNTED.values())
+    counts = tagged.groupingSets([[*FAMILIES, column] for column in columns], *FAMILIES, *columns).agg(
+        F.count("*").alias("value"), *[F.grouping(column).alias(f"{column}_left_out") for column in columns]
     )
+    stat = F.coalesce(*[F.when(F.col(f"{column}_left_out") == 0, F.lit(name)) for name, column in COUNTED.items()])
+    number = F.coalesce(*[F.col(column) for name, column in COUNTED.items() if name != "subreddit_distribution"])
+    rows = counts.select(*FAMILIES, stat.alias("stat"), number.alias("number"), F.col("subreddit").alias("label"), "value")
+    return in_segments(rows).groupBy("segment", "stat", "number", "label").agg(F.sum("value").alias("value"))
 
 
-def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
+def segment_histograms(tagged: DataFrame, levels: int) -> DataFrame:
     """All histograms of all segments.
 
     The tagged threads are read twice, once for all counts and once for the distinct
@@ -194,20 +199,25 @@ def segment_histograms(segmented: DataFrame, levels: int) -> DataFrame:
     """
     stat, seg, value = F.col("stat"), F.col("segment"), F.col("value")
     is_label = (stat == "subreddit_distribution") & F.col("label").isNotNull()
-    counts, label_rows = stage_and_count(segment_counts(segmented), "counts", is_label)
-    numbers = counts.where(~stat.isin("length", "subreddit_distribution"))
-    lengths = counts.where(stat == "length").select("segment", F.col("number").alias("length"), value.alias("threads"))
-    depth = depth_from_lengths(lengths, segment_roots(segmented), levels)
+    counts, label_rows = stage_and_count(segment_counts(tagged), "counts", is_label)
+    numbers = counts.where(~stat.isin("thread_lengths", "subreddit_distribution"))
+    lengths = counts.where(stat == "thread_lengths").select("segment", F.col("number").alias("length"), value.alias("threads"))
+    totals = lengths.groupBy("segment").agg(F.sum("threads").alias("threads"))
+    depth = depth_from_lengths(lengths, segment_roots(in_segments(tagged)), levels)
     differences = thread_lengths(depth, ["segment"])
     labels = counts.where(is_label).select("segment", "label", "value")
     places = numbered_within(labels, label_rows, "segment", value.desc(), "label")
+    zero = F.lit(0)
     return (
         _as_histogram(numbers, stat, seg, F.col("number"), F.col("number"), value)
+        .unionByName(_as_histogram(totals, F.lit("number_of_threads"), seg, zero, zero, F.col("threads")))
         .unionByName(
             _as_histogram(depth, F.lit("depth_distribution"), seg, F.col("ord"), F.col("conversation_length"), F.col("row_count"))
         )
         .unionByName(_as_histogram(differences, F.lit("thread_lengths"), seg, F.col("length"), F.col("length"), F.col("threads")))
-        .unionByName(_as_histogram(places, F.lit("subreddit_distribution"), seg, F.col("position"), F.col("label"), value))
+        .unionByName(
+            _as_histogram(places, F.lit("subreddit_distribution"), seg, F.col("position"), F.col("label"), value)
+        )
     )
 
 

@@ -56,7 +56,7 @@ def families(corpus: Corpus, communities: list[str], settings: Settings) -> Data
 def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Histograms of all segments and of the lookups, and the list of segments by family."""
     communities = top_communities(corpus, settings.top_n)
-    tagged = filters.segments(corpus.facts, communities, settings.author_counts, settings.viral)
+    tagged = filters.tagged(corpus.facts, communities, settings.author_counts, settings.viral)
     histograms = stats.segment_histograms(tagged, corpus.levels).unionByName(
         stats.lookup_histograms(corpus.posts, corpus.nodes, communities)
     )
