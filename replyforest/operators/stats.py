@@ -33,13 +33,18 @@ def total_comments(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("table_name").like("comments_%")).agg(F.sum("row_count").alias("total_comments"))
 
 
-def depth_distribution(threads: DataFrame) -> DataFrame:
-    """Distinct ids per level column of any thread table, the posts first."""
+def depth_distribution(threads: DataFrame, levels: int) -> DataFrame:
+    """Distinct ids per level column of any thread table, the posts first.
+
+    A column of the ``levels`` that no thread reaches counts 0.
+    """
     ids = threads.select(F.posexplode(F.concat(F.array("posts"), "path")).alias("ord", "id"))
-    return ids.groupBy("ord").agg(F.count_distinct("id").alias("row_count")).select(
-        F.col("ord").cast("bigint").alias("ord"),
+    counts = ids.groupBy("ord").agg(F.count_distinct("id").alias("row_count"))
+    columns = threads.sparkSession.range(levels + 1).select(F.col("id").alias("ord"))
+    return columns.join(counts, "ord", "left").select(
+        "ord",
         name_of_level(F.col("ord") - 1).alias("conversation_length"),
-        "row_count",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
     )
 
 

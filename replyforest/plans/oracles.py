@@ -200,7 +200,9 @@ UNION ALL SELECT {LEVEL_NAME}, count(DISTINCT id) FROM {rows} GROUP BY lvl"""
 
 
 CLEAN_DEPTH = f"""SELECT 'posts' AS conversation_length, count(DISTINCT posts) AS row_count FROM clean
-UNION ALL SELECT {LEVEL_NAME}, count(DISTINCT u.id) FROM (SELECT m.lvl, m.id FROM members m JOIN clean c USING (ctp_id)) u GROUP BY lvl"""
+UNION ALL SELECT {LEVEL_NAME}, count(DISTINCT id) FROM
+  (SELECT r.lvl, u.id FROM range((SELECT max(lvl) + 1 FROM tree)) r(lvl)
+   LEFT JOIN (SELECT m.lvl, m.id FROM members m JOIN clean USING (ctp_id)) u ON u.lvl = r.lvl) GROUP BY lvl"""
 
 WIDE_LOOKUP = ", ".join(
     f"array_to_string(list_sort(list(t.id) FILTER (t.lvl = {i})), ',') AS {level_name(i)}" for i in range(LEVELS)

@@ -390,14 +390,14 @@ def json_write(spark, sf_dir):
 @query
 def regex_level(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    depth = stats.depth_distribution(threads.all_threads(c.nodes))
+    depth = stats.depth_distribution(threads.all_threads(c.nodes), c.levels)
     return depth.select("conversation_length", F.coalesce(x.level_of_name(F.col("conversation_length")), F.lit(-1)).alias("lvl"), "row_count")
 
 
 @query
 def clamp_negative(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    lengths = stats.thread_lengths(stats.depth_distribution(c.threads))
+    lengths = stats.thread_lengths(stats.depth_distribution(c.threads, c.levels))
     return lengths.select("length", x.clamp_negative(F.col("threads")).alias("threads"))
 
 
@@ -585,13 +585,14 @@ def number_of_threads(spark, sf_dir):
 
 @query
 def depth_distribution(spark, sf_dir):
-    return stats.depth_distribution(corpus(spark, sf_dir).clean).select("conversation_length", "row_count")
+    c = corpus(spark, sf_dir)
+    return stats.depth_distribution(c.clean, c.levels).select("conversation_length", "row_count")
 
 
 @query
 def depth_distribution_all_threads(spark, sf_dir):
-    rows = threads.all_threads(corpus(spark, sf_dir).nodes)
-    return stats.depth_distribution(rows).select("conversation_length", "row_count")
+    c = corpus(spark, sf_dir)
+    return stats.depth_distribution(threads.all_threads(c.nodes), c.levels).select("conversation_length", "row_count")
 
 
 @query
@@ -710,7 +711,7 @@ def longest_thread_per_ctp(spark, sf_dir):
 @query
 def level_difference(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return stats.thread_lengths(stats.depth_distribution(threads.all_threads(c.nodes)))
+    return stats.thread_lengths(stats.depth_distribution(threads.all_threads(c.nodes), c.levels))
 
 
 @query

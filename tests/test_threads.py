@@ -95,7 +95,7 @@ def test_counts_add_up(spark, corpus):
     assert widths == corpus.nodes.count() == threads.all_threads(corpus.nodes).count()
     # Levels that no thread of a segment reaches still count 0.
     assert value["depth_distribution", "dogs_threads", "comments_to_comments_3"] == 0
-    generic = {r.conversation_length: r.row_count for r in stats.depth_distribution(corpus.clean).collect()}
+    generic = {r.conversation_length: r.row_count for r in stats.depth_distribution(corpus.clean, corpus.levels).collect()}
     assert generic == {k: v for (s, g, k), v in value.items() if (s, g) == ("depth_distribution", "threads")}
     compared = {(r.family, r.segment) for r in series.compare_segments(rows, families).collect()}
     assert ("virality", "threads") in compared and ("subreddits", "cats_threads") in compared
@@ -260,5 +260,12 @@ def test_study_of_the_first_posts(spark):
     assert [r.id for r in result.corpus.nodes.collect()] == ["a"]
 
 
+def test_study_without_comments(spark):
+    result = study.run(posts_frame(spark, ["p"]), comments_frame(spark, [("a", "gone")]))
+    assert {r.table_name: r.row_count for r in result.row_counts.collect()} == {"posts": 1}
+    assert [(r.stat, r.key, r.value) for r in result.histograms.where("stat = 'thread_lengths'").collect()] == [("thread_lengths", "0", 1)]
+    assert result.quartiles.count() == 2 and result.label_quartiles.count() == 0
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
