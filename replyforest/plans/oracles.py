@@ -7,7 +7,7 @@ import random
 from replyforest import fixtures
 from replyforest.schemas import level_name
 
-LEVELS = 10
+LEVELS = 19
 AUTHOR_MARK = "NULL_AUTHOR"
 
 

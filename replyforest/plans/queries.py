@@ -20,7 +20,7 @@ from replyforest.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-LEVELS = 10  # id columns of the wide tables shown here; deeper forests keep them in the path
+LEVELS = 19  # id columns of the wide tables; a tree of the forest has at most 19 comments
 
 _corpora: dict[tuple, tuple[str, object]] = {}
 

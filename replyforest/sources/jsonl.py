@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,11 @@ from replyforest.schemas import text_schema
 BAD = "_corrupt_record"
 
 
+def files_by_name(df: DataFrame) -> list[str]:
+    """Paths of the files behind a table, as they can be read again."""
+    return sorted(unquote(file) for file in df.inputFiles())
+
+
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first ``n`` text lines, files in order of their names.
 
@@ -18,7 +25,7 @@ def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     ``take`` stops at the split that holds the n-th line.
     """
     lines: list[str] = []
-    for file in sorted(spark.read.text(path).inputFiles()):
+    for file in files_by_name(spark.read.text(path)):
         lines += [row.value for row in spark.read.text(file).take(n - len(lines))]
         if len(lines) >= n:
             break

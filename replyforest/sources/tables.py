@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from replyforest.functions.expressions import cast_or_fail, typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
-from replyforest.sources.jsonl import BAD
+from replyforest.sources.jsonl import BAD, files_by_name
 from replyforest.sources.quoted import largest_file, records
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
@@ -59,7 +59,7 @@ def csv_head(spark: SparkSession, path: str, fields: list[str], n: int) -> DataF
     """The first ``n`` rows, files in order of their names; no more is read than that needs."""
     reader = spark.read.schema(text_schema(fields)).options(**CSV_OPTIONS)
     rows: list = []
-    for file in sorted(reader.csv(path).inputFiles()):
+    for file in files_by_name(reader.csv(path)):
         rows += reader.csv(file).take(n - len(rows))
         if len(rows) >= n:
             break

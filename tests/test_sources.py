@@ -143,8 +143,8 @@ def test_strict_csv_fails_on_a_bad_score(spark, tmp_path):
 
 def test_csv_head_over_files(spark, tmp_path):
     for number in (1, 2):
-        write(tmp_path / "c" / f"{number}.csv", "id,body\n" + "".join(f"{number}{i},x\n" for i in range(3)))
-    rows = tables.csv_head(spark, str(tmp_path / "c"), ["id", "body"], 4).collect()
+        write(tmp_path / "a folder" / f"part {number}%.csv", "id,body\n" + "".join(f"{number}{i},x\n" for i in range(3)))
+    rows = tables.csv_head(spark, str(tmp_path / "a folder"), ["id", "body"], 4).collect()
     assert [r.id for r in rows] == ["10", "11", "12", "20"]
 
 
