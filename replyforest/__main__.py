@@ -6,7 +6,7 @@ import argparse
 
 from replyforest.plans import study
 from replyforest.schemas import RAW_COMMENT_FIELDS, RAW_POST_FIELDS
-from replyforest.session import build_session, remove, scratch_root
+from replyforest.session import build_session, grow_shuffles, remove, scratch_root
 from replyforest.sources.tables import load_comments, load_posts, overwrite
 
 
@@ -27,6 +27,7 @@ def main() -> None:
     # Dumps are read once; everything after works on columns of Parquet.
     posts = overwrite(load_posts(spark, options.posts, RAW_POST_FIELDS), f"{options.folder}/posts")
     comments = overwrite(load_comments(spark, options.comments, RAW_COMMENT_FIELDS), f"{options.folder}/comments")
+    grow_shuffles(spark, f"{options.folder}/posts", f"{options.folder}/comments")
     settings = study.Settings(options.max_posts, options.min_rows, options.min_ratio, options.viral, options.top)
     study.save(study.run(posts, comments, settings), options.folder)
     remove(spark, scratch_root(spark))

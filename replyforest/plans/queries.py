@@ -13,7 +13,7 @@ from replyforest.operators import explore, filters, hierarchy, ranking, sampling
 from replyforest.plans import study
 from replyforest.plans.corpus import Corpus
 from replyforest.schemas import COMMENT_FIELDS, POST_FIELDS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, level_name
-from replyforest.session import exists, mark, scratch_path
+from replyforest.session import exists, grow_shuffles, mark, scratch_path
 from replyforest.sources import exports, jsonl, tables
 from replyforest.sources import stats_store as store
 from replyforest.streaming import ingest
@@ -39,8 +39,19 @@ def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], object
     return _corpora[key][1]
 
 
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Posts and comments, with shuffles sized to the table they come from."""
+    _once("shuffles", spark, sf_dir, lambda: grow_shuffles(spark, f"{sf_dir}/events.parquet"))
+    return fixtures.forest(spark, sf_dir)
+
+
+def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    _once("chain shuffles", spark, sf_dir, lambda: grow_shuffles(spark, f"{sf_dir}/conversations.parquet"))
+    return fixtures.chains(spark, sf_dir)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return _once("forest", spark, sf_dir, lambda: Corpus(*fixtures.forest(spark, sf_dir)))
+    return _once("forest", spark, sf_dir, lambda: Corpus(*forest(spark, sf_dir)))
 
 
 def cut_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -48,7 +59,7 @@ def cut_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def chain_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return _once("chains", spark, sf_dir, lambda: Corpus(*fixtures.chains(spark, sf_dir)))
+    return _once("chains", spark, sf_dir, lambda: Corpus(*chains(spark, sf_dir)))
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -433,17 +444,17 @@ def comments_level_1(spark, sf_dir):
 
 @query
 def unroll_levels(spark, sf_dir):
-    return _node_rows(hierarchy.unroll(*fixtures.forest(spark, sf_dir)))
+    return _node_rows(hierarchy.unroll(*forest(spark, sf_dir)))
 
 
 @query
 def unroll_levels_chains(spark, sf_dir):
-    return _node_rows(hierarchy.unroll(*fixtures.chains(spark, sf_dir)))
+    return _node_rows(hierarchy.unroll(*chains(spark, sf_dir)))
 
 
 @query
 def unroll_levels_min_rows(spark, sf_dir):
-    posts, comments = fixtures.forest(spark, sf_dir)
+    posts, comments = forest(spark, sf_dir)
     cut = Corpus(posts, comments, hierarchy.unroll(posts, comments, min_rows=100)).cut_short_levels(100)
     return cut.nodes.select("id", "parent_id", "root_id", "ctp_id", "lvl", "connected")
 
@@ -867,7 +878,7 @@ def compare_segments(spark, sf_dir):
 @query
 def thread_study(spark, sf_dir):
     """Averages and quartiles of every segment, from the raw posts and comments on."""
-    result = study.run(*fixtures.forest(spark, sf_dir))
+    result = study.run(*forest(spark, sf_dir))
     quartiles = result.quartiles.select("stat", "segment", *[F.col(c).cast("double").alias(c) for c in ("q1", "q2", "q3", "iqr")])
     return result.averages.unpivot(["stat", "segment"], ["average"], "measure", "value").unionByName(
         quartiles.unpivot(["stat", "segment"], ["q1", "q2", "q3", "iqr"], "measure", "value")
@@ -877,6 +888,6 @@ def thread_study(spark, sf_dir):
 @query
 def longest_thread_lengths(spark, sf_dir):
     """Flagship: how long the longest threads are, from the raw posts and comments on."""
-    nodes = hierarchy.unroll(*fixtures.forest(spark, sf_dir))
+    nodes = hierarchy.unroll(*forest(spark, sf_dir))
     longest = nodes.groupBy("ctp_id").agg((F.max("lvl") + 1).alias("length"))
     return stats.histogram(longest, F.col("length"), "length", "threads")

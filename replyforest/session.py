@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+PARTITION_BYTES = 128 * 1024 * 1024  # input per shuffle partition
+MOST_PARTITIONS = 100_000
 SMALL_ROWS = 200_000  # narrow rows that may be broadcast, or sorted in one task, once they were counted
 
 
@@ -35,6 +37,20 @@ def build_session(app_name: str = "replyforest", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def grow_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raises the number of shuffle partitions to the size of the input files.
+
+    Adaptive execution can merge partitions but not make more of them, so a number that
+    fits a small table would leave huge partitions of a large one.  It is never lowered.
+    """
+    sizes = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(max(current, -(-sizes // PARTITION_BYTES)), MOST_PARTITIONS)
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    return max(wanted, current)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

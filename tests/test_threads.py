@@ -267,5 +267,20 @@ def test_study_without_comments(spark):
     assert result.quartiles.count() == 2 and result.label_quartiles.count() == 0
 
 
+def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from replyforest import session
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "data").write_bytes(b"x" * 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert session.grow_shuffles(spark, str(tmp_path / "f")) == int(before)
+        monkeypatch.setattr(session, "PARTITION_BYTES", 10)
+        assert session.grow_shuffles(spark, str(tmp_path / "f")) == 100
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
