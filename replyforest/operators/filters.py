@@ -91,6 +91,11 @@ def in_segments(rows: DataFrame) -> DataFrame:
     )
 
 
-def segments(facts: DataFrame, communities: list[str], author_counts: tuple[int, ...] = (2, 3, 4, 5), threshold: int = VIRAL_SCORE) -> DataFrame:
+def segments(
+    facts: DataFrame,
+    communities: list[str],
+    author_counts: tuple[int, ...] = (2, 3, 4, 5),
+    threshold: int = VIRAL_SCORE,
+) -> DataFrame:
     """Threads without withdrawn content, once for each segment they are in."""
     return in_segments(tagged(facts, communities, author_counts, threshold))

@@ -66,13 +66,13 @@ def depth_from_lengths(lengths: DataFrame, roots: DataFrame, levels: int) -> Dat
         F.max("length").over(Window.partitionBy("segment")).alias("deepest"),
     )
     # What lies below the deepest level hangs on its row.
+    is_deepest = (F.col("last") == F.col("deepest")) & (F.col("deepest") < levels)
+    nothing, floor = F.lit(0).cast("bigint"), F.lit(levels).cast("bigint")
     unreached = F.when(
-        (F.col("last") == F.col("deepest")) & (F.col("deepest") < levels),
-        F.struct(F.lit(0).cast("bigint").alias("row_count"), (F.col("deepest") + 1).alias("first"), F.lit(levels).cast("bigint").alias("last")),
+        is_deepest, F.struct(nothing.alias("row_count"), (F.col("deepest") + 1).alias("first"), floor.alias("last"))
     )
-    reached = F.struct("row_count", "first", "last")
-    spans = steps.select("segment", F.explode(F.array_compact(F.array(reached, unreached))).alias("span")).select("segment", "span.*")
-    below = spans.select("segment", "row_count", F.explode(F.sequence("first", "last")).alias("ord"))
+    spans = F.array_compact(F.array(F.struct("row_count", "first", "last"), unreached))
+    below = steps.select("segment", F.inline(spans)).select("segment", "row_count", F.explode(F.sequence("first", "last")).alias("ord"))
     posts = roots.select("segment", "row_count", F.lit(0).cast("bigint").alias("ord"))
     return posts.unionByName(below).withColumn("conversation_length", name_of_level(F.col("ord") - 1))
 
@@ -268,7 +268,8 @@ def weighted_averages(stats: DataFrame) -> DataFrame:
             F.bool_and(weight.isNotNull()).alias("numeric"),
         )
         .where("numeric")
-        .select("stat", "segment", (F.col("total").cast("double") / (F.col("count").cast("double") + F.lit(EPSILON))).alias("average"))
+        .withColumn("average", F.col("total").cast("double") / (F.col("count").cast("double") + F.lit(EPSILON)))
+        .select("stat", "segment", "average")
     )
 
 

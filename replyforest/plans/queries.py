@@ -270,7 +270,8 @@ def thread_to_samples(spark, sf_dir):
     c = corpus(spark, sf_dir)
     to_posts, to_comments = scratch_path(spark, "posts-samples"), scratch_path(spark, "comments-samples")
     exports.thread_to_samples(c.clean.select("posts", "ctp_id", "path"), c.posts, c.comments, to_posts, to_comments)
-    of_posts = tables.csv_text(spark, to_posts, c.posts.columns).select("id", F.lit(None).cast("string").alias("parent_id"), "score")
+    no_parent = F.lit(None).cast("string").alias("parent_id")
+    of_posts = tables.csv_text(spark, to_posts, c.posts.columns).select("id", no_parent, "score")
     of_comments = tables.csv_text(spark, to_comments, c.comments.columns).select("id", "parent_id", "score")
     return of_posts.unionByName(of_comments).withColumn("score", F.col("score").cast("bigint"))
 
@@ -402,7 +403,8 @@ def json_write(spark, sf_dir):
 def regex_level(spark, sf_dir):
     c = corpus(spark, sf_dir)
     depth = stats.depth_distribution(threads.all_threads(c.nodes), c.levels)
-    return depth.select("conversation_length", F.coalesce(x.level_of_name(F.col("conversation_length")), F.lit(-1)).alias("lvl"), "row_count")
+    level = F.coalesce(x.level_of_name(F.col("conversation_length")), F.lit(-1))
+    return depth.select("conversation_length", level.alias("lvl"), "row_count")
 
 
 @query
@@ -536,7 +538,8 @@ def merge_stripped_id(spark, sf_dir):
 def subreddit_tables(spark, sf_dir):
     """Ids, lookup entries and threads of one community."""
     c = corpus(spark, sf_dir)
-    ids = c.posts.where(F.col("subreddit") == "sub3").select(F.lit("ids").alias("part"), F.col("id").alias("posts"), F.lit("").alias("entry"))
+    of_community = c.posts.where(F.col("subreddit") == "sub3")
+    ids = of_community.select(F.lit("ids").alias("part"), F.col("id").alias("posts"), F.lit("").alias("entry"))
     lookup = filters.by_subreddit(threads.lookup_long(c.nodes), c.posts, "sub3")
     chosen = filters.by_subreddit(c.threads, c.posts, "sub3")
     return ids.unionByName(

@@ -102,13 +102,16 @@ def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     pieces = stage(joined(lines.where(~whole), [*SPLIT, "record"], "row"), "pieces")
     last = pieces.where(F.col("record") > 0).groupBy(*SPLIT).agg(F.max("record").alias("last"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    origin = F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("split").alias("origin"), F.col("last").alias("origin_record"))), True)
-    origins = totals.select(*SPLIT).join(last, SPLIT, "left").select(*SPLIT, origin.over(earlier).alias("from")).select(*SPLIT, "from.*")
+    begun = F.struct(F.col("split").alias("origin"), F.col("last").alias("origin_record"))
+    origin = F.last(F.when(F.col("last").isNotNull(), begun), ignorenulls=True).over(earlier)
+    origins = totals.select(*SPLIT).join(last, SPLIT, "left").select(*SPLIT, origin.alias("from")).select(*SPLIT, "from.*")
     head = pieces.where(F.col("record") > 0).withColumn("piece", F.col("split"))
     rest = (
         pieces.where(F.col("record") == 0)
         .join(origins, SPLIT)
-        .select("file", F.col("origin").alias("split"), F.col("origin_record").alias("record"), "value", F.col("split").alias("piece"))
+        .withColumnsRenamed({"split": "piece", "record": "rest"})
+        .withColumnsRenamed({"origin": "split", "origin_record": "record"})
+        .drop("rest")
     )
     several = joined(head.unionByName(rest), [*SPLIT, "record"], "piece").select("value")
     return single.unionByName(several).select(F.regexp_replace("value", "\r$", "").alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from replyforest.functions.expressions import cast_or_fail, typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
-from replyforest.sources.jsonl import BAD, files_by_name
+from replyforest.sources.jsonl import BAD, files_by_name, jsonl_columns
 from replyforest.sources.quoted import largest_file, records
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
@@ -48,13 +48,27 @@ def load_posts(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     return csv_tolerant_scan(spark, path, fields).select(*POST_FIELDS)
 
 
-def load_comments(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """The columns of the comments table; a score that is no number fails the job."""
-    return csv_text(spark, path, fields).select(
+def _comment_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         *[cast_or_fail(F.col("score"), "int").alias("score") if name == "score" else F.col(name) for name in COMMENT_FIELDS]
     )
 
 
+def load_comments(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The columns of the comments table; a score that is no number fails the job."""
+    return _comment_columns(csv_text(spark, path, fields))
+
+
+def posts_of_dump(spark: SparkSession, path: str) -> DataFrame:
+    """The posts table straight from JSON lines; a value of a wrong type becomes null."""
+    return jsonl_columns(spark, path, POST_FIELDS).select(*[typed(name, strict=False).alias(name) for name in POST_FIELDS])
+
+
+def comments_of_dump(spark: SparkSession, path: str) -> DataFrame:
+    """The comments table straight from JSON lines; a score that is no number fails the job."""
+    return _comment_columns(jsonl_columns(spark, path, COMMENT_FIELDS))
+
+
 def csv_head(spark: SparkSession, path: str, fields: list[str], n: int) -> DataFrame:
     """The first ``n`` rows, files in order of their names; no more is read than that needs."""
     reader = spark.read.schema(text_schema(fields)).options(**CSV_OPTIONS)

@@ -233,25 +233,37 @@ def test_tables_are_built_again_after_the_folder_was_cleared(spark, monkeypatch)
     assert exists(spark, shared_dir(spark))
 
 
-def test_study_from_dumps_to_tables(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("kind", ["csv", "jsonl"])
+def test_study_from_dumps_to_tables(spark, tmp_path, monkeypatch, kind):
+    import csv
     import sys
 
     from replyforest import __main__ as command
-
-    posts = "created_utc,id,name,title,selftext,subreddit,score,upvote_ratio,num_comments,archived,author,distinguished,media\n"
-    posts += "".join(f'1,p{i},t3_p{i},"a, title",text,cats,{i * 900},0.5,0,False,op,,\n' for i in range(3))
-    comments = "created_utc,id,body,score,controversiality,author,parent_id\n"
-    comments += "".join(f'1,c{i},"two\nlines",{i},0,u{i % 2},{"t3_p" if i < 6 else "t1_c"}{i % 3 if i < 6 else i - 6}\n' for i in range(12))
-    (tmp_path / "posts.csv").write_text(posts)
-    (tmp_path / "comments.csv").write_text(comments)
-    out = tmp_path / "out"
-    monkeypatch.setattr(sys, "argv", ["replyforest", str(tmp_path / "posts.csv"), str(tmp_path / "comments.csv"), str(out), "--min-rows", "1"])
+    from replyforest.schemas import RAW_COMMENT_FIELDS, RAW_POST_FIELDS
+
+    posts = [{"id": f"p{i}", "title": "a, title", "subreddit": "cats", "score": i * 900, "author": "op"} for i in range(3)]
+    comments = [
+        {"id": f"c{i}", "body": "two\nlines", "score": i, "author": f"u{i % 2}", "parent_id": f"t3_p{i % 3}" if i < 6 else f"t1_c{i - 6}"}
+        for i in range(12)
+    ]
+    paths = []
+    for name, rows, fields in (("posts", posts, RAW_POST_FIELDS), ("comments", comments, RAW_COMMENT_FIELDS)):
+        paths.append(str(tmp_path / name))
+        with open(paths[-1], "w", newline="", encoding="utf-8") as file:
+            if kind == "csv":
+                writer = csv.DictWriter(file, fields, lineterminator="\n")
+                writer.writeheader()
+                writer.writerows(rows)
+            else:
+                file.writelines(json.dumps(row) + "\n" for row in rows)
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(sys, "argv", ["replyforest", *paths, out, "--min-rows", "1", *(["--jsonl"] if kind == "jsonl" else [])])
     command.main()
-    counts = {r.table_name: r.row_count for r in spark.read.parquet(str(out / "row_counts")).collect()}
+    counts = {r.table_name: r.row_count for r in spark.read.parquet(f"{out}/row_counts").collect()}
     assert counts == {"posts": 3, "comments_to_posts": 6, "comments_to_comments_1": 6}
-    stored = spark.read.parquet(str(out / "stats")).where("stat = 'thread_lengths' AND segment = 'threads'")
+    stored = spark.read.parquet(f"{out}/stats").where("stat = 'thread_lengths' AND segment = 'threads'")
     assert {r.key: r.value for r in stored.collect()} == {"0": -3, "1": 0, "2": 6}
-    assert spark.read.parquet(str(out / "threads")).columns == ["posts", "comments_to_posts", "comments_to_comments_1"]
+    assert spark.read.parquet(f"{out}/threads").columns == ["posts", "comments_to_posts", "comments_to_comments_1"]
 
 
 def test_study_of_the_first_posts(spark):
