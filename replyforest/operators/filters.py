@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from replyforest.functions.expressions import post_withdrawn
 from replyforest.operators.threads import comment_facts
 
-VIRAL_SCORE = 1000
+VIRAL_SCORE = 1000  # fixed value: posts from here on are viral
 
 
 def of_posts(rows: DataFrame, posts: DataFrame) -> DataFrame:

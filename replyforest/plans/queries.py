@@ -130,7 +130,7 @@ def _write_lines(records: DataFrame, path: str, broken: bool = False) -> str:
 
 
 def _write_csv(rows: DataFrame, path: str) -> str:
-    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    tables.write_csv(rows, path)
     return path
 
 
@@ -162,7 +162,7 @@ def ingest_resumable(spark, sf_dir):
 def ingest_after_id(spark, sf_dir):
     path = _write_lines(_raw_comments(corpus(spark, sf_dir).comments), scratch_path(spark, "comments-jsonl"), broken=True)
     target = scratch_path(spark, "comments-csv")
-    written = jsonl.append_csv(jsonl.ingest_after_id(spark, path, RAW_COMMENT_FIELDS, "e105"), target)
+    written = tables.append_csv(jsonl.ingest_after_id(spark, path, RAW_COMMENT_FIELDS, "e105"), target)
     return (
         tables.csv_text(spark, target, RAW_COMMENT_FIELDS)
         .select(*[x.typed(f).alias(f) for f in RAW_COMMENT_FIELDS])

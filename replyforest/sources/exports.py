@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from replyforest.operators.sampling import as_json, sample_rows, sample_with_replacement, with_metadata
+from replyforest.sources.tables import write_csv
 
 
 def threads_jsonl_export(
@@ -21,4 +22,4 @@ def thread_to_samples(threads: DataFrame, posts: DataFrame, comments: DataFrame,
     """Appends the post rows and the comment rows of threads to two CSV folders."""
     of_posts, of_comments = sample_rows(threads, posts, comments)
     for rows, path in ((of_posts, posts_path), (of_comments, comments_path)):
-        rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+        write_csv(rows, path)

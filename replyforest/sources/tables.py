@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from replyforest.sources.quoted import largest_file, records
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+CSV_WRITING = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 SPLIT_ABOVE = 256 * 1024 * 1024  # the built-in reader takes a file up to this size in one task
 
 
@@ -35,8 +36,10 @@ def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], split_a
     """Short rows are padded with nulls; rows that are too long or of a wrong type are dropped."""
     schema = text_schema(fields).add(T.StructField(BAD, T.StringType()))
     rows = _csv_rows(spark, path, schema, split_above, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
-    # Both kinds of wrong length are flagged; only a row that is too long fills its last column.
-    keep = F.col(BAD).isNull() | F.col(fields[-1]).isNull()
+    # Both kinds of wrong length are flagged; the commas outside quotes tell them apart.
+    outside = F.regexp_replace(BAD, '"[^"]*"', "")
+    commas = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit("")))
+    keep = F.col(BAD).isNull() | (commas < len(fields))
     for name in fields:
         if name in FIELD_TYPES:
             keep = keep & (F.col(name).isNull() | typed(name, strict=False).isNotNull())
@@ -80,6 +83,19 @@ def csv_head(spark: SparkSession, path: str, fields: list[str], n: int) -> DataF
     return spark.createDataFrame(rows, text_schema(fields))
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Appends rows to a CSV folder: quotes doubled, blanks kept, a header in each file."""
+    rows.write.mode("append").options(**CSV_WRITING).csv(path)
+
+
+def append_csv(records: DataFrame, path: str) -> int:
+    """Appends records to a CSV folder, each file with its header; returns how many."""
+    seen = Observation()
+    observed = records.observe(seen, F.count(F.lit(1)).alias("rows"))
+    write_csv(observed, path)
+    return seen.get["rows"]
+
+
 def overwrite(df: DataFrame, path: str) -> DataFrame:
     """Replaces a table and returns it."""
     df.write.mode("overwrite").parquet(path)

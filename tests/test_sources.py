@@ -73,7 +73,7 @@ def test_resume_after_id_over_many_splits(spark, tmp_path, many_splits):
     assert jsonl.ingest_after_id(spark, path, ["score"], "never").count() == 0
     assert jsonl.ingest_after_id(spark, path, ["score"]).count() == 100
     out = str(tmp_path / "out")
-    assert jsonl.append_csv(frame, out) == 58 and jsonl.append_csv(frame, out) == 58
+    assert tables.append_csv(frame, out) == 58 and tables.append_csv(frame, out) == 58
     assert tables.csv_text(spark, out, ["score"]).count() == 116
 
 
@@ -91,6 +91,8 @@ lines, and ""quotes""",1,NA,t3_p
 b,short
 c,x,2,me,t3_p,too,long
 d,x,many,me,t3_p
+g,"x, ""y"", z",2,me,,long with an empty last column
+h,"short, but, with, many, commas ""in"" quotes",3
 e,,,,
 f,null,-5,None,t1_a
 '''
@@ -99,12 +101,12 @@ f,null,-5,None,t1_a
 def test_tolerant_csv(spark, tmp_path):
     path = write(tmp_path / "c.csv", CSV)
     rows = {r.id: r for r in tables.csv_tolerant_scan(spark, path, COMMENT_FIELDS).collect()}
-    assert sorted(rows) == ["a", "b", "e", "f"]
+    assert sorted(rows) == ["a", "b", "e", "f", "h"]
     assert rows["a"].body == 'two\nlines, and "quotes"' and rows["a"].author == "NA"
     assert rows["b"].score is None and rows["b"].parent_id is None and rows["e"].body is None
     assert rows["f"].score == -5 and rows["f"].body == "null" and rows["f"].author == "None"
     # Fewer columns must not change which rows are kept.
-    assert sorted(r.id for r in tables.csv_tolerant_scan(spark, path, COMMENT_FIELDS).select("id").collect()) == ["a", "b", "e", "f"]
+    assert sorted(r.id for r in tables.csv_tolerant_scan(spark, path, COMMENT_FIELDS).select("id").collect()) == ["a", "b", "e", "f", "h"]
 
 
 def test_csv_in_splits_gives_the_same_rows(spark, tmp_path, many_splits):
@@ -126,6 +128,16 @@ def test_csv_in_splits_gives_the_same_rows(spark, tmp_path, many_splits):
         assert len(whole) > 300 and sorted(whole) == sorted(split)
 
 
+def test_texts_come_back_as_they_were(spark, tmp_path):
+    texts = [" blanks ", "tab\t", "a\nb", "a\r\nb", "a\rb", 'q"', '"', '""', "back\\slash", 'back\\"', "comma, here", "é☃🙂", "#hash", "'single'", "NaN", "null", "\n", "x\n"]
+    rows = spark.createDataFrame([(f"i{n:02}", text, "end") for n, text in enumerate(texts)], "id string, body string, author string")
+    path = str(tmp_path / "c")
+    tables.write_csv(rows.coalesce(1), path)
+    for limit in (1 << 40, 0):
+        found = {r.id: r.body for r in tables.csv_text(spark, path, ["id", "body", "author"], limit).collect()}
+        assert found == {f"i{n:02}": text for n, text in enumerate(texts)}, limit
+
+
 def test_one_record_over_many_splits(spark, tmp_path, many_splits):
     body = "\n".join(f"line {i}" for i in range(400))
     path = write(tmp_path / "c.csv", f'id,body\na,x\nb,"{body}"\nc,"two\nlines"\n')
