@@ -55,15 +55,18 @@ def last_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return first_rows(df, n, *[F.col(name).desc() for name in order])
 
 
-def rows_at(df: DataFrame, picks: DataFrame, key: str, rows: int | None = None) -> DataFrame:
-    """The rows whose place in the order of a unique ``key`` is in ``picks(position, ...)``.
+def rows_at(df: DataFrame, picks: list[tuple[int, int]], key: str, rows: int | None = None) -> DataFrame:
+    """The rows at ``(pick, position)`` in the order of a unique ``key``, with the number of the pick.
 
     Only the key is put in order; the rows are fetched by it.
     """
-    places = numbered(df.select(key), key, rows=rows).join(F.broadcast(picks), "position").drop("position")
-    return df.join(F.broadcast(places), key)
+    wanted = df.sparkSession.createDataFrame(picks, "pick bigint, position bigint")
+    few = len(picks) <= SMALL_ROWS
+    places = numbered(df.select(key), key, rows=rows)
+    places = places.join(F.broadcast(wanted) if few else wanted, "position").drop("position")
+    return df.join(F.broadcast(places) if few else places, key)
 
 
 def row_at(df: DataFrame, offset: int, key: str, rows: int | None = None) -> DataFrame:
     """The row at a 0-based offset in the order of a unique ``key``."""
-    return rows_at(df, df.sparkSession.createDataFrame([(offset,)], "position bigint"), key, rows)
+    return rows_at(df, [(0, offset)], key, rows).drop("pick")

@@ -25,8 +25,7 @@ def at_offsets(threads: DataFrame, picks: list[tuple[int, int]], rows: int) -> D
     For tables with one thread per top-level comment, ``rows`` in all.  The picks are as
     many as the caller asks for, however large the table is.
     """
-    wanted = threads.sparkSession.createDataFrame(picks, "pick bigint, position bigint")
-    return rows_at(threads, wanted, "ctp_id", rows)
+    return rows_at(threads, picks, "ctp_id", rows)
 
 
 def random_thread(threads: DataFrame, seed: int) -> DataFrame | None:

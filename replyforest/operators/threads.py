@@ -160,7 +160,10 @@ def lookup_long(nodes: DataFrame, max_ids: int = 100_000) -> DataFrame:
     return (
         nodes.select("root_id", "lvl", "id")
         .join(crowded, ["root_id", "lvl"], "left")
-        .groupBy(F.col("root_id").alias("posts"), "lvl", part.alias("part"))
+        .select(F.col("root_id").alias("posts"), "lvl", part.alias("part"), "id")
+        # Without this a shuffled join would leave all parts of a level in one task.
+        .repartition("posts", "lvl", "part")
+        .groupBy("posts", "lvl", "part")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
 

@@ -63,6 +63,20 @@ def test_threads_shuffle_once(spark, nodes):
     assert text.count("Exchange") == 1 and "partial_max_by" in text
 
 
+def test_parts_of_a_crowded_level_go_to_different_tasks(spark, nodes, monkeypatch):
+    """Also when the list of crowded levels is too long to be broadcast."""
+    from replyforest import session
+
+    monkeypatch.setattr(session, "SMALL_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(threads.lookup_long(nodes, max_ids=1))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = [line for line in text.splitlines() if "Exchange" in line][0]
+    assert "posts#" in last and "lvl#" in last and "part#" in last
+
+
 def test_deduplication_and_join_share_a_shuffle(spark, nodes):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
