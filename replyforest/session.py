@@ -10,8 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-PARTITION_BYTES = 128 * 1024 * 1024  # input per shuffle partition
-MOST_PARTITIONS = 100_000
+# Only ids and small facts are shuffled, a tenth or so of the input; and map outputs are
+# tracked per partition, so that their number must not grow without end.
+INPUT_PER_PARTITION = 1024**3
+MOST_PARTITIONS = 20_000
 SMALL_ROWS = 200_000  # narrow rows that may be broadcast, or sorted in one task, once they were counted
 
 
@@ -45,7 +47,7 @@ def grow_shuffles(spark: SparkSession, *paths: str) -> int:
     """
     sizes = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
     current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(max(current, -(-sizes // PARTITION_BYTES)), MOST_PARTITIONS)
+    wanted = min(max(current, -(-sizes // INPUT_PER_PARTITION)), MOST_PARTITIONS)
     if wanted > current:
         spark.conf.set("spark.sql.shuffle.partitions", wanted)
     return max(wanted, current)

@@ -287,7 +287,7 @@ def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         assert session.grow_shuffles(spark, str(tmp_path / "f")) == int(before)
-        monkeypatch.setattr(session, "PARTITION_BYTES", 10)
+        monkeypatch.setattr(session, "INPUT_PER_PARTITION", 10)
         assert session.grow_shuffles(spark, str(tmp_path / "f")) == 100
         assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
     finally:
