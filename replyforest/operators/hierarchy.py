@@ -65,7 +65,8 @@ def _climb(below: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has one row per id, so the join never multiplies rows, and a hot parent
     is a skewed key on one side only, which adaptive execution splits.  What meets
-    nothing can never attach and drops out.
+    nothing, or is still to climb to a comment it has passed, can never attach and drops
+    out; so paths along a cycle do not keep growing.
     """
     above = targets.select(
         F.col("id").alias("pointer"),
@@ -73,7 +74,7 @@ def _climb(below: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("path").alias("path_above"),
         F.col("status").alias("next_status"),
     )
-    return below.drop("status").join(above, "pointer").select(
+    climbed = below.drop("status").join(above, "pointer").select(
         "id",
         F.col("next_pointer").alias("pointer"),
         F.concat("path_above", "path").alias("path"),
@@ -81,6 +82,7 @@ def _climb(below: DataFrame, targets: DataFrame) -> DataFrame:
         "is_target",
         "is_option",
     )
+    return climbed.where((F.col("status") != OPEN) | ~F.array_contains("path", F.col("pointer")))
 
 
 def _settle_options(options: DataFrame, folder: str) -> DataFrame:
@@ -165,15 +167,12 @@ def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder:
 
     fixed = targets.where(F.col("status") != OPEN)
     pieces: list[DataFrame] = []
-    open_rows = -1
     while True:
-        is_open, open_before = F.col("status") == OPEN, open_rows
+        is_open = F.col("status") == OPEN
         step, open_rows = stage_and_count(_climb(below, targets), "climb", is_open, "status", folder)
         pieces.append(step.where(~is_open))
         below = step.where(is_open)
-        # Each round takes every comment nearer than the doubled distance off the open
-        # ones, so a round that takes none leaves only cycles and what hangs on them.
-        if open_rows in (0, open_before):
+        if open_rows == 0:
             break
         # With ids that have several parents the levels are known only in the end.
         if min_rows and not ambiguous_ids and len(pieces) > 1 and _short_level_known(pieces, min_rows):

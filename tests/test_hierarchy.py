@@ -41,6 +41,11 @@ def test_cycles_never_attach(spark):
     assert len(check(spark, ["p"], links)) == 41
 
 
+def test_long_cycle_ends(spark):
+    links = [(f"r{i}", f"r{(i + 1) % 37}") for i in range(37)] + [(f"h{i}", f"r{i}" if i < 5 else f"h{i - 5}") for i in range(60)]
+    assert set(check(spark, ["p"], [("a", "p"), *links])) == {"a"}
+
+
 def test_parent_that_is_post_and_comment(spark):
     found = check(spark, ["p", "x"], [("a", "p"), ("x", "a"), ("b", "x"), ("c", "b")])
     assert found["b"] == ("x", ("b",)) and found["x"] == ("p", ("a", "x"))
