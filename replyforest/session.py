@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 # tracked per partition, so that their number must not grow without end.
 INPUT_PER_PARTITION = 1024**3
 MOST_PARTITIONS = 20_000
+LOCAL_FOLDER = "/tmp/checkpoints"  # of a local session that names no folder
 SMALL_ROWS = 200_000  # narrow rows that may be broadcast, or sorted in one task, once they were counted
 
 
@@ -54,18 +54,16 @@ def grow_shuffles(spark: SparkSession, *paths: str) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local session without the setting gets a folder of its own.
+    A local session without the setting, as in a trial, uses ``LOCAL_FOLDER``.
     """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="replyforest-"))
-    return sc.getCheckpointDir().rstrip("/")
+    return LOCAL_FOLDER
 
 
 def scratch_root(spark: SparkSession) -> str:
