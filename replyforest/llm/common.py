@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +86,17 @@ def _staged_with_mark(pairs: DataFrame, folder: str) -> tuple[DataFrame, tuple]:
     return staged, (row[0], row[1])
 
 
-def columns_like(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """The columns of ``wanted`` in their order."""
-    return df.select(*[F.col(f"`{name}`") for name in wanted])
+def rows_that_stay(docs: DataFrame, doc_id: str, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided (doc_id, key, kept)`` keeps, with their columns.
+
+    ``key`` tells texts of one id apart.  Rows that repeat id and key stay or go together, and one of them stays.
+    Only what goes is looked up.
+    """
+    going = decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_times"))
+    going = going.where("not _kept or _times > 1")
+    met = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    joined = docs.withColumn("_key", key).join(going, met, "left").where("_kept is null or _kept")
+    if not going.where("_kept and _times > 1").isEmpty():
+        copies = Window.partitionBy(F.col(f"`{doc_id}`"), "_key").orderBy("_key")
+        joined = joined.withColumn("_n", F.row_number().over(copies)).where("_n = 1 or _times is null")
+    return joined.select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -7,10 +7,10 @@ from then on only digests, numbers and lists of numbers move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyforest.llm.common import text_of
+from replyforest.llm.common import rows_that_stay, text_of
 from replyforest.session import passing_folder, stage
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -98,17 +98,7 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
-
-    Rows that go are found by id and the SHA-256 of the normalised text; rows that repeat both are put together first.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, found by id and normalised text.
     """
-    decided = exact_dedup(docs, text, doc_id)
-    going = decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_times"))
-    going = going.where("not _kept or _times > 1")
-    marked = docs.withColumn("_key", F.sha2(normalised(F.col(f"`{text}`")).cast("binary"), 256))
-    met = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))
-    joined = marked.join(going, met, "left").where("_kept is null or _kept")
-    if not going.where("_kept and _times > 1").isEmpty():  # rows of one id and text: one of them stays
-        copies = Window.partitionBy(F.col(f"`{doc_id}`"), "_key").orderBy("_key")
-        joined = joined.withColumn("_n", F.row_number().over(copies)).where("_n = 1")
-    return joined.select(*[F.col(f"`{name}`") for name in docs.columns])
+    decided = exact_dedup(docs, text, doc_id).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return rows_that_stay(docs, doc_id, F.sha2(normalised(F.col(f"`{text}`")).cast("binary"), 256), decided)
