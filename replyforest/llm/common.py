@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from one task to the next; a module of its own, as functions travel with the job."""
+    return sys.modules.setdefault("replyforest_worker_cache", types.ModuleType("replyforest_worker_cache")).__dict__
+
+
 def utf8_bytes(column: Column) -> Column:
     return F.encode(column, "UTF-8")
 
