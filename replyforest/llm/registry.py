@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforest.llm import exact_dedup, near_dedup, packing
+from replyforest.llm import exact_dedup, near_dedup, packing, private_data
 from replyforest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ WITH RECURSIVE words AS (
 SELECT c.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
 FROM components c LEFT JOIN sizes s ON s.doc_id = c.doc_id
 """
+
+
+@query
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return private_data.find_private_data(table(spark, sf_dir, "documents"))
