@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from replyforest.llm import exact_dedup, near_dedup, packing, private_data, quality
+from replyforest.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, neighbours, packing, private_data, quality, sharding, warc
 from replyforest.llm.common import table, vocabulary
+from replyforest.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents and the one of each that stays."""
@@ -76,6 +83,55 @@ FROM components c LEFT JOIN sizes s ON s.doc_id = c.doc_id
 """
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every page that its site does not repeat."""
+    return line_dedup.site_lines(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_line_dedup"] = r"""
+WITH seen AS (
+    SELECT row_number() OVER () AS r, page_id,
+        lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+        list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+            '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'),
+            '(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s[^>]*)?/?>',
+            chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+    FROM pages
+), single AS (
+    SELECT DISTINCT r, host, line FROM (SELECT r, host, unnest(lines) AS line FROM seen)
+), totals AS (
+    SELECT host, count(*) AS pages FROM seen GROUP BY host
+), often AS (
+    SELECT s.host, s.line FROM single s JOIN totals t ON t.host = s.host
+    GROUP BY s.host, s.line, t.pages HAVING count(*) >= 3 AND count(*) > t.pages * 0.5
+), known AS (
+    SELECT host, list(line) AS drops FROM often GROUP BY host
+), kept AS (
+    SELECT page_id, s.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(drops, []), x)) AS stay
+    FROM seen s LEFT JOIN known k ON k.host = s.host
+)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped,
+    sha256(array_to_string(stay, chr(10))) AS kept_sha256
+FROM kept
+"""
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors["vec_id"] % 20 == 0)
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by byte-level BPE and decoded again."""
+    import public_tokenizers
+
+    return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
@@ -89,6 +145,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    return warc.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
