@@ -24,7 +24,8 @@ from replyforest.session import passing_folder, stage
 
 CAPACITY = 4096
 END = 1  # the id after the last one of a document
-CACHED_WORDS = 300_000  # words with their ids that a worker keeps, twice at most
+CACHED_WORDS = 450_000  # words with their ids that a worker keeps, twice at most
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # but no apostrophe, which may begin a word
 SLOTS_AT_ONCE = 1 << 18
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -32,7 +33,9 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 class WordIds:
     """Ids of words as little-endian bytes, kept in two generations so that frequent words stay.
 
-    The tokenizer drops white space and no token crosses it, so a text has the ids of its words one after another.
+    The tokenizer ignores case, drops white space, and no token crosses it, so a text has the ids of its words one
+    after another.  Nor does a token cross from letters to marks, so a word with marks at its end has the ids of the
+    word and those of the marks.
     """
 
     def __init__(self, path: str):
@@ -40,6 +43,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -47,16 +53,39 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encoded_runs(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only, in one text; the ids tell where a word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):
+            return self._encoded(words)
+        data, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
+        return [data[i:j] for i, j in zip(starts, ends.tolist())]
+
+    def _new(self, words: list[bytes]) -> None:
+        for begin in range(0, len(words), 4096):
+            some = words[begin : begin + 4096]
+            texts = [word.decode() for word in some]
+            runs = [i for i, text in enumerate(texts) if text.isalpha()]
+            others = [i for i, text in enumerate(texts) if not text.isalpha()]
+            for places, encoded in ((runs, self._encoded_runs), (others, self._encoded)):
+                if places:
+                    self.young.update(zip([some[i] for i in places], encoded([texts[i] for i in places])))
+
     def _learn(self, wanted: set[bytes]) -> None:
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
         fresh = wanted - self.young.keys()
         again = fresh & self.old.keys()
         self.young.update((word, self.old[word]) for word in again)
-        missing = list(fresh - again)
-        for begin in range(0, len(missing), 4096):
-            some = missing[begin : begin + 4096]
-            self.young.update(zip(some, self._encoded([word.decode() for word in some])))
+        fresh -= again
+        marked = {word: word.rstrip(MARKS) for word in fresh if word[-1] in MARKS}
+        # Without letters before them, or with an apostrophe, marks are left to the tokenizer.
+        marked = {word: core for word, core in marked.items() if core.isalpha()}
+        parts = {word[len(core) :] for word, core in marked.items()} | set(marked.values()) | (fresh - marked.keys())
+        self._new(list(parts - self.young.keys()))
+        young = self.young
+        young.update((word, young[core] + young[word[len(core) :]]) for word, core in marked.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
@@ -66,7 +95,7 @@ class WordIds:
             if text and ("\x0b" in text or "\x0c" in text):
                 out[i] = self._encoded([text])[0]  # white space of which tokenizers differ
             else:
-                words[i] = (text or "").encode().split()
+                words[i] = (text or "").encode().lower().split()
         self._learn(set().union(*[w for w in words if w]))
         for i, own in enumerate(words):
             if own is not None:
