@@ -12,6 +12,7 @@ from replyforest.operators.hierarchy import stripped
 from replyforest.operators.ranking import rows_at
 from replyforest.operators.threads import members
 from replyforest.schemas import level_name
+from replyforest.session import small_side
 
 
 def seeded_offset(seed: int, rows: int) -> int:
@@ -77,11 +78,11 @@ def with_metadata(threads: DataFrame, posts: DataFrame, comments: DataFrame, by:
     """Every id of a thread replaced by its row; an unknown id becomes null.
 
     ``by`` names the threads.  Rows gather per thread, which is no longer than its tree
-    is deep.  The few wanted ids are the small side of both joins.
+    is deep.  The wanted ids are counted while they are written, and few of them are broadcast, so that the texts of
+    all other comments are not shuffled.
     """
     ids = members(threads.withColumn("ctp_id", F.col(by))).withColumnRenamed("ctp_id", by).drop("posts")
-    wanted = ids.select("id", "parent_id").distinct()
-    rows = comment_rows(comments.join(wanted.select("id").distinct(), "id", "left_semi"))
+    rows = comment_rows(comments.join(small_side(ids.select("id").distinct()), "id", "left_semi"))
     row = F.struct(*[F.col(name) for name in comments.columns])
     found = rows.select("id", "parent_id", row.alias("comment"))
     per_thread = (
@@ -91,7 +92,8 @@ def with_metadata(threads: DataFrame, posts: DataFrame, comments: DataFrame, by:
         .select(by, F.transform("levels", lambda level: level["comment"]).alias("comments"))
     )
     post_row = F.struct(*[F.col(name) for name in posts.columns])
-    heads = post_rows(posts.join(threads.select(F.col("posts").alias("id")).distinct(), "id", "left_semi")).select(
+    roots = small_side(threads.select(F.col("posts").alias("id")).distinct())
+    heads = post_rows(posts.join(roots, "id", "left_semi")).select(
         F.col("id").alias("posts"), post_row.alias("post")
     )
     return (
@@ -112,7 +114,7 @@ def as_json(threads: DataFrame, levels: int) -> DataFrame:
 def sample_rows(threads: DataFrame, posts: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The post rows and the comment rows behind threads, comments with stripped parent id."""
     ids = members(threads).select("id", "parent_id").distinct()
-    of_threads = posts.join(threads.select(F.col("posts").alias("id")), "id", "left_semi")
-    in_threads = comments.join(ids.select("id"), "id", "left_semi")
+    of_threads = posts.join(small_side(threads.select(F.col("posts").alias("id")).distinct()), "id", "left_semi")
+    in_threads = comments.join(small_side(ids.select("id").distinct()), "id", "left_semi")
     chosen = comment_rows(in_threads).join(ids, ["id", "parent_id"], "left_semi")
     return post_rows(of_threads), chosen.select(*comments.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from replyforest.functions.expressions import name_of_level
 from replyforest.operators.filters import FAMILIES, in_segments
 from replyforest.operators.ranking import first_rows, numbered_within
-from replyforest.operators.threads import connected
+from replyforest.operators.threads import connected, post_facts
 from replyforest.session import stage_and_count
 
 EPSILON = 1e-4  # fixed value in the denominator of the weighted average
@@ -48,6 +48,23 @@ def depth_distribution(threads: DataFrame, levels: int) -> DataFrame:
     )
 
 
+def depth_of_all_threads(nodes: DataFrame, levels: int) -> DataFrame:
+    """``depth_distribution`` of the table of all threads, without its paths.
+
+    Every attached comment ends a thread and occurs at its own level only, so a column has as many ids as the level
+    has comments; only the posts need a distinct count.
+    """
+    attached = connected(nodes)
+    counts = attached.groupBy((F.col("lvl") + 1).alias("ord")).agg(F.count("*").alias("row_count"))
+    roots = attached.agg(F.lit(0).cast("bigint").alias("ord"), F.count_distinct("root_id").alias("row_count"))
+    columns = nodes.sparkSession.range(levels + 1).select(F.col("id").alias("ord"))
+    return columns.join(roots.unionByName(counts), "ord", "left").select(
+        "ord",
+        name_of_level(F.col("ord") - 1).alias("conversation_length"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+    )
+
+
 def depth_from_lengths(lengths: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
     """``depth_distribution`` per segment, of tables with one thread per top-level comment.
 
@@ -101,10 +118,10 @@ def histogram(rows: DataFrame, key: Column, name: str, count: str) -> DataFrame:
 
 
 def subreddit_distribution(threads: DataFrame, posts: DataFrame) -> DataFrame:
-    """Threads per community; counted per post before the posts are joined."""
+    """Threads per community, those without one under null; counted per post before the posts are joined."""
     per_post = threads.groupBy("posts").agg(F.count("*").alias("threads"))
     return (
-        per_post.join(posts.select(F.col("id").alias("posts"), "subreddit"), "posts")
+        per_post.join(post_facts(posts).select("posts", "subreddit"), "posts")
         .groupBy("subreddit")
         .agg(F.sum("threads").alias("number_of_posts"))
     )
@@ -129,7 +146,8 @@ def lookup_shapes(posts: DataFrame, widths: DataFrame) -> DataFrame:
         F.count("*").alias("levels"), F.max("width").alias("widest"), F.collect_list("width").alias("widths")
     )
     return (
-        posts.select(F.col("id").alias("posts"), "subreddit")
+        post_facts(posts)
+        .select("posts", "subreddit")
         .join(per_post, "posts", "left")
         .select(
             "posts",
@@ -203,7 +221,7 @@ def segment_histograms(tagged: DataFrame, levels: int) -> DataFrame:
     posts; the rest works on the counts.
     """
     stat, seg, value = F.col("stat"), F.col("segment"), F.col("value")
-    is_label = (stat == "subreddit_distribution") & F.col("label").isNotNull()
+    is_label = stat == "subreddit_distribution"
     counts, label_rows = stage_and_count(segment_counts(tagged), "counts", is_label)
     numbers = counts.where(~stat.isin("thread_lengths", "subreddit_distribution"))
     lengths = counts.where(stat == "thread_lengths").select("segment", F.col("number").alias("length"), value.alias("threads"))

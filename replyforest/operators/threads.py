@@ -14,7 +14,7 @@ from replyforest.functions.expressions import (
 )
 from replyforest.operators.hierarchy import stripped
 from replyforest.schemas import level_name
-from replyforest.session import small_side, stage
+from replyforest.session import stage
 
 
 def connected(nodes: DataFrame) -> DataFrame:
@@ -143,26 +143,16 @@ def thread_facts(threads: DataFrame, posts: DataFrame, comments: DataFrame) -> D
     )
 
 
-def lookup_long(nodes: DataFrame, max_ids: int = 100_000) -> DataFrame:
+def lookup_long(nodes: DataFrame, parts: int = 1) -> DataFrame:
     """Sorted ids per post, level and part.
 
-    A level with more than about ``max_ids`` comments is spread over parts by the hash
-    of the id, so no array and no task has to hold a whole hot post.
+    With several ``parts`` every level is spread over them by the hash of the id, so that neither an array nor a task
+    has to hold a whole hot post; the parts of a level hold each of its ids once.
     """
-    nodes = connected(nodes)
-    crowded = small_side(
-        nodes.groupBy("root_id", "lvl")
-        .agg(F.count("*").alias("width"))
-        .where(F.col("width") > max_ids)
-        .select("root_id", "lvl", F.ceil(F.col("width") / max_ids).alias("parts"))
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("bigint").alias("part")
     return (
-        nodes.select("root_id", "lvl", "id")
-        .join(crowded, ["root_id", "lvl"], "left")
-        .select(F.col("root_id").alias("posts"), "lvl", part.alias("part"), "id")
-        # Without this a shuffled join would leave all parts of a level in one task.
-        .repartition("posts", "lvl", "part")
+        connected(nodes)
+        .select(F.col("root_id").alias("posts"), "lvl", part, "id")
         .groupBy("posts", "lvl", "part")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
@@ -171,13 +161,14 @@ def lookup_long(nodes: DataFrame, max_ids: int = 100_000) -> DataFrame:
 def lookup_table(posts: DataFrame, long: DataFrame, levels: int) -> DataFrame:
     """The wide lookup: one array of ids per level; posts without comments keep nulls.
 
-    A post has one row, and one more per part where a level was spread.
+    A post has one row per part that holds ids of it, one at least; a post that was dumped twice has no more.
     """
     wide = long.groupBy("posts", "part").agg(
         *[F.first(F.when(F.col("lvl") == i, F.col("ids")), ignorenulls=True).alias(level_name(i)) for i in range(levels)]
     )
     return (
         posts.select(F.col("id").alias("posts"))
+        .distinct()
         .join(wide, "posts", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
     )

@@ -20,13 +20,13 @@ def _discussion(kind: str) -> str:
     return f"posts AS ({posts.format(**names)}), comments AS ({comments.format(**names)})"
 
 
-def _tree(roots: str = "posts") -> str:
+def _tree(roots: str = "posts", comments: str = "comments") -> str:
     return f"""tree(id, parent_id, root_id, ctp_id, lvl, path) AS (
   SELECT c.id, p.id, p.id, c.id, CAST(0 AS BIGINT), [c.id]
-  FROM comments c JOIN {roots} p ON substring(c.parent_id, 4) = p.id
+  FROM {comments} c JOIN {roots} p ON substring(c.parent_id, 4) = p.id
   UNION ALL
   SELECT c.id, t.id, t.root_id, t.ctp_id, t.lvl + 1, list_append(t.path, c.id)
-  FROM comments c JOIN tree t ON substring(c.parent_id, 4) = t.id)"""
+  FROM {comments} c JOIN tree t ON substring(c.parent_id, 4) = t.id)"""
 
 
 CUTS = """
@@ -244,8 +244,9 @@ FROM picks k JOIN placed t USING (pos) JOIN posts p ON p.id = t.posts JOIN facts
             _picks([7], 100),
         ),
         "thread_to_samples": _on_threads(
-            """SELECT id, CAST(NULL AS VARCHAR) AS parent_id, score FROM posts WHERE id IN (SELECT posts FROM clean)
-UNION ALL SELECT id, substring(parent_id, 4), score FROM comments
+            """SELECT id, CAST(NULL AS VARCHAR) AS parent_id, score, author, title, selftext AS body FROM posts
+  WHERE id IN (SELECT posts FROM clean)
+UNION ALL SELECT id, substring(parent_id, 4), score, author, NULL, body FROM comments
   WHERE id IN (SELECT m.id FROM members m JOIN clean USING (ctp_id))"""
         ),
         # projections, filters, scalar expressions
@@ -289,7 +290,8 @@ UNION ALL SELECT id, 'comment' FROM comments WHERE author IN ('[deleted]', '[rem
 FROM tree GROUP BY root_id, lvl"""
         ),
         "json_parse": _on_posts(
-            "SELECT id, CAST(json_extract(selftext, '$.k') AS BIGINT) AS k FROM posts WHERE selftext <> '[removed]'"
+            """SELECT id, CASE WHEN json_valid(selftext) THEN TRY_CAST(json_extract(CASE WHEN json_valid(selftext) THEN selftext END, '$.k') AS BIGINT) END AS k
+FROM posts"""
         ),
         "json_write": _on_posts(
             """SELECT id, '{"id":"' || id || '","subreddit":"' || subreddit || '","score":' || score || '}' AS record FROM posts"""
@@ -319,9 +321,10 @@ FROM ({_level_counts_by_name('tree')})"""
         "unroll_levels_min_rows": _on_cut("SELECT id, parent_id, root_id, ctp_id, lvl, connected FROM c1"),
         "consume_matched": _on_tree(f"SELECT {COMMENT} FROM comments WHERE id NOT IN (SELECT id FROM tree WHERE lvl <= 1)"),
         "orphans": _sql(
-            f"SELECT {COMMENT} FROM comments WHERE id NOT IN (SELECT id FROM tree)",
-            "loaded AS (SELECT * FROM posts WHERE score >= 1000)",
-            _tree("loaded"),
+            f"SELECT {COMMENT} FROM remaining WHERE id NOT IN (SELECT id FROM tree)",
+            """remaining AS (SELECT * FROM comments WHERE NOT coalesce(author IN ('[deleted]', '[removed]'), FALSE)
+  AND NOT coalesce(body IN ('[deleted]', '[removed]'), FALSE))""",
+            _tree(comments="remaining"),
         ),
         "first_sparse_level": _sql(
             """SELECT min(CASE WHEN lvl >= 1 AND n / top < ratio THEN lvl END) AS lvl, CAST(ratio AS DOUBLE) AS ratio
@@ -340,13 +343,13 @@ WHERE lvl < 3 AND id NOT IN (SELECT unnest(path[1:3]) FROM tree WHERE lvl = 3)""
         "lookup_table_in_parts": _on_tree("SELECT root_id AS posts, id FROM tree"),
         "all_threads": _on_tree(f"SELECT root_id AS posts, ctp_id, {PATH} FROM tree"),
         "merge_fullname": _on_posts(
-            """SELECT p.id AS id_post, p.title, p.subreddit, p.score AS score_post, p.author AS author_post, 't3_' || p.id AS name,
-  c.id AS id_comment, c.score AS score_comment, c.author AS author_comment, c.parent_id
+            """SELECT p.id AS id_post, p.title, p.selftext, p.subreddit, p.score AS score_post, p.author AS author_post,
+  't3_' || p.id AS name, c.id AS id_comment, c.body, c.score AS score_comment, c.author AS author_comment, c.parent_id
 FROM posts p JOIN comments c ON 't3_' || p.id = c.parent_id"""
         ),
         "merge_stripped_id": _on_posts(
-            """SELECT p.id AS id_post, p.title, p.subreddit, p.score AS score_post, p.author AS author_post,
-  c.id AS id_comment, c.score AS score_comment, c.author AS author_comment, c.parent_id,
+            """SELECT p.id AS id_post, p.title, p.selftext, p.subreddit, p.score AS score_post, p.author AS author_post,
+  c.id AS id_comment, c.body, c.score AS score_comment, c.author AS author_comment, c.parent_id,
   substring(c.parent_id, 4) AS post_id, substring(c.parent_id, 1, 3) AS prefix
 FROM posts p JOIN comments c ON p.id = substring(c.parent_id, 4)"""
         ),
@@ -452,6 +455,7 @@ FROM members m JOIN clean USING (ctp_id) JOIN comments c ON c.id = m.id"""
         "distinct_rows": _on_posts("SELECT DISTINCT body, score, author FROM comments"),
         # sampling
         "random_thread": _sql(f"SELECT {THREAD} FROM picks JOIN placed USING (pos)", _tree(), _threads(), _picks([42], 1)),
+        "random_thread_unseeded": "SELECT CAST(1 AS BIGINT) AS picked, CAST(1 AS BIGINT) AS known",
         "subset_tables": _sql(
             f"""SELECT CAST(seed // 100 + 1 AS BIGINT) AS subset, CAST(seed // 100 * 3 + seed % 100 AS BIGINT) AS pick, {THREAD}
 FROM picks JOIN placed USING (pos)""",
@@ -507,6 +511,21 @@ UNION ALL SELECT stat, segment, 'iqr', CAST(iqr AS DOUBLE) FROM quartiles""",
             QUARTILES,
             AVERAGES,
         ),
+        "study_tables": _sql(
+            """SELECT 'threads' AS table_name, posts AS a, path[1] AS b, array_to_string(path, '>') AS value FROM clean
+UNION ALL SELECT 'segments', segment, ctp_id, array_to_string(path, '>') FROM seg
+UNION ALL SELECT 'lookup', p.id, '', CAST(count(t.id) AS VARCHAR) FROM posts p LEFT JOIN kept t ON t.root_id = p.id GROUP BY p.id
+UNION ALL SELECT 'nodes', id, parent_id, CAST(lvl AS VARCHAR) FROM c2
+UNION ALL SELECT 'averages', stat, segment, CAST(round(average, 6) AS VARCHAR) FROM averages
+UNION ALL SELECT 'quartiles', stat, segment, q1 || '/' || q2 || '/' || q3 FROM quartiles""",
+            _tree(),
+            CUTS,
+            "kept AS (SELECT * FROM c2 WHERE connected)",
+            _threads("kept"),
+            _stats("kept", "c2"),
+            QUARTILES,
+            AVERAGES,
+        ),
         "longest_thread_lengths": _on_tree(
             """SELECT length, count(*) AS threads FROM (SELECT max(lvl) + 1 AS length FROM tree GROUP BY ctp_id) GROUP BY length"""
         ),

@@ -13,7 +13,7 @@ from replyforest.operators import explore, filters, hierarchy, ranking, sampling
 from replyforest.plans import study
 from replyforest.plans.corpus import Corpus
 from replyforest.schemas import COMMENT_FIELDS, POST_FIELDS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, level_name
-from replyforest.session import exists, grow_shuffles, mark, scratch_path
+from replyforest.session import exists, grow_shuffles, mark, scratch_path, stage
 from replyforest.sources import exports, jsonl, tables
 from replyforest.sources import stats_store as store
 from replyforest.streaming import ingest
@@ -68,6 +68,14 @@ def histograms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def wide_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus for tables with ``LEVELS`` columns, which must hold all of its levels."""
+    c = corpus(spark, sf_dir)
+    if c.levels > LEVELS:
+        raise ValueError(f"{c.levels} levels do not fit in {LEVELS} columns")
+    return c
+
+
 def _path_text(column: str = "path"):
     return F.array_join(column, ">").alias("path")
 
@@ -120,11 +128,14 @@ def _post_values(posts: DataFrame) -> DataFrame:
 
 
 def _write_lines(records: DataFrame, path: str, broken: bool = False) -> str:
-    """JSON lines in id order; ``broken`` adds a cut-off copy of every line."""
+    """JSON lines in id order; ``broken`` adds malformed copies of every line."""
     lines = records.select("id", F.to_json(F.struct(*records.columns)).alias("value"))
     if broken:
         cut = lines.withColumn("value", F.expr("left(value, length(value) - 3)"))
-        lines = lines.unionByName(cut)
+        twice = lines.withColumn("value", F.concat("value", "value"))
+        trailing = lines.withColumn("value", F.concat("value", F.lit(" xyz")))
+        quoted = lines.withColumn("value", F.concat(F.lit("{'id':'"), "id", F.lit("'}")))
+        lines = lines.unionByName(cut).unionByName(twice).unionByName(trailing).unionByName(quoted)
     lines.repartitionByRange("id").sortWithinPartitions("id", "value").select("value").write.mode("append").text(path)
     return path
 
@@ -243,8 +254,8 @@ def stats_store_json(spark, sf_dir):
     rows, _ = histograms(spark, sf_dir)
     path = scratch_path(spark, "stats-json")
     store.export_json(rows, path)
-    parsed = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("name", "counts"))
-    return parsed.select("name", F.explode("counts").alias("key", "value"))
+    entry = F.from_json("value", "name string, ord bigint, key string, value bigint")
+    return spark.read.text(path).select(entry.alias("entry")).select("entry.name", "entry.key", "entry.value")
 
 
 @query
@@ -271,8 +282,10 @@ def thread_to_samples(spark, sf_dir):
     to_posts, to_comments = scratch_path(spark, "posts-samples"), scratch_path(spark, "comments-samples")
     exports.thread_to_samples(c.clean.select("posts", "ctp_id", "path"), c.posts, c.comments, to_posts, to_comments)
     no_parent = F.lit(None).cast("string").alias("parent_id")
-    of_posts = tables.csv_text(spark, to_posts, c.posts.columns).select("id", no_parent, "score")
-    of_comments = tables.csv_text(spark, to_comments, c.comments.columns).select("id", "parent_id", "score")
+    of_posts = tables.csv_text(spark, to_posts, c.posts.columns)
+    of_posts = of_posts.select("id", no_parent, "score", "author", "title", F.col("selftext").alias("body"))
+    no_title = F.lit(None).cast("string").alias("title")
+    of_comments = tables.csv_text(spark, to_comments, c.comments.columns).select("id", "parent_id", "score", "author", no_title, "body")
     return of_posts.unionByName(of_comments).withColumn("score", F.col("score").cast("bigint"))
 
 
@@ -302,11 +315,8 @@ def filter_subreddit(spark, sf_dir):
 @query
 def filter_by_score(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    halves = [
-        filters.by_score(c.clean, c.posts, viral).select(F.lit(name).alias("segment"), "posts", "ctp_id")
-        for name, viral in (("threads_viral", True), ("threads_non_viral", False))
-    ]
-    return halves[0].unionByName(halves[1])
+    rows = c.clean.select(filters.virality(F.col("post_score")).alias("segment"), "posts", "ctp_id")
+    return rows.where(F.col("segment").isNotNull())
 
 
 @query
@@ -331,7 +341,7 @@ def non_null_filter(spark, sf_dir):
 @query
 def thread_length(spark, sf_dir):
     """Non-null ids of every wide thread, with and without the post."""
-    c = corpus(spark, sf_dir)
+    c = wide_corpus(spark, sf_dir)
     wide = threads.widen(threads.all_threads(c.nodes).withColumn("leaf", F.element_at("path", -1)), LEVELS)
     ids = [F.col(name) for name in wide.columns]
     return wide.select(
@@ -351,7 +361,7 @@ def null_default(spark, sf_dir):
 
 @query
 def pad_levels(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = wide_corpus(spark, sf_dir)
     return threads.widen(threads.all_threads(c.nodes), LEVELS)
 
 
@@ -376,7 +386,8 @@ def typed_cast(spark, sf_dir):
 @query
 def array_length(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return threads.lookup_long(c.nodes).select("posts", "lvl", F.size("ids").cast("bigint").alias("width"))
+    parts = threads.lookup_long(c.nodes, parts=3)
+    return parts.groupBy("posts", "lvl").agg(F.sum(F.size("ids")).alias("width"))
 
 
 @query
@@ -391,7 +402,7 @@ def parse_list_string(spark, sf_dir):
 def json_parse(spark, sf_dir):
     """The number inside the JSON text of the posts."""
     body = F.from_json("selftext", "struct<k:bigint>")
-    return corpus(spark, sf_dir).posts.where(F.col("selftext") != "[removed]").select("id", body["k"].alias("k"))
+    return corpus(spark, sf_dir).posts.select("id", body["k"].alias("k"))
 
 
 @query
@@ -402,7 +413,7 @@ def json_write(spark, sf_dir):
 @query
 def regex_level(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    depth = stats.depth_distribution(threads.all_threads(c.nodes), c.levels)
+    depth = stats.depth_of_all_threads(c.nodes, c.levels)
     level = F.coalesce(x.level_of_name(F.col("conversation_length")), F.lit(-1))
     return depth.select("conversation_length", level.alias("lvl"), "row_count")
 
@@ -471,11 +482,10 @@ def consume_matched(spark, sf_dir):
 
 @query
 def orphans(spark, sf_dir):
-    """Comments that never attach when only the viral posts are loaded."""
+    """Comments that never attach once withdrawn comments are gone: what hung on those."""
     c = corpus(spark, sf_dir)
-    loaded = c.posts.where(F.col("score") >= filters.VIRAL_SCORE)
-    nodes = hierarchy.unroll(loaded, c.comments)
-    return hierarchy.orphans(c.comments, nodes).select(*COMMENT_FIELDS)
+    left = c.comments.where(~F.coalesce(x.comment_withdrawn(), F.lit(False)))
+    return hierarchy.orphans(left, hierarchy.unroll(c.posts, left)).select(*COMMENT_FIELDS)
 
 
 @query
@@ -502,16 +512,16 @@ def cascade_prune_level_3(spark, sf_dir):
 
 @query
 def lookup_table(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = wide_corpus(spark, sf_dir)
     wide = threads.lookup_table(c.posts, threads.lookup_long(c.nodes), LEVELS)
     return wide.select("posts", *[F.array_join(level_name(i), ",").alias(level_name(i)) for i in range(LEVELS)])
 
 
 @query
 def lookup_table_in_parts(spark, sf_dir):
-    """The lookup with crowded levels spread over parts; together the parts hold every id once."""
-    c = corpus(spark, sf_dir)
-    wide = threads.lookup_table(c.posts, threads.lookup_long(c.nodes, max_ids=3), LEVELS)
+    """The lookup with every level spread over parts; together the parts hold every id once."""
+    c = wide_corpus(spark, sf_dir)
+    wide = threads.lookup_table(c.posts, threads.lookup_long(c.nodes, parts=3), LEVELS)
     ids = F.flatten(F.array(*[F.coalesce(level_name(i), F.array().cast("array<string>")) for i in range(LEVELS)]))
     return wide.select("posts", F.explode(ids).alias("id"))
 
@@ -525,13 +535,13 @@ def all_threads(spark, sf_dir):
 def merge_fullname(spark, sf_dir):
     c = corpus(spark, sf_dir)
     posts = c.posts.withColumn("name", F.concat(F.lit("t3_"), "id"))
-    return explore.merge(posts, c.comments, "name", "parent_id").drop("selftext", "body")
+    return explore.merge(posts, c.comments, "name", "parent_id")
 
 
 @query
 def merge_stripped_id(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return explore.merge(c.posts, explore.with_parent_parts(c.comments), "id", "post_id").drop("selftext", "body")
+    return explore.merge(c.posts, explore.with_parent_parts(c.comments), "id", "post_id")
 
 
 @query
@@ -562,7 +572,7 @@ def threads_with_authors(spark, sf_dir):
 @query
 def threads_with_subreddit(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return c.threads.join(c.posts.select(F.col("id").alias("posts"), "subreddit"), "posts").select("posts", "ctp_id", "subreddit")
+    return c.threads.join(threads.post_facts(c.posts), "posts").select("posts", "ctp_id", "subreddit")
 
 
 @query
@@ -606,7 +616,7 @@ def depth_distribution(spark, sf_dir):
 @query
 def depth_distribution_all_threads(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return stats.depth_distribution(threads.all_threads(c.nodes), c.levels).select("conversation_length", "row_count")
+    return stats.depth_of_all_threads(c.nodes, c.levels).select("conversation_length", "row_count")
 
 
 @query
@@ -725,7 +735,7 @@ def longest_thread_per_ctp(spark, sf_dir):
 @query
 def level_difference(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return stats.thread_lengths(stats.depth_distribution(threads.all_threads(c.nodes), c.levels))
+    return stats.thread_lengths(stats.depth_of_all_threads(c.nodes, c.levels))
 
 
 @query
@@ -786,14 +796,9 @@ def head_tail(spark, sf_dir):
 
 @query
 def union_all_levels(spark, sf_dir):
-    """Threads of each depth selected on their own and put together."""
+    """Threads of every depth in one table; the depth is a column of the nodes, so one scan has them all."""
     c = corpus(spark, sf_dir)
-    rows = threads.all_threads(c.nodes)
-    parts = [rows.where(F.size("path") == depth) for depth in range(1, c.levels + 1)]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return _thread_rows(union)
+    return _thread_rows(threads.all_threads(c.nodes.where(F.col("lvl").between(0, c.levels - 1))))
 
 
 @query
@@ -825,7 +830,12 @@ def random_thread(spark, sf_dir):
 
 @query
 def random_thread_unseeded(spark, sf_dir):
-    return _thread_rows(sampling.random_thread_unseeded(corpus(spark, sf_dir).threads))
+    """Whether the pick is one row, and one of the threads."""
+    c = corpus(spark, sf_dir)
+    pick = stage(sampling.random_thread_unseeded(c.threads), "pick")
+    known = c.threads.select("posts", "ctp_id", "path", F.lit(1).alias("one"))
+    found = pick.join(known, ["posts", "ctp_id", "path"], "left")
+    return found.agg(F.count("*").alias("picked"), F.count("one").alias("known"))
 
 
 @query
@@ -888,6 +898,36 @@ def thread_study(spark, sf_dir):
     )
 
 
+@query
+def study_tables(spark, sf_dir):
+    """A study saved twice to the same folder, and every table of it read back."""
+    folder = scratch_path(spark, "study")
+    result = study.run(*forest(spark, sf_dir))
+    for _ in range(2):
+        study.save(result, folder)
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("threads", "segments", "lookup", "nodes", "averages", "quartiles")}
+    levels = [c for c in read["threads"].columns if c != "posts"]
+
+    def rows(name: str, *columns, value) -> DataFrame:
+        three = [F.col(c).cast("string") if isinstance(c, str) else c for c in columns]
+        named = [c.alias(n) for c, n in zip(three, ("a", "b"))]
+        return read[name].select(F.lit(name).alias("table_name"), *named, value.cast("string").alias("value"))
+
+    ids = F.flatten(F.array(*[F.coalesce(level, F.array().cast("array<string>")) for level in read["lookup"].columns if level in levels]))
+    tables_read = [
+        rows("threads", "posts", levels[0], value=F.array_join(F.array(*levels), ">")),
+        rows("segments", "segment", "ctp_id", value=F.array_join("path", ">")),
+        rows("lookup", "posts", F.lit(""), value=F.size(ids)),
+        rows("nodes", "id", "parent_id", value=F.col("lvl")),
+        rows("averages", "stat", "segment", value=F.round("average", 6)),
+        rows("quartiles", "stat", "segment", value=F.concat_ws("/", "q1", "q2", "q3")),
+    ]
+    union = tables_read[0]
+    for part in tables_read[1:]:
+        union = union.unionByName(part)
+    return union
+
+
 @query
 def longest_thread_lengths(spark, sf_dir):
     """Flagship: how long the longest threads are, from the raw posts and comments on."""

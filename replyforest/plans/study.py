@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from replyforest.operators import filters, hierarchy, stats
 from replyforest.operators.ranking import first_rows
 from replyforest.plans.corpus import Corpus
-from replyforest.operators.threads import widen
+from replyforest.operators.threads import lookup_long, lookup_table, widen
 from replyforest.session import stage
 from replyforest.sources import stats_store
 
@@ -30,6 +30,7 @@ class Settings:
 @dataclass(frozen=True)
 class Study:
     corpus: Corpus
+    tagged: DataFrame
     row_counts: DataFrame
     families: DataFrame
     histograms: DataFrame
@@ -53,10 +54,15 @@ def families(corpus: Corpus, communities: list[str], settings: Settings) -> Data
     return corpus.posts.sparkSession.createDataFrame(rows, "family string, segment string")
 
 
-def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def tagged_threads(corpus: Corpus, communities: list[str], settings: Settings) -> DataFrame:
+    """The clean threads with the segments they are in."""
+    return filters.tagged(corpus.facts, communities, settings.author_counts, settings.viral)
+
+
+def all_histograms(corpus: Corpus, settings: Settings, communities: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Histograms of all segments and of the lookups, and the list of segments by family."""
-    communities = top_communities(corpus, settings.top_n)
-    tagged = filters.tagged(corpus.facts, communities, settings.author_counts, settings.viral)
+    communities = top_communities(corpus, settings.top_n) if communities is None else communities
+    tagged = tagged_threads(corpus, communities, settings)
     histograms = stats.segment_histograms(tagged, corpus.levels).unionByName(
         stats.lookup_histograms(corpus.posts, corpus.nodes, communities)
     )
@@ -64,11 +70,26 @@ def all_histograms(corpus: Corpus, settings: Settings) -> tuple[DataFrame, DataF
 
 
 def save(result: Study, folder: str) -> None:
-    """Writes the tables of a study; the histograms become the statistics store."""
+    """Writes the tables of a study.
+
+    ``threads`` are the longest threads without withdrawn content, a column per level; ``segments`` has the same
+    threads once for each segment they are in; ``lookup`` and ``nodes`` are those of the cut tree.  Histograms,
+    averages and quartiles go to stores in which only the statistics of this study are replaced.
+    """
+    corpus = result.corpus
     stats_store.save(result.histograms, f"{folder}/stats")
-    for name in ("row_counts", "families", "averages", "quartiles", "label_quartiles"):
-        getattr(result, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    widen(result.corpus.threads, result.corpus.levels).write.mode("overwrite").parquet(f"{folder}/threads")
+    for name in ("averages", "quartiles", "label_quartiles"):
+        stats_store.save_rows(getattr(result, name), f"{folder}/{name}")
+    tables = {
+        "row_counts": result.row_counts,
+        "families": result.families,
+        "threads": widen(corpus.clean, corpus.levels),
+        "segments": filters.in_segments(result.tagged).select("family", "segment", "posts", "ctp_id", "path"),
+        "lookup": lookup_table(corpus.posts, lookup_long(corpus.nodes), corpus.levels),
+        "nodes": corpus.nodes,
+    }
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings()) -> Study:
@@ -77,10 +98,12 @@ def run(posts: DataFrame, comments: DataFrame, settings: Settings = Settings())
         posts = first_rows(posts, settings.max_posts, "id")
     nodes = hierarchy.unroll(posts, comments, settings.min_rows)
     corpus = Corpus(posts, comments, nodes).cut_short_levels(settings.min_rows).cut_sparse_levels(settings.min_ratio)
-    histograms, by_family = all_histograms(corpus, settings)
+    communities = top_communities(corpus, settings.top_n)
+    histograms, by_family = all_histograms(corpus, settings, communities)
     ranked = histograms.where(F.col("stat") != "number_of_threads")
     return Study(
         corpus=corpus,
+        tagged=tagged_threads(corpus, communities, settings),
         row_counts=stats.row_counts(posts, corpus.nodes),
         families=by_family,
         histograms=histograms,

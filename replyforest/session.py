@@ -39,15 +39,16 @@ def build_session(app_name: str = "replyforest", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def grow_shuffles(spark: SparkSession, *paths: str) -> int:
+def grow_shuffles(spark: SparkSession, *paths: str, most: int = MOST_PARTITIONS) -> int:
     """Raises the number of shuffle partitions to the size of the input files.
 
     Adaptive execution can merge partitions but not make more of them, so a number that
     fits a small table would leave huge partitions of a large one.  It is never lowered.
+    Inputs of more than ``most`` GB get larger partitions; raise it where the driver has the memory to track more.
     """
     sizes = spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
     current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(max(current, -(-sizes // INPUT_PER_PARTITION)), MOST_PARTITIONS)
+    wanted = min(max(current, -(-sizes // INPUT_PER_PARTITION)), most)
     if wanted > current:
         spark.conf.set("spark.sql.shuffle.partitions", wanted)
     return max(wanted, current)
@@ -76,6 +77,7 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Spark has no public call to look at or delete a path; these handles are those of a classic session.
 def _folder(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,23 +11,37 @@ from replyforest.schemas import text_schema
 BAD = "_corrupt_record"
 
 
-def files_by_name(df: DataFrame) -> list[str]:
-    """Paths of the files behind a table, as they can be read again."""
-    return sorted(unquote(file) for file in df.inputFiles())
+def first_by_place(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of files just read, in order of file, split and row; they come in this order.
+
+    The rows of each split are counted, and a row's place in its split is the distance of its number from the first
+    one there; only counts come together, one row per split.
+    """
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    splits = placed.groupBy("_file", "_split").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(F.col("_start") < n)
+    found = placed.join(starts, ["_file", "_split"]).where(F.col("_start") + F.col("_row") - F.col("_first") < n)
+    return found.orderBy("_file", "_split", "_row").select(rows.columns)
 
 
 def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first ``n`` text lines, files in order of their names.
+    """The first ``n`` text lines, files in order of their names."""
+    return first_by_place(spark.read.text(path), n)
+
+
+def record_of(value: Column, schema: T.DataType) -> Column:
+    """The one object that a line holds; null for any other line.
 
-    Only as much is read as the head needs: files are taken one after the other, and
-    ``take`` stops at the split that holds the n-th line.
+    A reader of one object stops at its end, so lines are read as lists: of two objects on a line there are two.
     """
-    lines: list[str] = []
-    for file in files_by_name(spark.read.text(path)):
-        lines += [row.value for row in spark.read.text(file).take(n - len(lines))]
-        if len(lines) >= n:
-            break
-    return spark.createDataFrame([(line,) for line in lines], "value string")
+    found = F.from_json(F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(schema), {"allowSingleQuotes": "false"})
+    return F.when(F.trim(value).startswith("{") & (F.size(found) == 1), F.get(found, F.lit(0)))
 
 
 def field_names(lines: DataFrame) -> list[str]:
@@ -37,7 +49,8 @@ def field_names(lines: DataFrame) -> list[str]:
 
     One row per name comes back; a dump has a few dozen.
     """
-    keys = lines.select(F.posexplode(F.json_object_keys("value")).alias("place", "name"))
+    whole = lines.where(record_of(F.col("value"), text_schema([BAD])).isNotNull())
+    keys = whole.select(F.posexplode(F.json_object_keys("value")).alias("place", "name"))
     return [row.name for row in keys.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]
 
 
@@ -48,8 +61,8 @@ def jsonl_head(spark: SparkSession, path: str, fields: list[str] | None = None,
     """
     lines = first_lines(spark, path, n)
     fields = fields or field_names(lines)
-    record = F.from_json("value", text_schema(fields), {"mode": "FAILFAST"})
-    whole = F.when(F.trim("value") == "", F.raise_error(F.lit("empty line in JSONL"))).otherwise(record)
+    record = record_of(F.col("value"), text_schema(fields))
+    whole = F.when(record.isNull(), F.raise_error(F.lit("malformed line in JSONL"))).otherwise(record)
     return lines.select(whole.alias("record")).select("record.*")
 
 
@@ -58,12 +71,9 @@ def parse_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
 
     Works on batches and on streams alike.
     """
-    schema = text_schema(fields).add(T.StructField(BAD, T.StringType()))
-    record = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
     return (
-        lines.where(F.trim("value") != "")
-        .withColumn("record", record)
-        .where(F.col("record").isNotNull() & F.col(f"record.{BAD}").isNull())
+        lines.withColumn("record", record_of(F.col("value"), text_schema(fields)))
+        .where(F.col("record").isNotNull())
         .select(*[c for c in lines.columns if c != "value"], *[F.col(f"record.{f}").alias(f) for f in fields])
     )
 

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 SCHEMA = "ord bigint, key string, value bigint, stat string, segment string"
-CHUNK = 4096  # entries of a histogram in one JSON line
 
 
 def save(stats: DataFrame, path: str) -> None:
-    """Replaces the histograms that ``stats`` holds and leaves all others.
+    """Replaces the histograms that ``stats`` holds and leaves all others."""
+    save_rows(stats.select("ord", "key", "value", "stat", "segment"), path)
 
-    Rebalancing gathers small histograms in one file each and splits large ones.
+
+def save_rows(rows: DataFrame, path: str) -> None:
+    """Replaces the rows of every statistic and segment that ``rows`` holds and leaves all others.
+
+    Averages and quartiles are kept like this too, each kind in a folder of its own.  Rebalancing gathers few rows of
+    a segment in one file each and splits many.
     """
     (
-        stats.select("ord", "key", "value", "stat", "segment")
-        .hint("rebalance", F.col("stat"), F.col("segment"))
+        rows.hint("rebalance", F.col("stat"), F.col("segment"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("stat", "segment")
@@ -34,19 +38,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_json(stats: DataFrame) -> DataFrame:
-    """One JSON object per histogram, from key to value in stored order.
-
-    A long histogram goes on in further lines of the same name, so that no line grows
-    with the data.
-    """
-    chunk = F.floor(F.col("ord") / CHUNK)
-    entries = F.transform(F.sort_array(F.collect_list(F.struct("ord", "key", "value"))), lambda e: F.struct(e["key"], e["value"]))
-    return (
-        stats.groupBy(F.concat_ws("_", "stat", "segment").alias("name"), chunk.alias("chunk"))
-        .agg(F.map_from_entries(entries).alias("counts"))
-        .select("name", "chunk", F.to_json(F.create_map(F.col("name"), F.col("counts"))).alias("value"))
-    )
+    """One JSON object per entry of a histogram, with the histogram's name and the place of the entry in it."""
+    name = F.concat_ws("_", "stat", "segment").alias("name")
+    return stats.select(F.to_json(F.struct(name, "ord", "key", "value")).alias("value"))
 
 
 def export_json(stats: DataFrame, path: str) -> None:
-    as_json(stats).select("value").write.mode("overwrite").text(path)
+    as_json(stats).write.mode("overwrite").text(path)

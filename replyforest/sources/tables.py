@@ -8,34 +8,31 @@ from pyspark.sql import types as T
 
 from replyforest.functions.expressions import cast_or_fail, typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
-from replyforest.sources.jsonl import BAD, files_by_name, jsonl_columns
-from replyforest.sources.quoted import largest_file, records
+from replyforest.sources.jsonl import BAD, first_by_place, jsonl_columns
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
 CSV_WRITING = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-SPLIT_ABOVE = 256 * 1024 * 1024  # the built-in reader takes a file up to this size in one task
+ROWS_PER_FILE = 200_000  # of the CSV that is written here, so that a folder is read by many tasks
 
 
-def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, split_above: int, **options: str) -> DataFrame:
-    """Rows of CSV files; files larger than ``split_above`` are read in splits."""
-    options = {**CSV_OPTIONS, **options}
-    if largest_file(spark, path) <= split_above:
-        return spark.read.schema(schema).options(**options).csv(path)
-    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
-    del options["header"]
-    return records(spark, path).select(F.from_csv("value", fields, options).alias("row")).select("row.*")
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, **options: str) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS, **options).option("multiLine", multi_line).csv(path)
 
 
-def csv_text(spark: SparkSession, path: str, fields: list[str], split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """All columns of a CSV with header as text; only empty fields are null."""
-    return _csv_rows(spark, path, text_schema(fields), split_above)
+def csv_text(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True) -> DataFrame:
+    """All columns of a CSV with header as text; only empty fields are null.
 
+    With ``multi_line`` quoted text may hold line breaks, and a file is read by one task: a folder that ``write_csv``
+    made holds many.  Without it files are read in splits, and every line is a row.
+    """
+    return _csv_rows(spark, path, text_schema(fields), multi_line)
 
-def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], split_above: int = SPLIT_ABOVE) -> DataFrame:
+
+def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True) -> DataFrame:
     """Short rows are padded with nulls; rows that are too long or of a wrong type are dropped."""
     schema = text_schema(fields).add(T.StructField(BAD, T.StringType()))
-    rows = _csv_rows(spark, path, schema, split_above, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
+    rows = _csv_rows(spark, path, schema, multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
     # Both kinds of wrong length are flagged; the commas outside quotes tell them apart.
     outside = F.regexp_replace(BAD, '"[^"]*"', "")
     commas = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit("")))
@@ -72,20 +69,14 @@ def comments_of_dump(spark: SparkSession, path: str) -> DataFrame:
     return _comment_columns(jsonl_columns(spark, path, COMMENT_FIELDS))
 
 
-def csv_head(spark: SparkSession, path: str, fields: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows, files in order of their names; no more is read than that needs."""
-    reader = spark.read.schema(text_schema(fields)).options(**CSV_OPTIONS)
-    rows: list = []
-    for file in files_by_name(reader.csv(path)):
-        rows += reader.csv(file).take(n - len(rows))
-        if len(rows) >= n:
-            break
-    return spark.createDataFrame(rows, text_schema(fields))
+def csv_head(spark: SparkSession, path: str, fields: list[str], n: int, multi_line: bool = True) -> DataFrame:
+    """The first ``n`` rows, files in order of their names."""
+    return first_by_place(_csv_rows(spark, path, text_schema(fields), multi_line), n)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Appends rows to a CSV folder: quotes doubled, blanks kept, a header in each file."""
-    rows.write.mode("append").options(**CSV_WRITING).csv(path)
+    rows.write.mode("append").options(**CSV_WRITING).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
 
 
 def append_csv(records: DataFrame, path: str) -> int:

@@ -4,9 +4,10 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from forests import comments_frame, posts_frame
-from replyforest.operators import filters, hierarchy, stats, threads
+from replyforest.operators import filters, hierarchy, sampling, stats, threads
 from replyforest.plans import queries
 from replyforest.session import stage
 
@@ -25,7 +26,7 @@ def scans(frame):
 
 @needs_data
 def test_no_query_joins_without_a_key_or_leaves_the_jvm(spark):
-    for name, query in entry.queries().items():
+    for name, query in queries.QUERIES.items():
         text = plan(query(spark, FOLDER))
         for bad in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"):
             assert bad not in text, (name, bad)
@@ -63,18 +64,32 @@ def test_threads_shuffle_once(spark, nodes):
     assert text.count("Exchange") == 1 and "partial_max_by" in text
 
 
-def test_parts_of_a_crowded_level_go_to_different_tasks(spark, nodes, monkeypatch):
-    """Also when the list of crowded levels is too long to be broadcast."""
-    from replyforest import session
+def test_parts_of_a_level_go_to_different_tasks(nodes):
+    text = plan(threads.lookup_long(nodes, parts=7))
+    last = [line for line in text.splitlines() if "Exchange" in line][0]
+    assert "posts#" in last and "lvl#" in last and "part#" in last
+
 
-    monkeypatch.setattr(session, "SMALL_ROWS", -1)
+def test_samples_leave_other_texts_where_they_are(spark, nodes):
+    """Without static broadcasts too, comments are shuffled after the wanted ones were chosen."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(threads.lookup_long(nodes, max_ids=1))
+        posts, comments = stage(posts_frame(spark, ["p"])), stage(comments_frame(spark, [("a", "p"), ("b", "a")]))
+        picked = threads.all_threads(nodes).withColumn("pick", F.lit(0))
+        text = plan(sampling.with_metadata(picked, posts, comments))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    last = [line for line in text.splitlines() if "Exchange" in line][0]
-    assert "posts#" in last and "lvl#" in last and "part#" in last
+    scans = [part for part in text.split("\n") if "FileScan" in part and "body" in part]
+    assert scans
+    lines = text.split("\n")
+    at = next(i for i, line in enumerate(lines) if line == scans[0])
+    above = [line for line in lines[:at] if len(line) - len(line.lstrip(" :+-")) < len(lines[at]) - len(lines[at].lstrip(" :+-"))]
+    nearest = [line for line in above if "Join" in line or "Exchange" in line][-1]
+    assert "BroadcastHashJoin" in nearest and "LeftSemi" in nearest
+
+
+def test_all_threads_are_counted_without_paths(nodes):
+    assert "Generate" not in plan(stats.depth_of_all_threads(nodes, 3))
 
 
 def test_deduplication_and_join_share_a_shuffle(spark, nodes):

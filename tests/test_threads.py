@@ -67,11 +67,37 @@ def test_lookup(corpus):
 def test_crowded_level_is_spread(spark):
     posts = posts_frame(spark, ["p"])
     nodes = hierarchy.unroll(posts, comments_frame(spark, [(f"c{i}", "p") for i in range(500)]))
-    long = threads.lookup_long(nodes, max_ids=50).collect()
+    assert len(threads.lookup_long(nodes).collect()) == 1
+    long = threads.lookup_long(nodes, parts=10).collect()
     assert len(long) == 10 and max(len(r.ids) for r in long) < 100
     assert sorted(i for r in long for i in r.ids) == sorted(f"c{i}" for i in range(500))
 
 
+def test_a_post_that_was_dumped_twice_counts_once(spark):
+    once = posts_frame(spark, ["p"]).unionByName(posts_frame(spark, ["q"], subreddit=None))
+    twice = once.unionByName(once)
+    comments = comments_frame(spark, [("c1", "p"), ("c2", "p"), ("c3", "p"), ("d1", "q")])
+    found = {}
+    for name, posts in (("once", once), ("twice", twice)):
+        c = Corpus(posts, comments)
+        shapes = stats.lookup_shapes(posts, stats.level_widths(c.nodes))
+        histograms, _ = study.all_histograms(c, study.Settings())
+        found[name] = [
+            sorted(map(tuple, rows.collect()), key=str)
+            for rows in (
+                stats.subreddit_distribution(c.threads, posts),
+                shapes,
+                threads.lookup_table(posts, threads.lookup_long(c.nodes), 1).select("posts", F.array_join("comments_to_posts", ",")),
+                histograms.select("stat", "segment", "key", "value"),
+            )
+        ]
+    assert found["once"] == found["twice"]
+    assert found["twice"][0] == [("r", 3), (None, 1)] and len(found["twice"][1]) == 2
+    # The histograms count threads without a community as the operator does.
+    labels = [r for r in found["twice"][3] if r[0] == "subreddit_distribution" and r[1] == "threads"]
+    assert sorted((r[2], r[3]) for r in labels if r[2]) == [("r", 3)] and sum(r[3] for r in labels) == 4
+
+
 def test_random_tie_break_keeps_the_length(corpus):
     rows = threads.all_threads(corpus.nodes)
     lengths = {r.ctp_id: len(r.path) for r in threads.longest_threads(rows).collect()}
