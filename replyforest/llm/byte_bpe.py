@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from replyforest.llm.common import text_of, worker_cache
 
-KNOWN_WORDS = 1 << 17  # frequent words whose ids travel with the plan, at most
+KNOWN_WORDS = 1 << 18  # frequent words whose ids travel with the plan, at most
 COUNTED = 20_000  # documents whose words are counted to find them; any choice gives the same results
-SLOTS = 1 << 18
+SLOTS = 1 << 19
 RANK_BITS = 20
 FACTORS = (1640531527, 2024237689)  # of the two hashes of a pair
 GIANT = 256  # characters: texts with longer words are encoded by the library
@@ -62,6 +62,9 @@ class RankTable:
                 raise ValueError("the table is too full")
         self.cells = np.array(cells, np.int64)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # The first ranks of a word are those of pairs of bytes, which need no hash.
+        two = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.byte_pairs = np.array(two, np.int64)
         self.hex = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.hex[rank] = token.hex()
@@ -85,7 +88,11 @@ def _strings(values: list[str]) -> Column:
 
 def _with_table(table: RankTable, body) -> Column:
     """``body`` of the table's arrays, each of which is one literal of the plan."""
-    return _let(_numbers(table.cells, "bigint"), lambda cells: _let(_numbers(table.bytes, "int"), lambda of_byte: body(cells, of_byte)))
+    arrays = F.struct(
+        _numbers(table.cells, "bigint").alias("cells"), _numbers(table.bytes, "int").alias("bytes"), _numbers(table.byte_pairs, "int").alias("pairs")
+    )
+    one = F.transform(F.array(arrays), lambda t: _let(t["cells"], lambda c: _let(t["bytes"], lambda b: _let(t["pairs"], lambda p: body(c, b, p)))))
+    return one[0]
 
 
 def _let(value: Column, body) -> Column:
@@ -93,8 +100,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fold(word: Column, table: RankTable, cells: Column, of_byte: Column) -> Column:
-    """The ids of a word; ``cells`` and ``of_byte`` are the table's arrays."""
+def fold(word: Column, table: RankTable, cells: Column, of_byte: Column, byte_pairs: Column) -> Column:
+    """The ids of a word; ``cells``, ``of_byte`` and ``byte_pairs`` are the table's arrays."""
     whole = F.lit((1 << RANK_BITS) - 1)
 
     def rank(left: Column, right: Column) -> Column:
@@ -104,29 +111,36 @@ def fold(word: Column, table: RankTable, cells: Column, of_byte: Column) -> Colu
 
         return _let(left.cast("bigint") * 65536 + right, of_pair)
 
+    none = F.array().cast("array<int>")
+
     def merge(state: Column, _: Column) -> Column:
-        def next_state(ids: Column) -> Column:
-            ranks = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank)
+        """Only the pairs on both sides of the merged one get new ranks."""
+        ids, ranks = state["ids"], state["ranks"]
 
-            def merged(found: Column) -> Column:
-                least = F.array_min(found)
-                place = F.array_position(found, least).cast("int")
-                shorter = F.concat(F.slice(ids, F.lit(1), place - 1), F.array(least), F.slice(ids, place + 2, F.size(ids)))
-                return F.when(least.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(
-                    F.struct(shorter.alias("ids"), (F.size(shorter) < 2).alias("done"))
-                )
+        def at(least: Column, p: Column) -> Column:
+            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(none)
+            right = F.when(p + 1 < F.size(ids), F.array(rank(least, F.get(ids, p + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
+            )
 
-            return _let(ranks, merged)
+        def found(least: Column) -> Column:
+            return F.when(least.isNull(), state).otherwise(_let(F.array_position(ranks, least).cast("int"), lambda p: at(least, p)))
 
-        return F.when(state["done"], state).otherwise(next_state(state["ids"]))
+        return _let(F.array_min(ranks), found)
 
     # One character per byte.
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    single = F.transform(F.split(latin, ""), lambda c: of_byte[F.ascii(c)])
+    single = F.transform(F.split(latin, ""), lambda c: F.ascii(c))
 
-    def folded(ids: Column) -> Column:
-        begin = F.struct(ids.alias("ids"), F.lit(False).alias("done"))
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), begin, merge, lambda s: s["ids"]))
+    def folded(values: Column) -> Column:
+        ids = F.transform(values, lambda b: of_byte[b])
+        following = F.slice(values, F.lit(2), F.size(values))
+        pairs = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), following, lambda a, b: byte_pairs[a * 256 + b])
+        ranks = F.transform(pairs, lambda r: F.when(r >= 0, r))
+        begin = F.struct(ids.alias("ids"), ranks.alias("ranks"))
+        return F.when(F.size(values) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(values)), begin, merge, lambda s: s["ids"]))
 
     return _let(single, folded)
 
@@ -139,8 +153,8 @@ def known_words(docs: DataFrame, text: str, pattern: str, table: RankTable, most
     """Words and their ids, spread over ``SLOTS`` slots by two hashes; a word that finds both taken is left out."""
     some = docs.select(text_of(F.col(f"`{text}`")).alias("t")).limit(counted)
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("word"))
-    words = words.where(F.length("word") <= GIANT).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    found = words.select("word", _with_table(table, lambda c, b: _joined(fold(F.col("word"), table, c, b))).alias("ids"), *[s.alias(f"s{i}") for i, s in enumerate(_slots(F.col("word")))])
+    words = words.where(F.length("word") <= GIANT).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).repartition(64)
+    found = words.select("word", _with_table(table, lambda *arrays: _joined(fold(F.col("word"), table, *arrays))).alias("ids"), *[s.alias(f"s{i}") for i, s in enumerate(_slots(F.col("word")))])
     keys, values = [""] * SLOTS, [""] * SLOTS
     for row in found.toArrow().to_pylist():  # at most KNOWN_WORDS rows
         slot = next((s for s in (row["s0"], row["s1"]) if not keys[s]), None)
@@ -193,10 +207,10 @@ def encode(
     keys, values = known_words(docs, text, own, table, known, counted)
     words = F.regexp_extract_all("text", F.lit(own), F.lit(0))
 
-    def joined(cells: Column, of_byte: Column) -> Column:
+    def joined(*arrays: Column) -> Column:
         def ids(known: Column, of_known: Column, word: Column) -> Column:
             a, b = _slots(word)
-            other = F.when(known[b] == word, of_known[b]).otherwise(_joined(fold(word, table, cells, of_byte)))
+            other = F.when(known[b] == word, of_known[b]).otherwise(_joined(fold(word, table, *arrays)))
             return F.when(known[a] == word, of_known[a]).otherwise(other)
 
         all_words = lambda known: _let(_strings(values), lambda of_known: F.transform(words, lambda w: ids(known, of_known, w)))

@@ -1,0 +1,71 @@
+import base64
+import gzip
+import hashlib
+import random
+
+import pytest
+
+from replyforest.llm import warc
+from replyforest.session import scratch_path
+
+M = "WARC/1.0\r\n"
+
+
+def payload(rng):
+    parts = ["x", "\r\n\r\n", M, M + "Content-Length: 5\r\n\r\nhello\r\n\r\n", M + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 0\r\n\r\n\r\n\r\n", "é", "WARC/1.0", "\r\n", "Content-Length: 10\r\n\r\n", ""]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+
+
+def expected(rows):
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = max(first.get(html or "", i), i)
+    out = []
+    for i, _, html in rows:
+        data, to = (html or "").encode(), first.get(html or "")
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out.append((i, len(data), digest, "response" if i == to else "revisit", None if i == to else to))
+    return sorted(out, key=str)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+
+
+@pytest.mark.parametrize("per_file", [1000, 7])
+def test_round_trip_with_magic_in_payloads(spark, clash, monkeypatch, per_file):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", per_file)
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "http://a/\r\nb", "http://x"]), rng.choice([payload(rng), payload(rng), "same", "same" + M, None, ""])) for i in range(400)]
+    rows += [(1000, "u", "z" * 300_000), (-5, "u", M * 2000)]
+    found = warc.archive(clash(frame(spark, rows)), scratch_path(spark, "archives")).collect()
+    assert sorted(map(tuple, found), key=str) == expected(rows)
+
+
+def test_the_files_are_archives(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archives(frame(spark, [(1, "http://x/é", "<p>é</p>"), (2, "http://y", "<p>é</p>")]).coalesce(1), path)
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
+    at, kinds = 0, []
+    while at < len(data):
+        head, _, rest = data[at:].partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+        assert head.startswith(b"WARC/1.0\r\n") and rest[int(fields[b"Content-Length"]) :].startswith(b"\r\n\r\n")
+        kinds.append((fields[b"WARC-Type"], rest[: int(fields[b"Content-Length"])].partition(b"\r\n\r\n")[2]))
+        at += len(head) + 4 + int(fields[b"Content-Length"]) + 4
+    assert sorted(kinds) == [(b"response", "<p>é</p>".encode()), (b"revisit", b"")]
+
+
+def test_null_and_repeated_ids_and_empty_tables(spark):
+    rows = [(None, None, "a"), (3, None, "a"), (3, None, "a"), (None, None, "b")]
+    found = warc.archive(frame(spark, rows), scratch_path(spark, "archives")).collect()
+    kinds = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in found)
+    assert kinds == [("3", 1, "response", "None"), ("3", 1, "response", "None"), ("None", 1, "response", "None"), ("None", 1, "revisit", "3")]
+    assert warc.archive(frame(spark, []), scratch_path(spark, "archives")).count() == 0
+
+
+def test_short_payloads_are_all_responses(spark, tmp_path):
+    warc.write_archives(frame(spark, [(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbb"), (4, "u", "bbb")]), str(tmp_path / "w"), least=3)
+    kinds = {r.page_id: r.record_type for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
