@@ -107,11 +107,13 @@ def rows_that_stay(docs: DataFrame, doc_id: str, key: Column, decided: DataFrame
     ``key`` tells texts of one id apart.  Rows that repeat id and key stay or go together, and one of them stays.
     Only what goes is looked up.
     """
-    going = decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_times"))
-    going = going.where("not _kept or _times > 1")
-    met = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
-    joined = docs.withColumn("_key", key).join(going, met, "left").where("_kept is null or _kept")
-    if not going.where("_kept and _times > 1").isEmpty():
-        copies = Window.partitionBy(F.col(f"`{doc_id}`"), "_key").orderBy("_key")
-        joined = joined.withColumn("_n", F.row_number().over(copies)).where("_n = 1 or _times is null")
-    return joined.select(*[F.col(f"`{name}`") for name in docs.columns])
+    going = decided.groupBy(F.col("doc_id").alias("going_id"), F.col("key").alias("going_key"))
+    going = going.agg(F.max("kept").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1")
+    # The row travels as one column, so that no name of its own can clash with those used here.
+    own = docs.select(F.struct("*").alias("own"), F.col(f"`{doc_id}`").alias("own_id"), key.alias("own_key"))
+    met = F.col("own_id").eqNullSafe(F.col("going_id")) & (F.col("own_key") == F.col("going_key"))
+    joined = own.join(going, met, "left").where("stays is null or stays")
+    if not going.where("stays and times > 1").isEmpty():
+        copies = Window.partitionBy("own_id", "own_key").orderBy("own_key")
+        joined = joined.withColumn("number", F.row_number().over(copies)).where("number = 1 or times is null")
+    return joined.select("own.*")

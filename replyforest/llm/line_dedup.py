@@ -13,6 +13,7 @@ from replyforest.llm.common import text_of
 from replyforest.session import passing_folder, stage
 
 RATIO = 0.5
+ADDED = ("host", "kept_lines", "n_dropped")
 LEAST_PAGES = 3  # a line on fewer pages of a host stays, whatever their share
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 UNSEEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
@@ -42,11 +43,13 @@ def without_boilerplate(
 
     A line of a page is dropped if it stands on more than ``ratio``, and on at least ``least_pages``, of the pages of
     its host; a page counts once however often it holds the line.  Pages without a host form one group.  Null and
-    empty texts have no lines, or one empty one, as ``lines`` says; repeated rows are pages each.  An empty table
+    empty texts have no lines, or one empty one, as ``lines`` says; repeated rows are pages each;
+    columns of the names it adds are replaced.  An empty table
     stays empty.
     """
     with passing_folder(pages.sparkSession, "lines") as steps:
-        held = pages.withColumn("host", host_of(F.col(f"`{url}`"))).withColumn("_lines", lines)
+        rest = [c for c in pages.columns if c not in ADDED]
+        held = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("own"), host_of(F.col(f"`{url}`")).alias("host"), lines.alias("_lines"))
         keys = F.transform("_lines", lambda x: F.xxhash64(x))
         narrow = held.select("host", F.array_distinct(keys).alias("keys"))
         totals = narrow.groupBy("host").agg(F.count("*").alias("pages"))
@@ -59,7 +62,7 @@ def without_boilerplate(
         stays = lambda x: F.col("_known").isNull() | ~F.array_contains(F.col("_known"), F.xxhash64(x))
         found = joined.withColumn("kept_lines", F.filter("_lines", stays))
         found = found.withColumn("n_dropped", (F.size("_lines") - F.size("kept_lines")).cast("bigint"))
-        return stage(found.drop("_lines", "_known"), "lines")
+        return stage(found.select(*[F.col("own")[c].alias(c) for c in rest], *ADDED), "lines")
 
 
 def site_lines(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -130,10 +130,12 @@ def with_spans(docs: DataFrame, text: str = "text", column: str = "spans") -> Da
     Places are in code points, the end exclusive.  Spans of the kinds in ``BASE`` are the leftmost, non-overlapping
     matches of their patterns that meet the rule of the kind (parts up to 255, 14 to 19 digits with a right checksum,
     10 to 15 digits); a match that fails is dropped with its characters.  The others need a score of ``ACCEPTED``.
-    Kinds may overlap.  Null and empty texts have no spans; an empty table stays empty; ``kind`` is a number.
+    Kinds may overlap.  Null and empty texts have no spans; an empty table stays empty; ``kind`` is a number; a
+    column of the result's name is replaced.
     """
-    t = text_of(F.col(f"`{text}`"))
-    found = docs.select("*", t.alias("_text")).select("*", F.col("_text").rlike("[0-9]").alias("_digit"))
+    # The row travels as one column, so that no name of its own can clash with those used here.
+    found = docs.select(F.struct("*").alias("own"), text_of(F.col(f"`{text}`")).alias("_text"))
+    found = found.select("*", F.col("_text").rlike("[0-9]").alias("_digit"))
     found = found.select("*", *[_matches(k, F.col("_text")).alias(f"_{k}") for k in KINDS])
     located = found.select("*", *[_located(k, F.col("_text"), F.col(f"_{k}")).alias(f"_at_{k}") for k in KINDS])
 
@@ -152,7 +154,8 @@ def with_spans(docs: DataFrame, text: str = "text", column: str = "spans") -> Da
         )
 
     spans = F.array_sort(F.concat(*[kept(i, k) for i, k in enumerate(KINDS)]))
-    return located.withColumn(column, spans).drop("_text", "_digit", *[f"_{k}" for k in KINDS], *[f"_at_{k}" for k in KINDS])
+    fields = [F.col("own")[name].alias(name) for name in docs.columns if name != column]
+    return located.select(*fields, spans.alias(column))
 
 
 def listed(spans: Column) -> Column:
@@ -199,10 +202,11 @@ def find_private_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 def without_private_data(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with their spans replaced; where that changed a text, ``length`` tells its new number of characters."""
-    found = with_spans(docs, text, "_spans")
-    clean = found.withColumn("_clean", redacted(F.col(f"`{text}`"), F.col("_spans")))
-    columns = {text: F.col("_clean")}
+    own = docs.select(F.struct("*").alias("own"), F.col(f"`{text}`").alias("text"))
+    found = with_spans(own, "text", "spans")
+    clean = found.withColumn("clean", redacted(F.col("text"), F.col("spans")))
+    columns = {text: F.col("clean")}
     if length in docs.columns:
-        count = F.length("_clean").cast(docs.schema[length].dataType)
-        columns[length] = F.when(F.size("_spans") > 0, count).otherwise(F.col(f"`{length}`"))
-    return clean.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        count = F.length("clean").cast(docs.schema[length].dataType)
+        columns[length] = F.when(F.size("spans") > 0, count).otherwise(F.col("own")[length])
+    return clean.select(*[columns.get(c, F.col("own")[c]).alias(c) for c in docs.columns])

@@ -214,11 +214,12 @@ def score(docs: DataFrame, model: Model | Constant, text: str = "text", doc_id:
 
 def keep_good(docs: DataFrame, model: Model | Constant, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``THRESHOLD`` or more, unchanged."""
+    place = docs.columns.index(text)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_t")).to_pylist()
+            texts = batch.column(place).to_pylist()
             scores = np.concatenate([model.scores(some) for some in _slices(texts)]) if texts else np.empty(0)
-            yield batch.drop_columns(["_t"]).filter(pa.array(scores >= THRESHOLD))
+            yield batch.filter(pa.array(scores >= THRESHOLD, pa.bool_()))
 
-    return docs.withColumn("_t", F.col(f"`{text}`")).mapInArrow(good, docs.schema)
+    return docs.mapInArrow(good, docs.schema)

@@ -41,7 +41,7 @@ def test_base_spans_are_those_of_the_plain_patterns(documents, clash):
         listed = ",".join(f"{NAMES[k]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
-        assert set(listed.split(",")) <= set(r.spans.split(","))
+        assert not spans or set(listed.split(",")) <= set(r.spans.split(","))
 
 
 def spans(documents, text):
