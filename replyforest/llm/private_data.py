@@ -20,12 +20,14 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # What may belong to the number is only looked at, so that the next match can begin inside it.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
+AHEAD = {"iban": 4}  # characters that a match takes where the proposed span is its group 1
 NEEDS = {"email": "@", "phone": "+"}  # characters without which nothing matches; all others need a digit
 
 # A proposed span starts with a score; a checksum and context words before it add to it.
@@ -40,6 +42,8 @@ CONTEXT = {
     "secret": "token|secret|key|password|passwd|credential",
 }
 BLOCK = 256
+# Characters of an account number by country.
+LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 
 
 def _running_ends(lengths: Column) -> Column:
@@ -60,19 +64,20 @@ def _running_ends(lengths: Column) -> Column:
 
 
 def _matches(kind: str, text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(int(kind in AHEAD)))
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.col("_digit")
     return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
 def _located(kind: str, text: Column, found: Column) -> Column:
     """The matches with their places in code points; what lies between them tells where they are."""
+    taken = lambda v: F.lit(AHEAD[kind]) if kind in AHEAD else F.length(v)
     between = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
-    lengths = F.zip_with(between, found, lambda b, v: (F.length(b) + F.length(v)).cast("bigint"))
+    lengths = F.zip_with(between, found, lambda b, v: (F.length(b) + taken(v)).cast("bigint"))
     spans = F.zip_with(
         found,
         _running_ends(lengths),
-        lambda v, end: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")),
+        lambda v, end: F.struct((end - taken(v)).alias("start"), (end - taken(v) + F.length(v)).alias("end"), v.alias("value")),
     )
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     return F.when(F.size(found) > 0, spans).otherwise(empty)
@@ -100,7 +105,27 @@ def mod97(value: Column) -> Column:
         F.lit(0),
         lambda a, c: F.when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
     )
-    return (rest == 1) & F.length(plain).between(15, 34)
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
+def account_number(value: Column) -> Column:
+    """The part of a proposed span, from its start to a blank or its end, that is an account number; null if none is.
+
+    Of several that pass ``mod97`` the one of its country's length, else the longest.
+    """
+    parts = F.split(value, " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), " "))
+    country = f"{LENGTHS} "
+    own = lambda v: F.contains(F.lit(country), F.concat(F.substring(v, 1, 2), F.length(F.regexp_replace(v, " ", "")).cast("string"), F.lit(" ")))
+    right = F.filter(begins, mod97)
+    return F.coalesce(F.get(F.filter(right, own), F.lit(0)), F.get(F.reverse(right), F.lit(0)))
+
+
+def _account_spans(spans: Column) -> Column:
+    """Proposed spans cut to their account numbers; without those that have none."""
+    cut = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), account_number(s["value"]).alias("value")))
+    found = F.filter(cut, lambda s: s["value"].isNotNull())
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value")))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -120,7 +145,7 @@ def _score(kind: str, text: Column, span: Column) -> Column:
     before = F.lower(F.substring(text, start + 1, span["start"].cast("int") - start))
     score = F.lit(PROPOSED[kind]) + F.when(before.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
     if kind == "iban":
-        score = score + F.when(mod97(span["value"]), CONFIRMED).otherwise(-1.0)
+        score = score + CONFIRMED  # the spans are account numbers
     return score
 
 
@@ -130,7 +155,8 @@ def with_spans(docs: DataFrame, text: str = "text", column: str = "spans") -> Da
     Places are in code points, the end exclusive.  Spans of the kinds in ``BASE`` are the leftmost, non-overlapping
     matches of their patterns that meet the rule of the kind (parts up to 255, 14 to 19 digits with a right checksum,
     10 to 15 digits); a match that fails is dropped with its characters.  The others need a score of ``ACCEPTED``.
-    Kinds may overlap.  Null and empty texts have no spans; an empty table stays empty; ``kind`` is a number; a
+    An account number may be followed or preceded by words that look like groups of it; every start is tried.
+    Kinds may overlap, and so may account numbers.  Null and empty texts have no spans; an empty table stays empty; ``kind`` is a number; a
     column of the result's name is replaced.
     """
     # The row travels as one column, so that no name of its own can clash with those used here.
@@ -138,6 +164,7 @@ def with_spans(docs: DataFrame, text: str = "text", column: str = "spans") -> Da
     found = found.select("*", F.col("_text").rlike("[0-9]").alias("_digit"))
     found = found.select("*", *[_matches(k, F.col("_text")).alias(f"_{k}") for k in KINDS])
     located = found.select("*", *[_located(k, F.col("_text"), F.col(f"_{k}")).alias(f"_at_{k}") for k in KINDS])
+    located = located.withColumn("_at_iban", _account_spans(F.col("_at_iban")))
 
     def kept(place: int, kind: str) -> Column:
         if kind in BASE:

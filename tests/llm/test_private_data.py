@@ -57,6 +57,38 @@ def test_checksums_and_context_decide_the_other_kinds(documents):
     assert spans(documents, "my SSN is 123-45-6789") == "ssn:10:21" and spans(documents, "part 123-45-6789") == ""
 
 
+def test_account_numbers_beside_words_in_capitals(documents):
+    cases = {
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["DE89 3704 0044 0532 0130 00"],
+        "é😀 DE89370400440532013000 2024": ["DE89370400440532013000"],
+        "GB29 NWBK 6016 1331 9268 19 I will pay": ["GB29 NWBK 6016 1331 9268 19"],
+        "GB29 NWBK 6016 1331 9268 19 A B C D E F G": ["GB29 NWBK 6016 1331 9268 19"],
+        "NO9386011117947 NO9386011117947": ["NO9386011117947"] * 2,
+        "DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 X": ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"],
+        "AB12 DE89 3704 0044 0532 0130 00": ["DE89 3704 0044 0532 0130 00"],
+        "DE89 3704 0044 0532 0130 01 BIC": [],
+        "DE89370400440532013000BIC": [],
+    }
+    rows = pd.with_spans(documents(list(cases))).collect()
+    for r in rows:
+        text = list(cases)[r.doc_id]
+        found = [s for s in r.spans if s.kind == pd.KINDS.index("iban")]
+        assert [s.value for s in found] == cases[text] and all(text[s.start : s.end] == s.value for s in found), text
+    clean = pd.without_private_data(documents(["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX"])).first().text
+    assert clean == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
+def test_the_countrys_length_decides_between_two_right_checksums(documents):
+    own = "DE89 3704 0044 0532 0130 00"
+    longer = next(w for w in (f"{own} {i}" for i in range(1000, 10_000)) if _leaves_one(w))
+    assert spans(documents, longer) == f"iban:0:{len(own)}"
+
+
+def _leaves_one(number):
+    plain = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def test_redaction(documents, clash):
     rows = clash(documents(["mail x@y.z, 10.0.0.1", "é😀 +1 555 123 4567!", "clean 12", None, "1.2.3.4111 1111 1111 1111"]))
     clean = pd.without_private_data(rows)
