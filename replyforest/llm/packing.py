@@ -36,13 +36,19 @@ class WordIds:
     The tokenizer ignores case, drops white space, and no token crosses it, so a text has the ids of its words one
     after another.  Nor does a token cross from letters to marks, so a word with marks at its end has the ids of the
     word and those of the marks.
+
+    Strings of the tokenizer's special tokens in a text are ordinary text, or get the ids of those tokens, as they
+    do in the tokenizer ``as_loaded``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_loaded: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not as_loaded
+        # In lower case, as words are; a text in which a token's case differs must not have its words in lower case.
+        added = self.tokenizer.get_added_tokens_decoder().values() if as_loaded else []
+        self.added = [token.content.encode().lower() for token in added]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
@@ -92,10 +98,12 @@ class WordIds:
         out: list[bytes | None] = [None] * len(texts)
         words: list[list[bytes] | None] = [None] * len(texts)
         for i, text in enumerate(texts):
-            if text and ("\x0b" in text or "\x0c" in text):
-                out[i] = self._encoded([text])[0]  # white space of which tokenizers differ
+            lower = (text or "").encode().lower()
+            # White space of which tokenizers differ, or tokens that cross words.
+            if text and ("\x0b" in text or "\x0c" in text or any(token in lower for token in self.added)):
+                out[i] = self._encoded([text])[0]
             else:
-                words[i] = (text or "").encode().lower().split()
+                words[i] = lower.split()
         self._learn(set().union(*[w for w in words if w]))
         for i, own in enumerate(words):
             if own is not None:
@@ -104,12 +112,19 @@ class WordIds:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+    as_loaded: bool = False,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every document, and ``ids`` on demand.
 
     Ids are those of the tokenizer file without special tokens, then ``END``; a null text has ``END`` alone.  A
-    document of more than ``capacity`` ids is cut after every ``capacity`` of them.
+    document of more than ``capacity`` ids is cut after every ``capacity`` of them.  With ``as_loaded``, a special
+    token's string in a text has the id of that token, as in a plain call of the file's tokenizer.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +132,8 @@ def token_pieces(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         cache = worker_cache()
-        words = cache.get(("ids", tokenizer)) or cache.setdefault(("ids", tokenizer), WordIds(tokenizer))
+        key = "ids", tokenizer, as_loaded
+        words = cache.get(key) or cache.setdefault(key, WordIds(tokenizer, as_loaded))
         end, size = np.array([END], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
@@ -281,11 +297,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+    as_loaded: bool = False,
 ) -> DataFrame:
     """Tokenises, cuts and packs all documents: ``token_pieces`` with ``sequence_id`` and ``offset``.
 
     One row per piece; null and empty texts are one id long, ids that are null or repeat are packed like others,
     other columns are not read, an empty table gives no rows.
     """
-    return pack(token_pieces(docs, tokenizer, text, doc_id, capacity, with_ids), capacity)
+    return pack(token_pieces(docs, tokenizer, text, doc_id, capacity, with_ids, as_loaded), capacity)

@@ -84,6 +84,25 @@ def test_ids_are_those_of_the_tokenizer(spark, documents, clash):
     assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
 
 
+def test_registered_packing_has_the_ids_of_the_plain_call(spark, documents, tmp_path):
+    import corpus_pipeline
+    from replyforest.llm.registry import QUERIES
+
+    rng = random.Random(5)
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|startoftext|>y", "<| endoftext|>", "<|endof text|>", "<|StartOfText|>!", None, ""]
+    texts += ["".join(rng.choice(WORDS) + rng.choice(["", " "]) for _ in range(20)) for _ in range(100)]
+    docs = documents(texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = tokenizers.Tokenizer.from_file(PATH)
+    expected = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        expected[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert expected[0][0] == 4 and max(n for n, _ in expected.values()) < 4096
+    for found in (QUERIES["op1_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in found.collect()} == expected
+
+
 def test_small_caches_give_the_same_ids(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice(WORDS) + " " for _ in range(20)) for _ in range(50)]
