@@ -25,6 +25,7 @@ SLOTS = 1 << 19
 RANK_BITS = 20
 FACTORS = (1640531527, 2024237689)  # of the two hashes of a pair
 GIANT = 256  # characters: texts with longer words are encoded by the library
+BETWEEN = "\x00"  # separates the strings of a literal; words may hold any white space
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,7 +84,11 @@ def _numbers(values: np.ndarray, kind: str) -> Column:
 
 
 def _strings(values: list[str]) -> Column:
-    return F.split(F.lit("\n".join(values)), "\n")
+    """An array literal of strings without ``BETWEEN``."""
+    joined = BETWEEN.join(values)
+    if joined.count(BETWEEN) != len(values) - 1:
+        raise ValueError("a string holds the separator")
+    return F.split(F.lit(joined), BETWEEN)
 
 
 def _with_table(table: RankTable, body) -> Column:
@@ -150,10 +155,13 @@ def _joined(ids: Column) -> Column:
 
 
 def known_words(docs: DataFrame, text: str, pattern: str, table: RankTable, most: int, counted: int) -> tuple[list[str], list[str]]:
-    """Words and their ids, spread over ``SLOTS`` slots by two hashes; a word that finds both taken is left out."""
+    """Words and their ids, spread over ``SLOTS`` slots by two hashes; a word that finds both taken is left out.
+
+    So is a word with ``BETWEEN`` in it.
+    """
     some = docs.select(text_of(F.col(f"`{text}`")).alias("t")).limit(counted)
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("word"))
-    words = words.where(F.length("word") <= GIANT).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).repartition(64)
+    words = words.where((F.length("word") <= GIANT) & ~F.contains("word", F.lit(BETWEEN))).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).repartition(64)
     found = words.select("word", _with_table(table, lambda *arrays: _joined(fold(F.col("word"), table, *arrays))).alias("ids"), *[s.alias(f"s{i}") for i, s in enumerate(_slots(F.col("word")))])
     keys, values = [""] * SLOTS, [""] * SLOTS
     for row in found.toArrow().to_pylist():  # at most KNOWN_WORDS rows

@@ -38,6 +38,19 @@ def test_known_words_change_nothing(documents, library):
         assert all(r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id]))) for r in rows)
 
 
+def test_known_words_with_line_breaks_stay_in_their_slots(spark, documents, library):
+    texts = ["one\n\ntwo\nthree \n\t four\x00\n"] * 3 + ["\n", "\n\n", "four\r\nfive \x00"]
+    own, table = f"(?U){public_tokenizers.PATTERN}", bpe.RankTable(bpe.read_ranks(PATH))
+    keys, values = bpe.known_words(documents(texts), "text", own, table, 1000, 1000)
+    assert {"\n", "\n\n", "one"} <= set(keys)
+    split = spark.range(1).select(bpe._strings(keys).alias("k"), bpe._strings(values).alias("v")).first()
+    assert len(split.k) == len(split.v) == bpe.SLOTS and split.k == keys and split.v == values
+    for word, ids in zip(keys, values):
+        assert ids == " ".join(map(str, library.encode_ordinary(word)))
+    for r in bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN).collect():
+        assert r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id])))
+
+
 def test_null_and_repeated_ids_and_empty_tables(documents):
     rows = bpe.encode(documents([(None, "a"), (1, "a"), (1, "a")]), PATH, public_tokenizers.PATTERN).collect()
     assert len(rows) == 3 and len({r.ids for r in rows}) == 1
