@@ -39,9 +39,14 @@ def utf8_bytes(column: Column) -> Column:
     return F.encode(column, "UTF-8")
 
 
+def crc32_of_text(column: Column) -> Column:
+    """Unsigned crc32 of the UTF-8 bytes of a text."""
+    return F.crc32(utf8_bytes(column))
+
+
 def crc32_of_id(column: Column) -> Column:
     """crc32 of an id written in decimal digits."""
-    return F.crc32(utf8_bytes(column.cast("string")))
+    return crc32_of_text(column.cast("string"))
 
 
 def numbered_in_groups(df: DataFrame, group: str, order: str, rows: int, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from replyforest.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, neighbours, packing, private_data, quality, sharding, warc
+from replyforest.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, neighbours, packing, private_data, quality, sharding, spelling, warc
 from replyforest.llm.common import table, vocabulary
 from replyforest.session import scratch_path
 
@@ -151,6 +151,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its commoner spelling."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
