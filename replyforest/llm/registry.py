@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from replyforest.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, neighbours, packing, private_data, quality, sharding, spelling, warc
+from replyforest.llm import (
+    byte_bpe,
+    exact_dedup,
+    line_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    private_data,
+    quality,
+    secret_scan,
+    sharding,
+    spelling,
+    warc,
+    whitening,
+)
 from replyforest.llm.common import table, vocabulary
 from replyforest.session import scratch_path
 
@@ -151,12 +166,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by rules and by a network that learned from what the rules find."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.learn(secret_scan.labelled_findings(docs)))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents with its commoner spelling."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four leading components of all distinct ones."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
