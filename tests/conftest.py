@@ -40,9 +40,3 @@ def tiny_skew(spark):
     yield
     for key, value in before.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
-def executed_plan(frame):
-    """The plan that ran, as text."""
-    frame.collect()
-    return frame._jdf.queryExecution().executedPlan().toString()

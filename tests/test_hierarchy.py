@@ -5,8 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import executed_plan
 from forests import attach, comments_frame, places, posts_frame
+from plan_texts import executed_plan
 from replyforest.operators import hierarchy, threads
 from replyforest.session import stage
 
