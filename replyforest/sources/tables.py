@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from replyforest.functions.expressions import cast_or_fail, typed
 from replyforest.schemas import COMMENT_FIELDS, FIELD_TYPES, POST_FIELDS, text_schema
+from replyforest.sources.csv_records import csv_records, first_records
 from replyforest.sources.jsonl import BAD, first_by_place, jsonl_columns
 
 # Quotes are doubled inside quoted text, and text may hold line breaks.
@@ -16,15 +17,24 @@ CSV_WRITING = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "fals
 ROWS_PER_FILE = 200_000  # of the CSV that is written here, so that a folder is read by many tasks
 
 
-def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, **options: str) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS, **options).option("multiLine", multi_line).csv(path)
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, first: int | None = None, **options: str) -> DataFrame:
+    """Rows of CSV files with header, all or the ``first``."""
+    if not multi_line:
+        rows = spark.read.schema(schema).options(**CSV_OPTIONS, **options).csv(path)
+        return rows if first is None else first_by_place(rows, first)
+    records = csv_records(spark, path)
+    if first is not None:
+        records = first_records(records, first)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    reading = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    return records.select(F.from_csv("record", fields, {**reading, **options}).alias("row")).select("row.*")
 
 
 def csv_text(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True) -> DataFrame:
     """All columns of a CSV with header as text; only empty fields are null.
 
-    With ``multi_line`` quoted text may hold line breaks, and a file is read by one task: a folder that ``write_csv``
-    made holds many.  Without it files are read in splits, and every line is a row.
+    With ``multi_line`` quoted text may hold line breaks; a file is read in splits in either case.  Without it
+    every line is a row.
     """
     return _csv_rows(spark, path, text_schema(fields), multi_line)
 
@@ -71,7 +81,7 @@ def comments_of_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_head(spark: SparkSession, path: str, fields: list[str], n: int, multi_line: bool = True) -> DataFrame:
     """The first ``n`` rows, files in order of their names."""
-    return first_by_place(_csv_rows(spark, path, text_schema(fields), multi_line), n)
+    return _csv_rows(spark, path, text_schema(fields), multi_line, n)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
