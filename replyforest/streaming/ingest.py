@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from replyforest.sources.growing import BLOCK, stream_of_lines
 from replyforest.sources.jsonl import parse_lines
 
 
@@ -25,3 +26,19 @@ def ingest_resumable(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_growing(spark: SparkSession, source: str, target: str, checkpoint: str, fields: list[str], block: int = BLOCK) -> StreamingQuery:
+    """Appends the new records of growing files to a Parquet table, then stops.
+
+    The checkpoint holds up to which byte every file was read, so lines that were appended to a file are the only ones
+    that are read of it, and a half line waits for its end.  Malformed lines are skipped.
+    """
+    return (
+        parse_lines(stream_of_lines(spark, source, block).select("value"), fields)
+        .writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
