@@ -115,7 +115,7 @@ def _settle_options(options: DataFrame, folder: str) -> DataFrame:
             return best
 
 
-def unroll(posts: DataFrame, comments: DataFrame, min_rows: int | None = None) -> DataFrame:
+def unroll(posts: DataFrame, comments: DataFrame, min_rows: int | None = None, anchors: DataFrame | None = None) -> DataFrame:
     """Every comment that hangs, directly or not, under a post; staged.
 
     Pointers are doubled: after round r a comment knows its ancestors up to distance
@@ -126,9 +126,12 @@ def unroll(posts: DataFrame, comments: DataFrame, min_rows: int | None = None) -
     With ``min_rows`` climbing ends once a level that ``first_short_level`` would find is
     known, as nothing below it is wanted: levels down to that one are whole, deeper ones
     need not be.  That keeps a few endless chains from growing endless paths.
+
+    ``anchors`` are nodes that have their places already, none of them in ``comments``; what hangs under them attaches
+    there.
     """
     with passing_folder(comments.sparkSession, "unroll") as folder:
-        return stage(_attach(posts, comments, min_rows, folder), "nodes")
+        return stage(_attach(posts, comments, min_rows, folder, anchors), "nodes")
 
 
 def _short_level_known(pieces: list[DataFrame], min_rows: int) -> bool:
@@ -143,9 +146,10 @@ def _short_level_known(pieces: list[DataFrame], min_rows: int) -> bool:
     return first_short_level(counts, min_rows) < 2 ** len(pieces) - 1
 
 
-def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder: str) -> DataFrame:
+def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder: str, anchors: DataFrame | None) -> DataFrame:
     several = F.col("parent_id") != F.col("last_parent")
-    links, ambiguous_ids = stage_and_count(_links(posts, comments), "links", several, folder=folder)
+    ends = posts if anchors is None else posts.select("id").unionByName(anchors.select("id"))
+    links, ambiguous_ids = stage_and_count(_links(ends, comments), "links", several, folder=folder)
     is_comment = F.col("parent_id").isNotNull()
     empty_path = F.array().cast("array<string>")
 
@@ -184,6 +188,8 @@ def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder:
     attached = pieces[0]
     for piece in pieces[1:]:
         attached = attached.unionByName(piece)
+    if anchors is not None:
+        attached = _below_anchors(attached, anchors)
     placed = attached.where((F.col("status") == POST) & ~F.col("is_option")).select("id", "pointer", "path")
     if ambiguous_ids:
         best = _settle_options(attached.where("is_option"), folder)
@@ -204,6 +210,14 @@ def _attach(posts: DataFrame, comments: DataFrame, min_rows: int | None, folder:
     )
 
 
+def _below_anchors(attached: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Pointers that rest on an anchor go on to its post, and paths begin with that of the anchor."""
+    above = anchors.select(F.col("id").alias("pointer"), F.col("root_id").alias("root"), F.col("path").alias("above"))
+    joined = attached.join(above, "pointer", "left")
+    path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
+    return joined.select("id", F.coalesce("root", "pointer").alias("pointer"), path.alias("path"), "status", "is_target", "is_option")
+
+
 def _options(comments: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """One pointer per distinct parent of the ids that have several."""
     return (

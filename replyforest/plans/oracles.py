@@ -218,6 +218,13 @@ def oracles() -> dict[str, str]:
         "jsonl_head": _sql("SELECT * FROM raw_posts ORDER BY id LIMIT 200", RAW_POSTS),
         "jsonl_columns": _sql("SELECT * FROM raw_posts", RAW_POSTS),
         "ingest_resumable": _sql("SELECT * FROM raw_posts", RAW_POSTS),
+        "ingest_statistics": _sql(
+            """SELECT row_number() OVER (PARTITION BY stat ORDER BY value DESC, key NULLS FIRST) AS ord, key, value, stat,
+  'all' AS segment FROM counts""",
+            RAW_POSTS,
+            """counts AS (SELECT 'subreddit' AS stat, subreddit AS key, count(*) AS value FROM raw_posts GROUP BY subreddit
+  UNION ALL SELECT 'author', author, count(*) FROM raw_posts GROUP BY author)""",
+        ),
         "ingest_after_id": _on_posts(
             """SELECT score + 1588291200 AS created_utc, id, body, score, score % 2 AS controversiality, author, parent_id,
   count(*) OVER () AS written FROM comments WHERE id > 'e105'"""
@@ -317,6 +324,7 @@ FROM ({_level_counts_by_name('tree')})"""
   (SELECT id FROM comments WHERE substring(parent_id, 4) IN (SELECT id FROM posts))"""
         ),
         "unroll_levels": _on_tree(f"SELECT {NODE} FROM tree"),
+        "unroll_increments": _on_tree(f"SELECT {NODE} FROM tree"),
         "unroll_levels_chains": _on_tree(f"SELECT {NODE} FROM tree", kind="chains"),
         "unroll_levels_min_rows": _on_cut("SELECT id, parent_id, root_id, ctp_id, lvl, connected FROM c1"),
         "consume_matched": _on_tree(f"SELECT {COMMENT} FROM comments WHERE id NOT IN (SELECT id FROM tree WHERE lvl <= 1)"),

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from replyforest import fixtures
 from replyforest.functions import expressions as x
-from replyforest.operators import explore, filters, hierarchy, ranking, sampling, series, stats, threads
+from replyforest.operators import explore, filters, hierarchy, increments, ranking, sampling, series, stats, threads
 from replyforest.plans import study
 from replyforest.plans.corpus import Corpus
 from replyforest.schemas import COMMENT_FIELDS, POST_FIELDS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, level_name
 from replyforest.session import exists, grow_shuffles, mark, scratch_path, stage
 from replyforest.sources import exports, jsonl, tables
 from replyforest.sources import stats_store as store
-from replyforest.streaming import ingest
+from replyforest.streaming import counts, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +169,19 @@ def ingest_resumable(spark, sf_dir):
     return _post_values(spark.read.parquet(target))
 
 
+@query
+def ingest_statistics(spark, sf_dir):
+    """Posts per community and per author, kept up over two runs of the ingest."""
+    posts = _raw_posts(corpus(spark, sf_dir).posts)
+    source, target, checkpoint = (scratch_path(spark, name) for name in ("source", "counts", "checkpoint"))
+    keys = {"subreddit": F.col("subreddit"), "author": F.col("author")}
+    viral = F.col("score") >= filters.VIRAL_SCORE
+    for part in (posts.where(viral), posts.where(~viral)):
+        _write_lines(part, source, broken=True)
+        counts.ingest_and_count(spark, source, target, checkpoint, RAW_POST_FIELDS, keys).awaitTermination()
+    return counts.as_stats(counts.counted(spark, target))
+
+
 @query
 def ingest_after_id(spark, sf_dir):
     path = _write_lines(_raw_comments(corpus(spark, sf_dir).comments), scratch_path(spark, "comments-jsonl"), broken=True)
@@ -460,6 +473,20 @@ def unroll_levels(spark, sf_dir):
     return _node_rows(hierarchy.unroll(*forest(spark, sf_dir)))
 
 
+@query
+def unroll_increments(spark, sf_dir):
+    """A forest that is stored and takes in the rest in two steps."""
+    posts, comments = forest(spark, sf_dir)
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    parts = [(posts.where(part == i), comments.where(part == i)) for i in range(3)]
+    path = scratch_path(spark, "forest")
+    increments.save(increments.start(*parts[0]), path)
+    grown = increments.load(spark, path)
+    for new_posts, new_comments in parts[1:]:
+        grown = increments.grow(grown, new_posts, new_comments)
+    return _node_rows(grown.nodes)
+
+
 @query
 def unroll_levels_chains(spark, sf_dir):
     return _node_rows(hierarchy.unroll(*chains(spark, sf_dir)))
