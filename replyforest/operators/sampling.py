@@ -20,13 +20,13 @@ def seeded_offset(seed: int, rows: int) -> int:
     return random.Random(seed).randint(0, rows - 1)
 
 
-def at_offsets(threads: DataFrame, picks: list[tuple[int, int]], rows: int) -> DataFrame:
+def at_offsets(threads: DataFrame, picks: list[tuple[int, int]]) -> DataFrame:
     """Threads at ``(pick, offset)`` in order of the top-level comment; offsets may repeat.
 
-    For tables with one thread per top-level comment, ``rows`` in all.  The picks are as
-    many as the caller asks for, however large the table is.
+    For tables with one thread per top-level comment.  The picks are as many as the caller asks for, however large the
+    table is.
     """
-    return rows_at(threads, picks, "ctp_id", rows)
+    return rows_at(threads, picks, "ctp_id")
 
 
 def random_thread(threads: DataFrame, seed: int) -> DataFrame | None:
@@ -34,7 +34,7 @@ def random_thread(threads: DataFrame, seed: int) -> DataFrame | None:
     rows = threads.count()
     if rows == 0:
         return None
-    return at_offsets(threads, [(0, seeded_offset(seed, rows))], rows).drop("pick")
+    return at_offsets(threads, [(0, seeded_offset(seed, rows))]).drop("pick")
 
 
 def random_thread_unseeded(threads: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def subset_tables(threads: DataFrame, subsets: int = 3, rows_each: int = 3) -> D
     picks = [
         (i * rows_each + j, seeded_offset(i * 100 + j, rows)) for i in range(subsets) for j in range(rows_each)
     ]
-    return at_offsets(threads, picks, rows).withColumn("subset", F.floor(F.col("pick") / rows_each) + 1)
+    return at_offsets(threads, picks).withColumn("subset", F.floor(F.col("pick") / rows_each) + 1)
 
 
 def sample_with_replacement(threads: DataFrame, n: int, seed: int | None = None) -> DataFrame | None:
@@ -58,7 +58,7 @@ def sample_with_replacement(threads: DataFrame, n: int, seed: int | None = None)
     if rows == 0:
         return None
     rng = random.Random(seed)
-    return at_offsets(threads, [(pick, rng.randrange(rows)) for pick in range(n)], rows)
+    return at_offsets(threads, [(pick, rng.randrange(rows)) for pick in range(n)])
 
 
 def post_rows(posts: DataFrame) -> DataFrame:

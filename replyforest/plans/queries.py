@@ -800,7 +800,7 @@ def offset_pick(spark, sf_dir):
     """The thread in the middle of the table."""
     c = corpus(spark, sf_dir)
     rows = c.threads.count()
-    return _thread_rows(ranking.row_at(c.threads, rows // 2, "ctp_id", rows))
+    return _thread_rows(ranking.row_at(c.threads, rows // 2, "ctp_id"))
 
 
 @query
