@@ -87,8 +87,12 @@ def post_facts(posts: DataFrame) -> DataFrame:
 
 
 def members_with_facts(threads: DataFrame, comments: DataFrame) -> DataFrame:
-    """Comments of threads with score, author and withdrawal; unknown ids keep nulls."""
-    return members(threads).join(comment_facts(comments), ["id", "parent_id"], "left")
+    """Comments of threads with score, author and withdrawal; unknown ids keep nulls.
+
+    ``comments`` may be a stored table of ``comment_facts``, which is joined as it lies.
+    """
+    facts = comments if "withdrawn" in comments.columns else comment_facts(comments)
+    return members(threads).join(facts, ["id", "parent_id"], "left")
 
 
 def authors_per_thread(member_rows: DataFrame) -> DataFrame:
