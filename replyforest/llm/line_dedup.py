@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from replyforest.llm.common import text_of
 from replyforest.session import passing_folder, stage
 
-RATIO = 0.5
+RATIO = 0.1
 ADDED = ("host", "kept_lines", "n_dropped")
-LEAST_PAGES = 3  # a line on fewer pages of a host stays, whatever their share
+LEAST_PAGES = 2  # a line on one page is no boilerplate, however few pages its host has
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 UNSEEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s[^>]*)?/?>"

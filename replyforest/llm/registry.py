@@ -119,7 +119,7 @@ WITH seen AS (
     SELECT host, count(*) AS pages FROM seen GROUP BY host
 ), often AS (
     SELECT s.host, s.line FROM single s JOIN totals t ON t.host = s.host
-    GROUP BY s.host, s.line, t.pages HAVING count(*) >= 3 AND count(*) > t.pages * 0.5
+    GROUP BY s.host, s.line, t.pages HAVING count(*) >= 2 AND count(*) > t.pages * 0.1
 ), known AS (
     SELECT host, list(line) AS drops FROM often GROUP BY host
 ), kept AS (
