@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("replyforest_worker_cache", types.ModuleType("replyforest_worker_cache")).__dict__
 
 
+def give_back_memory() -> None:
+    """Returns to the system what a finished task freed; the worker process lives on, and so would its heap."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers

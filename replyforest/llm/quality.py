@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyforest.llm.common import crc32_of_id
+from replyforest.llm.common import crc32_of_id, give_back_memory
 
 PASSAGE = 512  # bytes of a passage, half as much or as much again at the ends of what the even cut gives
 PAIRS, FOURS = 128, 256  # buckets of byte pairs, and of runs of four bytes
@@ -125,8 +125,8 @@ class Constant:
         return np.full(len(texts), self.value)
 
 
-def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
-    """Texts in lists of about a million characters, one text at least."""
+def _slices(texts: list[str | None], most: int = 1 << 17) -> Iterator[list[str | None]]:
+    """Texts in lists of at most 131,072 characters, one text at least."""
     some, size = [], 0
     for text in texts:
         if some and size + len(text or "") > most:
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["id", "label", "x"])
+        give_back_memory()
 
     plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).join(chosen, "id")
     schema = f"id {plain.schema['id'].dataType.simpleString()}, label int, x binary"
@@ -205,6 +206,7 @@ def score(docs: DataFrame, model: Model | Constant, text: str = "text", doc_id:
                 part = batch.slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(texts), pa.float64())], names=["doc_id", "score"])
+        give_back_memory()
 
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     scored = plain.mapInArrow(scores, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
@@ -221,5 +223,6 @@ def keep_good(docs: DataFrame, model: Model | Constant, text: str = "text") -> D
             texts = batch.column(place).to_pylist()
             scores = np.concatenate([model.scores(some) for some in _slices(texts)]) if texts else np.empty(0)
             yield batch.filter(pa.array(scores >= THRESHOLD, pa.bool_()))
+        give_back_memory()
 
     return docs.mapInArrow(good, docs.schema)
