@@ -17,10 +17,12 @@ CSV_WRITING = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "fals
 ROWS_PER_FILE = 200_000  # of the CSV that is written here, so that a folder is read by many tasks
 
 
-def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, first: int | None = None, **options: str) -> DataFrame:
+def _csv_rows(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, in_splits: bool, first: int | None = None, **options: str
+) -> DataFrame:
     """Rows of CSV files with header, all or the ``first``."""
-    if not multi_line:
-        rows = spark.read.schema(schema).options(**CSV_OPTIONS, **options).csv(path)
+    if not (multi_line and in_splits):
+        rows = spark.read.schema(schema).options(**CSV_OPTIONS, **options).option("multiLine", multi_line).csv(path)
         return rows if first is None else first_by_place(rows, first)
     records = csv_records(spark, path)
     if first is not None:
@@ -30,19 +32,19 @@ def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line:
     return records.select(F.from_csv("record", fields, {**reading, **options}).alias("row")).select("row.*")
 
 
-def csv_text(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True) -> DataFrame:
+def csv_text(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True, in_splits: bool = False) -> DataFrame:
     """All columns of a CSV with header as text; only empty fields are null.
 
-    With ``multi_line`` quoted text may hold line breaks; a file is read in splits in either case.  Without it
-    every line is a row.
+    With ``multi_line`` quoted text may hold line breaks, and a file is read by one task unless it is read ``in_splits``,
+    whose lines go through Arrow.  Without it files are read in splits, and every line is a row.
     """
-    return _csv_rows(spark, path, text_schema(fields), multi_line)
+    return _csv_rows(spark, path, text_schema(fields), multi_line, in_splits)
 
 
-def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True) -> DataFrame:
+def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], multi_line: bool = True, in_splits: bool = False) -> DataFrame:
     """Short rows are padded with nulls; rows that are too long or of a wrong type are dropped."""
     schema = text_schema(fields).add(T.StructField(BAD, T.StringType()))
-    rows = _csv_rows(spark, path, schema, multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
+    rows = _csv_rows(spark, path, schema, multi_line, in_splits, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
     # Both kinds of wrong length are flagged; the commas outside quotes tell them apart.
     outside = F.regexp_replace(BAD, '"[^"]*"', "")
     commas = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit("")))
@@ -53,9 +55,9 @@ def csv_tolerant_scan(spark: SparkSession, path: str, fields: list[str], multi_l
     return rows.where(keep).select(*[typed(name, strict=False).alias(name) for name in fields])
 
 
-def load_posts(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def load_posts(spark: SparkSession, path: str, fields: list[str], in_splits: bool = False) -> DataFrame:
     """The columns of the posts table from a CSV with ``fields``."""
-    return csv_tolerant_scan(spark, path, fields).select(*POST_FIELDS)
+    return csv_tolerant_scan(spark, path, fields, in_splits=in_splits).select(*POST_FIELDS)
 
 
 def _comment_columns(rows: DataFrame) -> DataFrame:
@@ -64,9 +66,9 @@ def _comment_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def load_comments(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def load_comments(spark: SparkSession, path: str, fields: list[str], in_splits: bool = False) -> DataFrame:
     """The columns of the comments table; a score that is no number fails the job."""
-    return _comment_columns(csv_text(spark, path, fields))
+    return _comment_columns(csv_text(spark, path, fields, in_splits=in_splits))
 
 
 def posts_of_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -79,9 +81,9 @@ def comments_of_dump(spark: SparkSession, path: str) -> DataFrame:
     return _comment_columns(jsonl_columns(spark, path, COMMENT_FIELDS))
 
 
-def csv_head(spark: SparkSession, path: str, fields: list[str], n: int, multi_line: bool = True) -> DataFrame:
+def csv_head(spark: SparkSession, path: str, fields: list[str], n: int, multi_line: bool = True, in_splits: bool = False) -> DataFrame:
     """The first ``n`` rows, files in order of their names."""
-    return _csv_rows(spark, path, text_schema(fields), multi_line, n)
+    return _csv_rows(spark, path, text_schema(fields), multi_line, in_splits, n)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -61,8 +61,8 @@ def test_as_the_reader_of_whole_files(spark, blocks, tmp_path, size, end):
     expected = sorted_rows(one_task(spark, path))
     assert len(expected) == 150
     blocks(size)
-    assert sorted_rows(csv_text(spark, path, FIELDS)) == expected
-    head = csv_head(spark, path, FIELDS, 37).collect()
+    assert sorted_rows(csv_text(spark, path, FIELDS, in_splits=True)) == expected
+    head = csv_head(spark, path, FIELDS, 37, in_splits=True).collect()
     assert [r.id for r in head] == [f"i{i}" for i in range(37)]
 
 
@@ -86,7 +86,7 @@ def test_records_longer_than_blocks(spark, blocks, tmp_path):
             out.write(written(rows))
         expected = sorted_rows(one_task(spark, path))
         blocks(64)
-        assert sorted_rows(csv_text(spark, path, FIELDS)) == expected
+        assert sorted_rows(csv_text(spark, path, FIELDS, in_splits=True)) == expected
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -99,7 +99,7 @@ def test_any_written_rows(spark, blocks, tmp_path_factory, data):
         out.write(written(rows))
     blocks(data.draw(st.sampled_from([16, 33, 64])))
     expected = sorted([tuple(v or None for v in row) for row in rows], key=repr)
-    assert sorted_rows(csv_text(spark, path, FIELDS)) == expected
+    assert sorted_rows(csv_text(spark, path, FIELDS, in_splits=True)) == expected
 
 
 def test_several_files_keep_their_headers_and_order(spark, blocks, tmp_path):
@@ -108,8 +108,8 @@ def test_several_files_keep_their_headers_and_order(spark, blocks, tmp_path):
             out.write(written([[f"i{start + i:03}", "two\nlines " * (i % 5), i] for i in range(50)]))
     (tmp_path / "empty.csv").touch()
     blocks(128)
-    assert [r.id for r in csv_head(spark, str(tmp_path), FIELDS, 130).collect()] == [f"i{100 * (i // 50) + i % 50:03}" for i in range(130)]
-    assert csv_text(spark, str(tmp_path), FIELDS).count() == 150
+    assert [r.id for r in csv_head(spark, str(tmp_path), FIELDS, 130, in_splits=True).collect()] == [f"i{100 * (i // 50) + i % 50:03}" for i in range(130)]
+    assert csv_text(spark, str(tmp_path), FIELDS, in_splits=True).count() == 150
 
 
 def test_tolerant_scan_is_the_same(spark, blocks, tmp_path):
@@ -127,7 +127,7 @@ def test_tolerant_scan_is_the_same(spark, blocks, tmp_path):
     assert len(plain) == 9 and len(expected) == 7
     for size in (64, 1 << 20):
         blocks(size)
-        assert {tuple(r) for r in csv_tolerant_scan(spark, path, FIELDS).collect()} == expected
+        assert {tuple(r) for r in csv_tolerant_scan(spark, path, FIELDS, in_splits=True).collect()} == expected
 
 
 def test_a_quote_that_never_closes(spark, blocks, tmp_path):
@@ -135,13 +135,13 @@ def test_a_quote_that_never_closes(spark, blocks, tmp_path):
     with open(path, "w", newline="") as out:
         out.write('id,title,score\na,x,1\nb,"open' + "\nmore" * 100)
     blocks(64)
-    rows = csv_text(spark, path, FIELDS).collect()
+    rows = csv_text(spark, path, FIELDS, in_splits=True).collect()
     assert len(rows) == 2 and rows[0].id in "ab"
 
 
 def test_no_rows(spark, tmp_path):
     path = tmp_path / "head.csv"
     path.write_text("id,title,score\n")
-    assert csv_text(spark, str(path), FIELDS).count() == 0
+    assert csv_text(spark, str(path), FIELDS, in_splits=True).count() == 0
     path.write_text("")
-    assert csv_text(spark, str(path), FIELDS).count() == 0 and csv_head(spark, str(path), FIELDS, 5).count() == 0
+    assert csv_text(spark, str(path), FIELDS, in_splits=True).count() == 0 and csv_head(spark, str(path), FIELDS, 5, in_splits=True).count() == 0
