@@ -3,29 +3,37 @@
 A word is an array of ids, at first one for each byte; a fold merges the pair of neighbours with the smallest rank,
 the leftmost of equal ones, until no two can be merged.  The ranks are literals of the plan: a token's id is its rank,
 and a flat hash table holds the rank of every pair of ids that make a token.
-The distinct words that occur most are folded once, and their ids are a literal too, of bounded size; any other word
-is folded where it stands.  So nothing is shuffled but the counts of words.
+
+Texts are read once.  Some texts form a block, whose distinct words have numbers, and a text is kept as the numbers of its
+words.  The words of all blocks meet in one shuffle, so that every distinct word is folded once, and its ids go
+back to the blocks that hold it.  The kept texts lie in buckets by block and are not shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
+from itertools import batched
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyforest.llm.common import text_of, worker_cache
+from replyforest.session import scratch_path
 
-KNOWN_WORDS = 1 << 18  # frequent words whose ids travel with the plan, at most
-COUNTED = 20_000  # documents whose words are counted to find them; any choice gives the same results
-SLOTS = 1 << 19
+BLOCK_WORDS = 1 << 19  # a block ends with the text that gives it so many distinct words,
+BLOCK_LENGTH = 1 << 22  # or so many words
+DEALT = 4096  # words of a block in a row, words of a text looked up at once
 RANK_BITS = 20
+NO_RANK = (1 << RANK_BITS) - 1  # of two ids that make no token
+ID_BITS = 16
 FACTORS = (1640531527, 2024237689)  # of the two hashes of a pair
-GIANT = 256  # characters: texts with longer words are encoded by the library
-BETWEEN = "\x00"  # separates the strings of a literal; words may hold any white space
+GIANT = 256  # bytes: longer words are encoded by the library, as a fold takes the square of a word's length
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,11 +72,8 @@ class RankTable:
         self.cells = np.array(cells, np.int64)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # The first ranks of a word are those of pairs of bytes, which need no hash.
-        two = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
         self.byte_pairs = np.array(two, np.int64)
-        self.hex = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.hex[rank] = token.hex()
 
     def places(self, pair):
         """The cells in which a pair may be; the same for numbers and columns."""
@@ -83,14 +88,6 @@ def _numbers(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def _strings(values: list[str]) -> Column:
-    """An array literal of strings without ``BETWEEN``."""
-    joined = BETWEEN.join(values)
-    if joined.count(BETWEEN) != len(values) - 1:
-        raise ValueError("a string holds the separator")
-    return F.split(F.lit(joined), BETWEEN)
-
-
 def _with_table(table: RankTable, body) -> Column:
     """``body`` of the table's arrays, each of which is one literal of the plan."""
     arrays = F.struct(
@@ -106,78 +103,105 @@ def _let(value: Column, body) -> Column:
 
 
 def fold(word: Column, table: RankTable, cells: Column, of_byte: Column, byte_pairs: Column) -> Column:
-    """The ids of a word; ``cells``, ``of_byte`` and ``byte_pairs`` are the table's arrays."""
-    whole = F.lit((1 << RANK_BITS) - 1)
+    """The ids of a word; ``cells``, ``of_byte`` and ``byte_pairs`` are the table's arrays.
 
-    def rank(left: Column, right: Column) -> Column:
-        def of_pair(pair: Column) -> Column:
-            hit = [_let(cells[p], lambda c: F.when(F.shiftright(c, RANK_BITS) == pair, c.bitwiseAND(whole).cast("int"))) for p in table.places(pair)]
-            return F.coalesce(*hit)
+    While it is folded, an id shares a number with the rank of the pair that begins with it.
+    """
+    none = F.lit(NO_RANK).cast("bigint")
 
-        return _let(left.cast("bigint") * 65536 + right, of_pair)
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("bigint"))
+
+    def rank(pair: Column) -> Column:
+        def of_pair(pair: Column) -> Column:
+            hit = [_let(cells[p], lambda c: F.when(F.shiftright(c, RANK_BITS) == pair, c.bitwiseAND(none))) for p in table.places(pair)]
+            return F.coalesce(*hit, none)
 
-    none = F.array().cast("array<int>")
+        return _let(pair, of_pair)
 
     def merge(state: Column, _: Column) -> Column:
         """Only the pairs on both sides of the merged one get new ranks."""
-        ids, ranks = state["ids"], state["ranks"]
 
         def at(least: Column, p: Column) -> Column:
-            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(none)
-            right = F.when(p + 1 < F.size(ids), F.array(rank(least, F.get(ids, p + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
-            )
+            left = rank(id_of(F.get(state, p - 1)) * (1 << ID_BITS) + least)
+            right = rank(least * (1 << ID_BITS) + id_of(F.get(state, p + 2)))
+            rest = F.filter(state, lambda _, i: i != p + 1)
+            changed = lambda x, i: F.when(i == p, right * (1 << ID_BITS) + least).when(i == p - 1, left * (1 << ID_BITS) + id_of(x))
+            return F.transform(rest, lambda x, i: changed(x, i).otherwise(x))
 
         def found(least: Column) -> Column:
-            return F.when(least.isNull(), state).otherwise(_let(F.array_position(ranks, least).cast("int"), lambda p: at(least, p)))
+            place = F.array_position(F.transform(state, lambda x: F.shiftright(x, ID_BITS)), least) - 1
+            return F.when(least == none, state).otherwise(_let(place.cast("int"), lambda p: at(least, p)))
 
-        return _let(F.array_min(ranks), found)
+        return _let(F.shiftright(F.array_min(state), ID_BITS), found)
 
     # One character per byte.
     latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     single = F.transform(F.split(latin, ""), lambda c: F.ascii(c))
 
     def folded(values: Column) -> Column:
-        ids = F.transform(values, lambda b: of_byte[b])
-        following = F.slice(values, F.lit(2), F.size(values))
-        pairs = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), following, lambda a, b: byte_pairs[a * 256 + b])
-        ranks = F.transform(pairs, lambda r: F.when(r >= 0, r))
-        begin = F.struct(ids.alias("ids"), ranks.alias("ranks"))
-        return F.when(F.size(values) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(values)), begin, merge, lambda s: s["ids"]))
+        first = lambda b, i: F.coalesce(byte_pairs[b * 256 + F.get(values, i + 1)].cast("bigint"), none)
+        begin = F.transform(values, lambda b, i: first(b, i) * (1 << ID_BITS) + of_byte[b])
+        ids = lambda s: F.transform(s, lambda x: id_of(x).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(values)), begin, merge, ids)
 
     return _let(single, folded)
 
 
-def _joined(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), " ")
+def _in_blocks(docs: DataFrame, pattern: str, block_words: int) -> DataFrame:
+    """``block, at, doc_id, codes, words`` of ``docs (doc_id, text)``.
 
-
-def known_words(docs: DataFrame, text: str, pattern: str, table: RankTable, most: int, counted: int) -> tuple[list[str], list[str]]:
-    """Words and their ids, spread over ``SLOTS`` slots by two hashes; a word that finds both taken is left out.
-
-    So is a word with ``BETWEEN`` in it.
+    A row holds either a text, as the numbers of its words, or words of its block from number ``at`` on.  Codes are
+    kept byte by byte, all lowest bytes first, as high ones are nearly all zero.
     """
-    some = docs.select(text_of(F.col(f"`{text}`")).alias("t")).limit(counted)
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("word"))
-    words = words.where((F.length("word") <= GIANT) & ~F.contains("word", F.lit(BETWEEN))).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).repartition(64)
-    found = words.select("word", _with_table(table, lambda *arrays: _joined(fold(F.col("word"), table, *arrays))).alias("ids"), *[s.alias(f"s{i}") for i, s in enumerate(_slots(F.col("word")))])
-    keys, values = [""] * SLOTS, [""] * SLOTS
-    for row in found.toArrow().to_pylist():  # at most KNOWN_WORDS rows
-        slot = next((s for s in (row["s0"], row["s1"]) if not keys[s]), None)
-        if slot is not None:
-            keys[slot], values[slot] = row["word"], row["ids"]
-    return keys, values
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-def _slots(word: Column) -> list[Column]:
-    h = F.xxhash64(word)
-    return [F.pmod(h, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(SLOTS)).cast("int")]
+        names = ["block", "at", "doc_id", "codes", "words"]
+        find, numbers, length = regex.compile(pattern).finditer, {}, 0
+        block, kind = TaskContext.get().partitionId() << 32, None
 
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            for at, words in zip(range(0, len(numbers), DEALT), batched(numbers, DEALT)):
+                columns = [pa.array([block]), pa.array([at], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([words], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def _by_library(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids of texts with giant words."""
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i, text in enumerate(batch.column(1)):
+                parts = [
+                    np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words))
+                    for words in batched(map(itemgetter(0), find(text.as_py())), DEALT)
+                ]
+                codes = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+                held = pa.array([codes.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
+                columns = [pa.array([block]), pa.nulls(1, pa.int32()), batch.column(0).slice(i, 1), held, pa.nulls(1, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                length += len(codes)
+                if len(numbers) >= block_words or length >= BLOCK_LENGTH:
+                    yield from dictionary()
+                    numbers, length, block = {}, 0, block + 1
+        yield from dictionary()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(split, f"block bigint, at int, doc_id {kind}, codes binary, words array<string>")
+
+
+def _in_buckets(blocks: DataFrame) -> DataFrame:
+    """``blocks``, written in buckets by block to the shared folder; what joins them by block comes to them."""
+    spark, name = blocks.sparkSession, f"byte_bpe_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = blocks.write.bucketBy(buckets, "block").option("compression", "zstd")
+    writer.option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    read = spark.table(name)
+    # The files stay, and who reads them already knows their buckets.
+    spark.sql(f"DROP TABLE {name}")
+    return read
+
+
+def _by_library(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``word, ids`` of giant words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -186,11 +210,38 @@ def _by_library(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         if (path, pattern) not in cache:
             cache[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = " ".join(map(str, cache[path, pattern].encode_ordinary(text)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([ids])], names=["doc_id", "ids"])
-
-    return docs.mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids string")
+            for i, word in enumerate(batch.column(0)):
+                ids = pa.array([cache[path, pattern].encode_ordinary(word.as_py())], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), ids], names=["word", "ids"])
+
+    return words.mapInArrow(encode, "word string, ids array<int>")
+
+
+def fold_words(words: DataFrame, table: RankTable) -> DataFrame:
+    """``word, ids`` of the distinct words of ``words (word)``, each folded once."""
+    return words.select("word").distinct().select("word", _with_table(table, lambda *arrays: fold(F.col("word"), table, *arrays)).alias("ids"))
+
+
+def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
+    """``doc_id, ids`` of the texts of a block, from the ids of its words."""
+    order = np.argsort(known.column("number").to_numpy())
+    lists = known.column("ids").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    values = np.asarray(lists.flatten(), np.int64) if len(lists) else np.empty(0, np.int64)
+    sizes = np.asarray(lists.value_lengths(), np.int64)[order] if len(lists) else np.empty(0, np.int64)
+    begins = np.zeros(len(order), np.int64)
+    if len(order):
+        ends = np.cumsum(np.asarray(lists.value_lengths(), np.int64))
+        begins = (ends - np.asarray(lists.value_lengths(), np.int64))[order]
+    digits = [str(i) for i in range(int(values.max(initial=-1)) + 1)]
+    found = []
+    for held in coded.column("codes"):
+        codes = np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        lengths = sizes[codes]
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(begins[codes] - before, lengths) + np.arange(lengths.sum())
+        found.append(" ".join(map(digits.__getitem__, values[places].tolist())))
+    return pa.table({"doc_id": coded.column("doc_id"), "ids": pa.array(found, pa.string())})
 
 
 def encode(
@@ -199,50 +250,51 @@ def encode(
     pattern: str,
     text: str = "text",
     doc_id: str = "doc_id",
-    known: int = KNOWN_WORDS,
-    counted: int = COUNTED,
+    block_words: int = BLOCK_WORDS,
     table: RankTable | None = None,
 ) -> DataFrame:
     """``doc_id, ids`` of every row: the ids of the whole text, joined by spaces, as the library encodes it.
 
     Every match of ``pattern`` is a word; a word that is a token itself has its rank.  A null or empty text has no
     ids.  Ids of documents may be null or repeat; other columns are not read; an empty table gives no rows.
+    A block holds the words of one text at least, however long it is.
     """
     table = table or RankTable(read_ranks(path))
-    own = f"(?U){pattern}"  # white space as the library knows it
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
-    giant = F.col("text").rlike(rf"(?U)\S{{{GIANT}}}|\s{{{GIANT}}}")
-    keys, values = known_words(docs, text, own, table, known, counted)
-    words = F.regexp_extract_all("text", F.lit(own), F.lit(0))
+    blocks = _in_buckets(_in_blocks(plain, pattern, block_words))
+    held = blocks.where("words is not null").select("block", "at", F.posexplode("words").alias("place", "word"))
+    usual, giant = held.where(F.octet_length("word") <= GIANT), held.where(F.octet_length("word") > GIANT)
+    known = usual.join(fold_words(usual, table), "word")
+    known = known.unionByName(giant.join(_by_library(giant.select("word").distinct(), path, pattern), "word"))
+    known = known.select(F.col("block").alias("of_block"), (F.col("at") + F.col("place")).alias("number"), "ids")
+    texts = blocks.where("codes is not null").select("block", "doc_id", "codes")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_with_ids, f"doc_id {kind}, ids string")
 
-    def joined(*arrays: Column) -> Column:
-        def ids(known: Column, of_known: Column, word: Column) -> Column:
-            a, b = _slots(word)
-            other = F.when(known[b] == word, of_known[b]).otherwise(_joined(fold(word, table, *arrays)))
-            return F.when(known[a] == word, of_known[a]).otherwise(other)
 
-        all_words = lambda known: _let(_strings(values), lambda of_known: F.transform(words, lambda w: ids(known, of_known, w)))
-        return F.array_join(_let(_strings(keys), all_words), " ")
-
-    usual = plain.where(~giant).select("doc_id", _with_table(table, joined).alias("ids"))
-    return usual.unionByName(_by_library(plain.where(giant), path, pattern))
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """``rows (doc_id, ids)`` with ``decoded``, the bytes of the ids: their pieces, one after another."""
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = worker_cache()
+        if ("pieces", path) not in cache:
+            cache["pieces", path] = {str(rank): token for token, rank in read_ranks(path).items()}
+        piece = cache["pieces", path].__getitem__
+        for batch in batches:
+            for i, ids in enumerate(batch.column(1)):
+                whole = b"".join(map(piece, ids.as_py().split()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([whole], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-def decode(ids: Column, table: RankTable) -> Column:
-    """The bytes of ids joined by spaces: the pieces of the ids, one after another."""
-    put = lambda pieces: F.array_join(F.transform(F.split(ids, " "), lambda i: pieces[i.cast("int")]), "")
-    whole = _let(_strings(table.hex), put)
-    return F.unhex(F.when(ids == "", F.lit("")).otherwise(whole))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ids").mapInArrow(joined, f"doc_id {kind}, ids string, decoded binary")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    table = RankTable(read_ranks(path))
-    found = encode(docs, path, pattern, text, doc_id, table=table)
     spaces = F.length("ids") - F.length(F.replace(F.col("ids"), F.lit(" "), F.lit("")))
-    return found.select(
+    return decode(encode(docs, path, pattern, text, doc_id), path).select(
         "doc_id",
         F.when(F.col("ids") == "", 0).otherwise(spaces + 1).cast("bigint").alias("n_tokens"),
         F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), table), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

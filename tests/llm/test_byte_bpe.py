@@ -31,24 +31,26 @@ def test_as_the_library(documents, clash, library):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_known_words_change_nothing(documents, library):
-    texts = ["many many words, many words"] * 5 + ["other"]
-    for known in (1, 1000):
-        rows = bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN, known=known, counted=3).collect()
-        assert all(r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id]))) for r in rows)
-
-
-def test_known_words_with_line_breaks_stay_in_their_slots(spark, documents, library):
-    texts = ["one\n\ntwo\nthree \n\t four\x00\n"] * 3 + ["\n", "\n\n", "four\r\nfive \x00"]
-    own, table = f"(?U){public_tokenizers.PATTERN}", bpe.RankTable(bpe.read_ranks(PATH))
-    keys, values = bpe.known_words(documents(texts), "text", own, table, 1000, 1000)
-    assert {"\n", "\n\n", "one"} <= set(keys)
-    split = spark.range(1).select(bpe._strings(keys).alias("k"), bpe._strings(values).alias("v")).first()
-    assert len(split.k) == len(split.v) == bpe.SLOTS and split.k == keys and split.v == values
-    for word, ids in zip(keys, values):
-        assert ids == " ".join(map(str, library.encode_ordinary(word)))
-    for r in bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN).collect():
-        assert r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id])))
+def test_blocks_change_nothing(documents, library):
+    texts = ["many many words, many words\n\ntwo"] * 5 + ["other", "", None, "\n", "four\r\nfive \x00", "a'S b'ſ \x1c\x85 x"]
+    for block_words in (1, 4, 1000):
+        rows = bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN, block_words=block_words).collect()
+        assert len(rows) == len(texts)
+        assert all(r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id] or ""))) for r in rows)
+
+
+def test_words_are_folded_once_each(spark, library):
+    words = ["x" * n for n in (1, 2, 255, 256)] + ["é" * 128, " word", " word"]
+    found = bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), bpe.RankTable(bpe.read_ranks(PATH)))
+    assert {r.word: r.ids for r in found.collect()} == {w: library.encode_ordinary(w) for w in words} and found.count() == len(set(words))
+
+
+def test_texts_are_not_shuffled(documents):
+    from plan_texts import executed_plan
+
+    plan = executed_plan(bpe.encode(documents(["some text"] * 50), PATH, public_tokenizers.PATTERN))
+    texts = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert "Bucketed: true" in texts
 
 
 def test_null_and_repeated_ids_and_empty_tables(documents):
