@@ -20,7 +20,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforest.llm.common import text_of, worker_cache
@@ -218,28 +218,35 @@ def _by_library(words: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def fold_words(words: DataFrame, table: RankTable) -> DataFrame:
-    """``word, ids`` of the distinct words of ``words (word)``, each folded once."""
-    return words.select("word").distinct().select("word", _with_table(table, lambda *arrays: fold(F.col("word"), table, *arrays)).alias("ids"))
+    """``words (block, number, word)`` with ``ids`` in place of the word, which is folded once however many blocks hold it.
+
+    The first row of a word folds it, the others take the ids over, row by row.
+    """
+    rows = Window.partitionBy("word").orderBy("block")
+    ids = F.when(F.row_number().over(rows) == 1, _packed(_with_table(table, lambda *arrays: fold(F.col("word"), table, *arrays))))
+    first = F.first("ids", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return words.withColumn("ids", ids).select("block", "number", first.alias("ids"))
+
+
+def _packed(ids: Column) -> Column:
+    """Ids as two bytes each, high ones first."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 4, "0")), ""))
 
 
 def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
     """``doc_id, ids`` of the texts of a block, from the ids of its words."""
+    packed = known.column("ids").to_pylist()
+    values = np.frombuffer(b"".join(packed), ">u2").astype(np.int64)
+    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
     order = np.argsort(known.column("number").to_numpy())
-    lists = known.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    values = np.asarray(lists.flatten(), np.int64) if len(lists) else np.empty(0, np.int64)
-    sizes = np.asarray(lists.value_lengths(), np.int64)[order] if len(lists) else np.empty(0, np.int64)
-    begins = np.zeros(len(order), np.int64)
-    if len(order):
-        ends = np.cumsum(np.asarray(lists.value_lengths(), np.int64))
-        begins = (ends - np.asarray(lists.value_lengths(), np.int64))[order]
-    digits = [str(i) for i in range(int(values.max(initial=-1)) + 1)]
+    begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    digits = [str(i) for i in range(1 << ID_BITS)]
     found = []
     for held in coded.column("codes"):
         codes = np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-        lengths = sizes[codes]
-        before = np.cumsum(lengths) - lengths
-        places = np.repeat(begins[codes] - before, lengths) + np.arange(lengths.sum())
+        of_word = sizes[codes]
+        before = np.cumsum(of_word) - of_word
+        places = np.repeat(begins[codes] - before, of_word) + np.arange(of_word.sum())
         found.append(" ".join(map(digits.__getitem__, values[places].tolist())))
     return pa.table({"doc_id": coded.column("doc_id"), "ids": pa.array(found, pa.string())})
 
@@ -263,10 +270,11 @@ def encode(
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
     blocks = _in_buckets(_in_blocks(plain, pattern, block_words))
     held = blocks.where("words is not null").select("block", "at", F.posexplode("words").alias("place", "word"))
+    held = held.select("block", (F.col("at") + F.col("place")).alias("number"), "word")
     usual, giant = held.where(F.octet_length("word") <= GIANT), held.where(F.octet_length("word") > GIANT)
-    known = usual.join(fold_words(usual, table), "word")
-    known = known.unionByName(giant.join(_by_library(giant.select("word").distinct(), path, pattern), "word"))
-    known = known.select(F.col("block").alias("of_block"), (F.col("at") + F.col("place")).alias("number"), "ids")
+    by_library = giant.join(_by_library(giant.select("word").distinct(), path, pattern), "word")
+    known = fold_words(usual, table).unionByName(by_library.select("block", "number", _packed(F.col("ids")).alias("ids")))
+    known = known.withColumnRenamed("block", "of_block")
     texts = blocks.where("codes is not null").select("block", "doc_id", "codes")
     kind = docs.schema[doc_id].dataType.simpleString()
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_with_ids, f"doc_id {kind}, ids string")
