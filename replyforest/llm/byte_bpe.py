@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforest.llm.common import text_of, worker_cache
+from replyforest.llm.common import give_back_memory, text_of, worker_cache
 from replyforest.session import scratch_path
 
 BLOCK_WORDS = 1 << 19  # a block ends with the text that gives it so many distinct words,
@@ -183,6 +183,8 @@ def _in_blocks(docs: DataFrame, pattern: str, block_words: int) -> DataFrame:
                     yield from dictionary()
                     numbers, length, block = {}, 0, block + 1
         yield from dictionary()
+        numbers = None
+        give_back_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(split, f"block bigint, at int, doc_id {kind}, codes binary, words array<string>")
@@ -236,19 +238,27 @@ def _packed(ids: Column) -> Column:
 def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
     """``doc_id, ids`` of the texts of a block, from the ids of its words."""
     packed = known.column("ids").to_pylist()
-    values = np.frombuffer(b"".join(packed), ">u2").astype(np.int64)
+    values = np.frombuffer(b"".join(packed), ">u2").astype(np.uint16)
     lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+    del packed
     order = np.argsort(known.column("number").to_numpy())
     begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    digits = [str(i) for i in range(1 << ID_BITS)]
+    digits = np.array([str(i) for i in range(1 << ID_BITS)], object)
     found = []
     for held in coded.column("codes"):
-        codes = np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-        of_word = sizes[codes]
-        before = np.cumsum(of_word) - of_word
-        places = np.repeat(begins[codes] - before, of_word) + np.arange(of_word.sum())
-        found.append(" ".join(map(digits.__getitem__, values[places].tolist())))
-    return pa.table({"doc_id": coded.column("doc_id"), "ids": pa.array(found, pa.string())})
+        codes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
+        parts = []
+        for at in range(0, codes.shape[1], DEALT):
+            some = codes[:, at : at + DEALT].T.copy().view(np.uint32).ravel()
+            of_word = sizes[some]
+            before = np.cumsum(of_word) - of_word
+            places = np.repeat(begins[some] - before, of_word) + np.arange(of_word.sum())
+            parts.append(" ".join(digits[values[places]].tolist()))
+        found.append(" ".join(parts))
+    texts = pa.table({"doc_id": coded.column("doc_id"), "ids": pa.array(found, pa.string())})
+    del found, values, digits
+    give_back_memory()
+    return texts
 
 
 def encode(
