@@ -77,15 +77,17 @@ class _Search:
         bits = np.frombuffer(b"".join(vectors.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
         signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
         length, aligned = vectors.column("length").to_numpy(), vectors.column("aligned").to_numpy()
-        q_length = np.linalg.norm(q, axis=1)
-        turned = ((q / np.maximum(q_length, 1e-300)[:, None]) @ rotation(d, self.seed)).astype(np.float32)
+        scaled = q / np.abs(q).max(axis=1)[:, None]  # no query is zero; squares stay in range
+        scaled_length = np.linalg.norm(scaled, axis=1)
+        q_length = np.abs(q).max(axis=1) * scaled_length
+        turned = ((scaled / scaled_length[:, None]) @ rotation(d, self.seed)).astype(np.float32)
         # Cosines first: what the signs say, corrected by how far they are from the vector.
         cosine = (turned @ signs.T) / (aligned * np.sqrt(d)).astype(np.float32)
         error = self.bound * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned / np.sqrt(max(1, d - 1))
         if self.exact:
             bar = queries.column("bar").to_numpy()
             # A little is allowed for rounding.
-            need = bar / np.maximum(q_length, 1e-300)
+            need = bar / q_length
             need = need - 1e-5 * np.abs(need)
             wanted = (cosine + error.astype(np.float32)) * length >= need[:, None]
         else:

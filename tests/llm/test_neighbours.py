@@ -75,3 +75,14 @@ def test_few_candidates_and_empty_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(rows)] == [(0, 1, 1, 4.0), (0, 2, 2, -1.0)]
     empty = frame(spark, [])
     assert nn.nearest(empty, empty["vec_id"] % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("factor", [1e-200, 1e100, 1.0])
+def test_queries_of_any_size(spark, factor):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * (factor if i == 0 else 1)).tolist()) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.rank: r.vec_id for r in nn.nearest(vectors, vectors["vec_id"] == 0).collect()}
+    query = np.array(rows[0][1])
+    truth = sorted((-float((query * np.array(v)).sum()), i) for i, v in rows[1:])
+    assert [found[n + 1] for n in range(20)] == [i for _, i in truth[:20]]
