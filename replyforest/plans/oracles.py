@@ -9,6 +9,8 @@ from replyforest.schemas import level_name
 
 LEVELS = 19
 AUTHOR_MARK = "NULL_AUTHOR"
+COMMENT_SUMS = """count(*) AS comments, CAST(sum(coalesce(c.score, 0)) AS BIGINT) AS score,
+  count(CASE WHEN c.author IN ('[deleted]', '[removed]') OR c.body IN ('[deleted]', '[removed]') THEN 1 END) AS withdrawn"""
 
 
 def _discussion(kind: str) -> str:
@@ -345,6 +347,17 @@ FROM counts, (VALUES (0.05), (0.3)) v(ratio), (SELECT n AS top FROM counts WHERE
             """SELECT id, ctp_id, lvl, ctp_id NOT IN (SELECT ctp_id FROM tree WHERE lvl = 3) AS connected FROM tree
 WHERE lvl < 3 AND id NOT IN (SELECT unnest(path[1:3]) FROM tree WHERE lvl = 3)"""
         ),
+        "interval_prune": _on_cut("SELECT id, parent_id, root_id, ctp_id, lvl, connected FROM c2"),
+        "subtree_sums": _on_tree(
+            f"""SELECT a.id, a.lvl, count(*) AS size, {COMMENT_SUMS}
+FROM (SELECT id AS below, unnest(path) AS id FROM tree) u JOIN tree a ON a.id = u.id JOIN comments c ON c.id = u.below
+GROUP BY a.id, a.lvl"""
+        ),
+        "path_sums_chains": _on_tree(
+            f"""SELECT u.id, u.root_id, {COMMENT_SUMS}
+FROM (SELECT id, root_id, unnest(path) AS above FROM tree) u JOIN comments c ON c.id = u.above GROUP BY u.id, u.root_id""",
+            kind="chains",
+        ),
         "lookup_table": _on_tree(
             f"SELECT p.id AS posts, {WIDE_LOOKUP} FROM posts p LEFT JOIN tree t ON t.root_id = p.id GROUP BY p.id"
         ),

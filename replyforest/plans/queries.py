@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from replyforest import fixtures
 from replyforest.functions import expressions as x
-from replyforest.operators import explore, filters, hierarchy, increments, ranking, sampling, series, stats, threads
+from replyforest.operators import ancestry, explore, filters, hierarchy, increments, ranking, sampling, series, stats, threads
 from replyforest.plans import study
 from replyforest.plans.corpus import Corpus
 from replyforest.schemas import COMMENT_FIELDS, POST_FIELDS, RAW_COMMENT_FIELDS, RAW_POST_FIELDS, level_name
@@ -537,6 +537,48 @@ def cascade_prune_level_3(spark, sf_dir):
     return hierarchy.cascade_prune(corpus(spark, sf_dir).nodes, 3).select("id", "ctp_id", "lvl", "connected")
 
 
+def numbers(spark: SparkSession, sf_dir: str, kind: str = "forest") -> DataFrame:
+    """The intervals of all comments."""
+    source = chains if kind == "chains" else forest
+    return _once(f"numbers of {kind}", spark, sf_dir, lambda: ancestry.intervals(*source(spark, sf_dir)))
+
+
+def _comment_values(comments: DataFrame) -> DataFrame:
+    return comments.select(
+        "id",
+        F.lit(1).cast("bigint").alias("comments"),
+        x.score_or_zero(F.col("score")).alias("score"),
+        x.comment_withdrawn().cast("bigint").alias("withdrawn"),
+    )
+
+
+@query
+def interval_prune(spark, sf_dir):
+    """Both cuts on intervals, without paths."""
+    nodes = numbers(spark, sf_dir)
+    left = ancestry.prune(nodes, hierarchy.first_short_level(hierarchy.level_counts(nodes)))
+    level = hierarchy.first_sparse_level(hierarchy.level_counts(left)).first().lvl
+    if level is not None:
+        left = ancestry.prune(left, level)
+    return left.select("id", "parent_id", "root_id", "ctp_id", "lvl", "connected")
+
+
+@query
+def subtree_sums(spark, sf_dir):
+    """Comments, score and withdrawn comments of every subtree."""
+    nodes = numbers(spark, sf_dir)
+    sums = ancestry.subtree_sums(nodes, _comment_values(forest(spark, sf_dir)[1]))
+    return nodes.select("id", "lvl", (F.col("leave") - F.col("enter")).alias("size")).join(sums, "id")
+
+
+@query
+def path_sums_chains(spark, sf_dir):
+    """The same from the top-level comment down to every comment; long chains."""
+    nodes = numbers(spark, sf_dir, "chains")
+    sums = ancestry.path_sums(nodes, _comment_values(chains(spark, sf_dir)[1]))
+    return nodes.select("id", "root_id").join(sums, "id")
+
+
 @query
 def lookup_table(spark, sf_dir):
     c = wide_corpus(spark, sf_dir)
