@@ -17,8 +17,11 @@ ADDED = ("host", "kept_lines", "n_dropped")
 LEAST_PAGES = 2  # a line on one page is no boilerplate, however few pages its host has
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 UNSEEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
-BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s[^>]*)?/?>"
-TAGS = r"<[^>]*>"
+LAST_SCRIPT_END = r"(?is)^(.*)</(?:script|style)>"
+LAST_COMMENT_END = r"(?s)^(.*)-->"
+SCRIPT = r"(?i)<(?=script|style)"
+BREAK = r"(?is)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s.*)?/?\z"
+MARK = "\x01"  # in texts followed by "e" while openers are marked
 
 
 def host_of(url: Column) -> Column:
@@ -26,9 +29,52 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(text_of(url), HOST, 1))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` for a value that is named several times but worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _beyond(text: Column, head: Column, change) -> Column:
+    """``text``, which begins with ``head``, with what follows that changed."""
+    return _once(head, lambda h: F.concat(h, change(F.substr(text, F.length(h) + 1))))
+
+
+def _without_unseen(text: Column) -> Column:
+    """``text`` without scripts, styles and comments that are closed.
+
+    An opener that nothing closes would be followed to the end of the text, each anew.  So those beyond the last end of
+    their kind are first broken by a mark, which is taken out again; any other opener is closed, and read over once.
+    """
+    # A tag of a script must be whole before the end that closes it.
+    tags = lambda t: F.regexp_extract(F.regexp_extract(t, LAST_SCRIPT_END, 1), r"(?s)^(.*>)", 1)
+    no_scripts = lambda rest: F.regexp_replace(rest, SCRIPT, f"<{MARK}m")
+    no_comments = lambda rest: F.replace(rest, F.lit("<!--"), F.lit(f"<{MARK}m!--"))
+    escaped = F.replace(text, F.lit(MARK), F.lit(MARK + "e"))
+    scripts = _once(escaped, lambda t: _beyond(t, tags(t), no_scripts))
+    comments = _once(scripts, lambda t: _beyond(t, F.regexp_extract(t, LAST_COMMENT_END, 1), no_comments))
+    seen = F.regexp_replace(comments, UNSEEN, "")
+    return F.replace(F.replace(seen, F.lit(MARK + "m"), F.lit("")), F.lit(MARK + "e"), F.lit(MARK))
+
+
+def _tags_changed(text: Column, change) -> Column:
+    """``text`` with ``change`` made to each part that ends with ``>``, which it gets without that; the last part has none."""
+
+    def joined(parts: Column) -> Column:
+        changed = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), change)
+        return F.concat(F.array_join(changed, ""), F.element_at(parts, -1))
+
+    return _once(F.split(text, ">"), joined)
+
+
 def lines_of_html(html: Column) -> Column:
-    """What a reader sees, a line for each block: trimmed of blanks, without empty lines."""
-    seen = F.regexp_replace(F.regexp_replace(F.regexp_replace(text_of(html), UNSEEN, ""), BREAKS, "\n"), TAGS, "")
+    """What a reader sees, a line for each block: trimmed of blanks, without empty lines.
+
+    Closed scripts, styles and comments go, then tags of blocks become line breaks, then all other tags go; openers
+    that nothing closes are text.  Every step takes time in proportion to the text.
+    """
+    broken = lambda part: F.when(part.rlike(BREAK), F.regexp_replace(part, BREAK, "\n")).otherwise(F.concat(part, F.lit(">")))
+    untagged = lambda part: F.when(F.contains(part, F.lit("<")), F.substring_index(part, "<", 1)).otherwise(F.concat(part, F.lit(">")))
+    seen = _tags_changed(_tags_changed(_without_unseen(text_of(html)), broken), untagged)
     return F.filter(F.transform(F.split(seen, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 

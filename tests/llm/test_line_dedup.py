@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -43,6 +45,37 @@ def test_lines_of_html(spark):
     assert row[0].l == ["T", "one two", "x", "y"] and row[1].l == []
 
 
+PIECES = ["<!--", "-->", "<script>", "<SCRIPT a='>'", "</script>", "</Style>", "<style x", "<", ">", "</", "<p", "<p ", "</p>", "<br/>", "<b>", "<div\n>",
+          "<h1/", "--", "!", "script", "\x01", "\x01e", "\x01m", "e", "m", "\n", " ", "word", "ü", "\U0001f600"]
+
+
+def plain_lines(html):
+    """The three replacements, one after the other, as Python's regular expressions make them."""
+    seen = re.sub(r"<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "", html, flags=re.I | re.S | re.A)
+    names = "p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6]"
+    seen = re.sub(rf"</?(?:{names})(?:\s[^>]*)?/?>", "\n", seen, flags=re.I | re.A)
+    return [x.strip(" ") for x in re.sub("<[^>]*>", "", seen).split("\n") if x.strip(" ")]
+
+
+def test_lines_of_any_html(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 25))) for _ in range(4000)]
+    texts += ["<!-->", "<!--->", "<!-- <script>x</script>", "<script><!--</script>-->", "<!-- a --> <!-- b", "<script</script>a</script>"]
+    rows = spark.createDataFrame([(t,) for t in texts], "h string").select("h", ld.lines_of_html(F.col("h")).alias("l")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.l == plain_lines(r.h), r.h
+
+
+@pytest.mark.parametrize("opener", ["<!--", "<script>", "<script", "<style ", "<", "<p ", "<p", "</", "<!-->", "<!--</script>", "<script>-->", ">", "<b>"])
+def test_openers_that_nothing_closes_take_linear_time(spark, opener):
+    """200,000 of them; followed each to the end they would take minutes."""
+    frame = spark.range(1).select(F.repeat(F.lit(opener), 200_000).alias("h"))
+    started = time.monotonic()
+    frame.select(F.size(ld.lines_of_html(F.col("h"))).alias("n")).collect()
+    assert time.monotonic() - started < 10
+
+
 def test_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, None), (1, "http://a", ""), (1, "http://a", "<p>" + "w " * 100_000)], "page_id bigint, url string, html string")
     assert ld.site_lines(rows.unionByName(rows)).count() == 6 and ld.site_lines(rows.limit(0)).count() == 0
