@@ -17,10 +17,10 @@ ADDED = ("host", "kept_lines", "n_dropped")
 LEAST_PAGES = 2  # a line on one page is no boilerplate, however few pages its host has
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 UNSEEN = r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->"
-LAST_SCRIPT_END = r"(?is)^(.*)</(?:script|style)>"
-LAST_COMMENT_END = r"(?s)^(.*)-->"
+SCRIPT_END = r"(?i)</(?:script|style)>"
 SCRIPT = r"(?i)<(?=script|style)"
-BREAK = r"(?is)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s.*)?/?\z"
+BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|nav|article|section|header|footer|title|head|body|html|table|tr|td|th|h[1-6])(?:\s[^>]*)?/?>"
+TAGS = r"<[^>]*>"
 MARK = "\x01"  # in texts followed by "e" while openers are marked
 
 
@@ -34,36 +34,59 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _beyond(text: Column, head: Column, change) -> Column:
-    """``text``, which begins with ``head``, with what follows that changed."""
-    return _once(head, lambda h: F.concat(h, change(F.substr(text, F.length(h) + 1))))
+def _split_at(text: Column, rest: Column, before, after) -> Column:
+    """``before`` of ``text`` without its last ``rest`` characters, and ``after`` of these."""
+    cut = F.length(text) - rest
+    return _once(cut, lambda n: F.concat(before(F.substr(text, F.lit(1), n)), after(F.substr(text, F.greatest(n, F.lit(0)) + 1))))
 
 
-def _without_unseen(text: Column) -> Column:
-    """``text`` without scripts, styles and comments that are closed.
+def _after_last(text: Column, end: str) -> Column:
+    """How many characters follow the last ``end``; all, if there is none."""
+    return F.length(F.substring_index(text, end, -1))
 
-    An opener that nothing closes would be followed to the end of the text, each anew.  So those beyond the last end of
-    their kind are first broken by a mark, which is taken out again; any other opener is closed, and read over once.
-    """
+
+def _after_tags(text: Column) -> Column:
+    """How many characters follow the last ``>`` in which a tag of a closed script may end."""
+    tail = F.length(F.element_at(F.split(text, SCRIPT_END), -1))
+    return _once(tail, lambda n: n + 1 + _after_last(F.substr(text, F.lit(1), F.length(text) - n - 1), ">"))
+
+
+def _open_at_end(text: Column) -> Column:
+    """Whether a script, style or comment may begin that nothing closes."""
+    comment = F.contains(F.substring_index(text, "-->", -1), F.lit("<!--"))
     # A tag of a script must be whole before the end that closes it.
-    tags = lambda t: F.regexp_extract(F.regexp_extract(t, LAST_SCRIPT_END, 1), r"(?s)^(.*>)", 1)
+    cut_short = lambda parts: F.contains(F.substring_index(F.get(parts, F.size(parts) - 2), ">", -1), F.lit("<"))
+    script = lambda parts: F.element_at(parts, -1).rlike(SCRIPT) | F.coalesce(cut_short(parts), F.lit(False))
+    return comment | _once(F.split(text, SCRIPT_END), script)
+
+
+def _marked(text: Column) -> Column:
+    """``text`` with a mark in every opener beyond the last end of its kind; ``MARK`` itself is followed by "e"."""
+    same = lambda part: part
     no_scripts = lambda rest: F.regexp_replace(rest, SCRIPT, f"<{MARK}m")
     no_comments = lambda rest: F.replace(rest, F.lit("<!--"), F.lit(f"<{MARK}m!--"))
     escaped = F.replace(text, F.lit(MARK), F.lit(MARK + "e"))
-    scripts = _once(escaped, lambda t: _beyond(t, tags(t), no_scripts))
-    comments = _once(scripts, lambda t: _beyond(t, F.regexp_extract(t, LAST_COMMENT_END, 1), no_comments))
-    seen = F.regexp_replace(comments, UNSEEN, "")
-    return F.replace(F.replace(seen, F.lit(MARK + "m"), F.lit("")), F.lit(MARK + "e"), F.lit(MARK))
+    scripts = _once(escaped, lambda t: _split_at(t, _after_tags(t), same, no_scripts))
+    return _once(scripts, lambda t: _split_at(t, _after_last(t, "-->"), same, no_comments))
+
 
+def _without_unseen(text: Column) -> Column:
+    """``text`` without scripts, styles and comments that are closed.
 
-def _tags_changed(text: Column, change) -> Column:
-    """``text`` with ``change`` made to each part that ends with ``>``, which it gets without that; the last part has none."""
+    An opener that nothing closes would be followed to the end of the text, each anew.  So these are first broken by a
+    mark, which is taken out again; any other opener is closed, and read over once.
+    """
+    unmarked = lambda t: F.replace(F.replace(t, F.lit(MARK + "m"), F.lit("")), F.lit(MARK + "e"), F.lit(MARK))
+    broken = lambda t: unmarked(F.regexp_replace(_marked(t), UNSEEN, ""))
+    return _once(text, lambda t: F.when(_open_at_end(t), broken(t)).otherwise(F.regexp_replace(t, UNSEEN, "")))
 
-    def joined(parts: Column) -> Column:
-        changed = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), change)
-        return F.concat(F.array_join(changed, ""), F.element_at(parts, -1))
 
-    return _once(F.split(text, ">"), joined)
+def _tags_replaced(text: Column, tags: str, by: str) -> Column:
+    """``text`` with ``tags`` replaced; what is open after the last ``>`` never ends, and is not searched."""
+    replaced = lambda part: F.regexp_replace(part, tags, by)
+    is_open = lambda t: F.contains(F.substring_index(t, ">", -1), F.lit("<"))
+    ended = lambda t: _split_at(t, _after_last(t, ">"), replaced, lambda rest: rest)
+    return _once(text, lambda t: F.when(is_open(t), ended(t)).otherwise(replaced(t)))
 
 
 def lines_of_html(html: Column) -> Column:
@@ -72,9 +95,7 @@ def lines_of_html(html: Column) -> Column:
     Closed scripts, styles and comments go, then tags of blocks become line breaks, then all other tags go; openers
     that nothing closes are text.  Every step takes time in proportion to the text.
     """
-    broken = lambda part: F.when(part.rlike(BREAK), F.regexp_replace(part, BREAK, "\n")).otherwise(F.concat(part, F.lit(">")))
-    untagged = lambda part: F.when(F.contains(part, F.lit("<")), F.substring_index(part, "<", 1)).otherwise(F.concat(part, F.lit(">")))
-    seen = _tags_changed(_tags_changed(_without_unseen(text_of(html)), broken), untagged)
+    seen = _tags_replaced(_tags_replaced(_without_unseen(text_of(html)), BREAKS, "\n"), TAGS, "")
     return F.filter(F.transform(F.split(seen, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
