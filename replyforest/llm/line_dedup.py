@@ -120,7 +120,9 @@ def without_boilerplate(
         keys = F.transform("_lines", lambda x: F.xxhash64(x))
         narrow = held.select("host", F.array_distinct(keys).alias("keys"))
         totals = narrow.groupBy("host").agg(F.count("*").alias("pages"))
-        counts = narrow.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("on"))
+        # A plain explode would be preceded by a filter on the size of the array, for which all lines are made once more.
+        single = narrow.select("host", F.explode_outer("keys").alias("key")).where(F.col("key").isNotNull())
+        counts = single.groupBy("host", "key").agg(F.count("*").alias("on"))
         often = counts.where(F.col("on") >= least_pages).join(totals, "host").where(F.col("on") > F.col("pages") * ratio)
         # A host has at most the lines of an average page, divided by the ratio, that are on so many of its pages.
         # Written first, so that a table known to be small is not shuffled for.
