@@ -14,6 +14,9 @@ from replyforest.operators.threads import members
 from replyforest.schemas import level_name
 from replyforest.session import small_side
 
+PLACE_BITS = 33  # of the ids that Spark gives to rows: the place in the partition, below its number
+PICKS_PER_PIECE = 100_000
+
 
 def seeded_offset(seed: int, rows: int) -> int:
     """The offset a seed stands for in a table of that many rows."""
@@ -61,6 +64,41 @@ def sample_with_replacement(threads: DataFrame, n: int, seed: int | None = None)
     return at_offsets(threads, [(pick, rng.randrange(rows)) for pick in range(n)])
 
 
+def sample_by_partitions(rows: DataFrame, n: int, seed: int) -> DataFrame | None:
+    """``n`` rows drawn with replacement, each with the number of its ``pick``; None for an empty table.
+
+    ``rows`` is a table read from files, so that its partitions hold the same rows in the same order whenever they are
+    read; then a seed stands for the same rows.  Picks are dealt over the partitions as a multinomial draw would, then
+    each falls on a place in its partition by a hash.  The driver sees one count per partition, rows are neither sorted
+    nor numbered throughout, and picks are made by tasks, so that ``n`` may exceed the table.
+    """
+    spark = rows.sparkSession
+    kept = [F.col(f"`{name}`") for name in rows.columns]
+    mark = F.monotonically_increasing_id()
+    marked = rows.select(F.struct(*kept).alias("row"), mark.alias("mark"))
+    part, place = F.shiftright("mark", PLACE_BITS), F.col("mark").bitwiseAND((1 << PLACE_BITS) - 1)
+    counts = sorted(rows.select(mark.alias("mark")).groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect())
+    rest = sum(count for _, count in counts)
+    if rest == 0:
+        return None
+    rng, dealt, left = random.Random(seed), [], n
+    for number, count in counts:
+        share = left if count == rest else rng.binomialvariate(left, count / rest)
+        if share:
+            dealt.append((number, count, n - left, share))
+        left, rest = left - share, rest - count
+    pieces = spark.createDataFrame(dealt, "part bigint, rows bigint, first bigint, share bigint").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("share") - 1) / PICKS_PER_PIECE)))
+    )
+    start = F.col("piece") * PICKS_PER_PIECE
+    end = F.least(start + PICKS_PER_PIECE, F.col("share")) - 1
+    picks = pieces.repartition("part", "piece").withColumn("draw", F.explode(F.sequence(start, end))).select(
+        "part", (F.col("first") + F.col("draw")).alias("pick"), F.pmod(F.xxhash64(F.lit(seed), "part", "draw"), "rows").alias("place")
+    )
+    found = marked.select("row", part.alias("part"), place.alias("place")).join(small_side(picks), ["part", "place"])
+    return found.select("pick", "row.*")
+
+
 def post_rows(posts: DataFrame) -> DataFrame:
     """Whole post rows, one per id: the smallest of repeated dumps."""
     rank = F.struct("subreddit", "score", post_withdrawn(), *posts.columns)

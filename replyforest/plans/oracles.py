@@ -448,6 +448,9 @@ FROM comments"""
         "threads_k_authors_chains": _on_threads(
             f"SELECT {THREAD} FROM clean WHERE fewest_comments >= 2 AND named_authors = 2", kind="chains"
         ),
+        "bootstrap_threads": _on_threads(
+            "SELECT count(*) AS picked, count(*) AS numbers, nullif(count(*), 0) - 1 AS last, count(*) AS known FROM threads"
+        ),
         "order_by": _on_threads(
             """SELECT p.subreddit, count(*) AS number_of_posts FROM threads t JOIN posts p ON p.id = t.posts
 GROUP BY p.subreddit ORDER BY number_of_posts DESC, subreddit"""

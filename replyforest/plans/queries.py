@@ -897,6 +897,18 @@ def random_thread(spark, sf_dir):
     return _thread_rows(sampling.random_thread(corpus(spark, sf_dir).threads, 42))
 
 
+@query
+def bootstrap_threads(spark, sf_dir):
+    """As many threads as there are, drawn with replacement: how many picks, their numbers, and how many are threads."""
+    known = corpus(spark, sf_dir).threads
+    drawn = sampling.sample_by_partitions(known, known.count(), seed=42)
+    picked = known.withColumn("pick", F.lit(0).cast("bigint")) if drawn is None else drawn
+    found = picked.join(known.select("posts", "ctp_id", "path", F.lit(1).alias("one")), ["posts", "ctp_id", "path"], "left")
+    return found.agg(
+        F.count("*").alias("picked"), F.count_distinct("pick").alias("numbers"), F.max("pick").alias("last"), F.count("one").alias("known")
+    )
+
+
 @query
 def random_thread_unseeded(spark, sf_dir):
     """Whether the pick is one row, and one of the threads."""
