@@ -2,16 +2,16 @@
 
 Assigned passwords and tokens, access keys and long hex numbers are findings by rule.  Every other run of key characters
 is a candidate too.  A convolutional network in numpy reads each candidate and the characters around it; it learns
-from labelled findings, its scores are calibrated on findings it has not learned from, and the threshold is the highest
-that still finds the wanted share of those.  Candidates are scored where the texts are; only a bounded sample of labelled
-ones comes to the driver.
+from all labelled findings, its scores are calibrated on findings it has not learned from, and the threshold is the
+highest that still finds the wanted share of those.  Candidates are scored where the texts are, and labelled ones are
+learned from in blocks where they lie; only networks, sums and counts come to the driver.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,11 @@ LEAST_ASSIGNED = 6
 BEFORE, AFTER = 32, 16  # characters of context
 BLOCK = 4096  # characters of a candidate that are read at once
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 4e-3, 1e-4
-SAMPLE = 1500  # labelled candidates of either label that come to the driver, at most
+BATCH, RATE, DECAY = 64, 4e-3, 1e-4
+ROUNDS = 4  # after each the networks of all blocks are averaged
+STEPS = 48  # batches that a block learns from in all rounds, at least
+BLOCK_ROWS = 1024  # labelled candidates of a block, some
+BINS = 1024  # of logits that are counted at once
 SAMPLE_SPAN = 512  # characters of a labelled candidate that are learned from, at most
 CALIBRATED = 4  # one in so many labelled candidates is for calibration only
 RECALL = 0.98  # share of true findings that the threshold must keep
@@ -152,11 +155,11 @@ class Network:
         h = np.maximum(x @ self.p["W"] + self.p["a"], 0)
         return x, h, h @ self.p["v"] + self.p["c"]
 
-    def gradient(self, codes: np.ndarray, lengths: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, codes: np.ndarray, lengths: np.ndarray, label: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         p = self.p
         largest, at = self.pooled(codes, lengths)
         x, h, logit = self.dense(largest)
-        d = (_sigmoid(logit) - label) / len(label)
+        d = weight * (_sigmoid(logit) - label) / len(label)
         dh = np.outer(d, p["v"]) * (h > 0)
         dlargest = ((dh @ p["W"].T) * (x > 0)).reshape(-1, FILTERS)
         kernel = np.zeros_like(p["K"])
@@ -195,21 +198,69 @@ class Network:
         """Calibrated probabilities."""
         return _sigmoid(self.slope * self.logits(found) + self.shift)
 
+    def learn(self, state: np.ndarray, read: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, steps: int, rng: np.random.Generator) -> np.ndarray:
+        """Adam's steps over all of ``read`` (as ``pieces`` gives them), again and again until there are ``steps``.
+
+        The state holds the parameters, both moments and the number of steps that were made.
+        """
+        numbers, first, second = np.split(state[:-1], 3)
+        step, end = state[-1], state[-1] + steps
+        self.set_flat(numbers)
+        while step < end:
+            turn = rng.permutation(len(read))
+            for begin in range(0, len(turn), BATCH):
+                some = turn[begin : begin + BATCH]
+                codes, lengths = np.concatenate([read[i][0] for i in some]), np.concatenate([read[i][1] for i in some])
+                step += 1
+                slope = np.concatenate([v.reshape(-1) for v in self.gradient(codes, lengths, label[some], weight[some]).values()])
+                first = 0.9 * first + 0.1 * slope
+                second = 0.999 * second + 0.001 * slope * slope
+                numbers = numbers - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+                self.set_flat(numbers)
+        return np.concatenate([numbers, first, second, [step]])
+
+    def flat(self) -> np.ndarray:
+        """All parameters in a row."""
+        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+
+    def set_flat(self, numbers: np.ndarray) -> None:
+        ends = np.cumsum([v.size for v in self.p.values()])
+        self.p = {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), np.split(numbers, ends[:-1]))}
 
     def calibrate(self, logits: np.ndarray, label: np.ndarray, recall: float) -> None:
         """Fits the probabilities to ``label``, with Platt's smoothed targets, and sets the threshold for ``recall``."""
         good = label.sum()
-        target = np.where(label == 1, (good + 1) / (good + 2), 1 / (len(label) - good + 2))
+        target = np.where(label == 1, *_targets(good, len(label) - good))
         x = np.stack([logits, np.ones_like(logits)], axis=1)
-        w = np.array([1.0, 0.0])
-        for _ in range(50):  # Newton's steps
+
+        def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             y = _sigmoid(x @ w)
-            curve = (x * (y * (1 - y) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
-            change = np.linalg.solve(curve, x.T @ (y - target))
+            return (x * (y * (1 - y) + 1e-6)[:, None]).T @ x, x.T @ (y - target)
+
+        falling = np.sort(logits[label == 1])[::-1]
+        self.fit(sums, falling[_kept(recall, len(falling)) - 1])
+
+    def fit(self, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], last: float) -> None:
+        """Newton's steps by ``sums``, the curve and the slope at some weights; the threshold is the score of the logit ``last``."""
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            curve, slope = sums(w)
+            change = np.linalg.solve(curve + 1e-6 * np.eye(2), slope)
             w -= change * min(1.0, 2 / max(np.abs(change).max(), 1e-12))
+            if np.abs(change).max() < 1e-9:
+                break
         self.slope, self.shift = max(float(w[0]), 1e-3), float(w[1])
-        falling = np.sort(_sigmoid(self.slope * logits[label == 1] + self.shift))[::-1]
-        self.threshold = float(falling[int(np.ceil(recall * len(falling))) - 1])
+        self.threshold = float(_sigmoid(self.slope * np.array([last]) + self.shift)[0])
+
+
+def _targets(good: int, bad: int) -> tuple[float, float]:
+    """Platt's targets of true and of false ones."""
+    return (good + 1) / (good + 2), 1 / (bad + 2)
+
+
+def _kept(recall: float, n: int) -> int:
+    """How many of ``n`` true ones must score the threshold."""
+    return int(np.ceil(recall * n))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -263,45 +314,114 @@ def labelled_findings(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(rows, "text string, start int, end int, label int")
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | NoNetwork:
-    """A network learned from ``labelled (text, start, end, label)``.
+def learn(labelled: DataFrame, recall: float = RECALL, block: int = BLOCK_ROWS) -> Network | NoNetwork:
+    """A network learned from all of ``labelled (text, start, end, label)``.
 
-    Equal findings count once.  Of either label the ``sample`` with the smallest hashes come in.  One in ``CALIBRATED``
-    of them is not learned from: these fit the calibration, and the threshold is the highest that finds the share
-    ``recall`` of the true ones among them.  Rows with nulls are not read.
+    Equal findings count once.  One in ``CALIBRATED``, by the hash, is not learned from: all of these fit the
+    calibration, and the threshold is the highest that finds the share ``recall`` of the true ones among them.  The others
+    are dealt over blocks of some ``block`` rows.  In each round every block goes on from the same network, and the same
+    moments of Adam, and learns from all of its rows; the ends are averaged by the numbers of rows.  True and false ones have equal weight in
+    all.  With no more than ``CALIBRATED`` of a label there is no network.  Rows with nulls are not read.
     """
     spark = labelled.sparkSession
     plain = labelled.select("text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("label").cast("int").alias("label"))
     with passing_folder(spark, "findings") as folder:
-        known = stage(plain.dropna().distinct(), "findings", folder=folder)
-        order = F.xxhash64("text", "start", "end")
-        parts = [known.where(F.col("label") == k).orderBy(order, "text", "start", "end").limit(sample).collect() for k in (0, 1)]
-    rng = np.random.default_rng(SEED)
-    if not all(len(part) > CALIBRATED for part in parts):
-        return NoNetwork()
-    held = [row for part in parts for row in part[::CALIBRATED]]
-    used = [row for part in parts for i, row in enumerate(part) if i % CALIBRATED]
-    read = [next(pieces(r["text"], r["start"], r["end"])) for r in used]
-    label = np.array([r["label"] for r in used], np.float64)
-    network = Network()
-    first = {k: np.zeros_like(v) for k, v in network.p.items()}
-    second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    step = 0
-    for _ in range(max(EPOCHS, 40 * BATCH // len(used))):
-        turn = rng.permutation(len(used))
-        for begin in range(0, len(turn), BATCH):
-            some = turn[begin : begin + BATCH]
-            codes, lengths = np.concatenate([read[i][0] for i in some]), np.concatenate([read[i][1] for i in some])
-            step += 1
-            for k, v in network.gradient(codes, lengths, label[some]).items():
-                first[k] = 0.9 * first[k] + 0.1 * v
-                second[k] = 0.999 * second[k] + 0.001 * v * v
-                network.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    truth = np.array([r["label"] for r in held], np.float64)
-    network.calibrate(network.logits([(r["text"], r["start"], r["end"]) for r in held]), truth, recall)
+        hashed = plain.dropna().where(F.col("label").isin(0, 1)).distinct().withColumn("hash", F.xxhash64("text", "start", "end"))
+        known = stage(hashed, "findings", folder=folder)
+        by_hash = F.pmod("hash", F.lit(CALIBRATED)) == 0
+        all_of = known.groupBy("label").agg(F.count("*").alias("n"), F.min("hash").alias("first"), F.max("hash").alias("last")).collect()
+        if len(all_of) < 2 or any(row.n <= CALIBRATED or row.first == row.last for row in all_of):
+            return NoNetwork()
+        # Of either label the first is held out and the last is learned from, so that neither part is ever empty.
+        ends = {row.label: row for row in all_of}
+        end = lambda name: F.when(F.col("label") == 1, ends[1][name]).otherwise(ends[0][name])
+        known = known.withColumn("held", (F.col("hash") == end("first")) | (by_hash & (F.col("hash") != end("last"))))
+        numbers = {(row.held, row.label): row.n for row in known.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
+        used, bad, good = numbers[False, 0] + numbers[False, 1], numbers[True, 0], numbers[True, 1]
+        weights = np.array([used / (2 * numbers[False, label]) for label in (0, 1)])
+        network = Network()
+        state = np.concatenate([network.flat(), np.zeros(2 * network.flat().size + 1)])
+        blocks = -(-used // block)
+        learned = known.where(~F.col("held")).withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
+        for turn in range(ROUNDS):
+            state = _average(_learn_in_blocks(learned.drop("held"), state, weights, turn), blocks)
+        network.set_flat(state[: network.flat().size])
+        logits = stage(_logits(known.where("held").drop("held", "hash"), network), "logits", folder=folder)
+        last = _nth_largest(logits.where("label = 1").select("logit"), _kept(recall, good))
+        network.fit(lambda w: _newton_sums(logits, w, *_targets(good, bad)), last)
     return network
 
 
+def _learn_in_blocks(learned: DataFrame, state: np.ndarray, weights: np.ndarray, turn: int) -> DataFrame:
+    """``block, rows, total``: the state of a network after every block went on learning from ``state`` alone, times its rows."""
+
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(name, "ascending") for name in ("hash", "text", "start", "end", "label")])
+        found = zip(*[rows.column(name).to_pylist() for name in ("text", "start", "end")])
+        read = [next(pieces(*one)) for one in found]
+        label = rows.column("label").to_numpy()
+        number = rows.column("block")[0].as_py()
+        end = Network().learn(state, read, label.astype(np.float64), weights[label], -(-STEPS // ROUNDS), np.random.default_rng([SEED, turn, number]))
+        columns = [pa.array([number], pa.int32()), pa.array([len(read)], pa.int64()), pa.array([(len(read) * end).tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["block", "rows", "total"])
+
+    return learned.groupBy("block").applyInArrow(learn, "block int, rows bigint, total binary")
+
+
+def _average(ends: DataFrame, blocks: int) -> np.ndarray:
+    """The mean of all rows of ``ends (block, rows, total)``, which are added up in their tasks, then in some tasks more."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n, total = None, 0, 0.0
+        for batch in batches:
+            for number, rows, held in zip(*batch.columns):
+                block = number.as_py() if block is None else block
+                n, total = n + rows.as_py(), total + np.frombuffer(held.as_buffer(), np.float64)
+        if n:
+            columns = [pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "rows", "total"])
+
+    kind = "block int, rows bigint, total binary"
+    dealt = ends.mapInArrow(added, kind).repartition(int(np.ceil(np.sqrt(blocks))), F.spark_partition_id()).sortWithinPartitions("block")
+    sums = sorted(dealt.mapInArrow(added, kind).collect())
+    return sum(np.frombuffer(row.total, np.float64) for row in sums) / sum(row.rows for row in sums)
+
+
+def _logits(rows: DataFrame, network: Network) -> DataFrame:
+    """``label, logit`` of every row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*[batch.column(name).to_pylist() for name in ("text", "start", "end")]))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(network.logits(found), pa.float64())], names=["label", "logit"])
+
+    return rows.select("text", "start", "end", "label").mapInArrow(read, "label int, logit double")
+
+
+def _newton_sums(logits: DataFrame, w: np.ndarray, true: float, false: float) -> tuple[np.ndarray, np.ndarray]:
+    """The curve and the slope of all rows at the weights ``w``, as ``Network.calibrate`` has them."""
+    x = F.col("logit")
+    y = 1 / (1 + F.exp(-F.least(F.greatest(x * float(w[0]) + float(w[1]), F.lit(-30.0)), F.lit(30.0))))
+    bend, off = y * (1 - y) + 1e-6, y - F.when(F.col("label") == 1, true).otherwise(false)
+    a, b, c, d, e = logits.agg(F.sum(bend * x * x), F.sum(bend * x), F.sum(bend), F.sum(off * x), F.sum(off)).first()
+    return np.array([[a, b], [b, c]]), np.array([d, e])
+
+
+def _nth_largest(values: DataFrame, n: int) -> float:
+    """The ``n``-th largest of ``values (logit)``: bins are counted, and the one that holds it is cut into bins again."""
+    x = F.col("logit")
+    low, high = values.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        place = F.floor((x - low) / (high - low) * BINS)
+        bins = values.where(x.between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for row in sorted(bins.collect(), reverse=True):
+            if n <= row.n:
+                low, high = row.low, row.high
+                break
+            n -= row.n
+    return low
+
+
 # ---- scanning
 
 
