@@ -101,24 +101,33 @@ def grow(forest: Forest, posts: DataFrame, comments: DataFrame) -> Forest:
     known = narrow.select("id", "parent_id").unionByName(forest.several).unionByName(forest.loose)
     new = stage(_links(comments).join(known, ["id", "parent_id"], "left_anti"), "new-links")
     every_post = forest.posts.unionByName(new_posts)
-    several = stage(_with_several(_of(known, new).unionByName(new).distinct()).unionByName(forest.several).distinct(), "several")
+    several = _with_several(_of(known, new).unionByName(new).distinct()).unionByName(forest.several).distinct()
+    several, ambiguous = stage_and_count(several, "several")
 
     # Nodes that were dumped with another parent, answer a new post so far taken for a comment, or might answer one.
     answers = _of(narrow, new_posts, "parent_id").where("root_id <> parent_id").select("id")
-    moved = _of(narrow, new).select("id").unionByName(answers)
-    moved = moved.unionByName(_of(_of(forest.several, new_posts, "parent_id").select("id"), narrow))
+    moved = answers
+    if ambiguous:  # a node that was dumped with another parent is among them
+        moved = moved.unionByName(_of(narrow, new).select("id"))
+        moved = moved.unionByName(_of(_of(forest.several, new_posts, "parent_id").select("id"), narrow))
     moved, more = stage_and_count(moved.distinct(), "moved")
     while True:
         again = stage(_below(nodes, moved), "again") if more else moved
-        links = new.unionByName(_without(forest.loose, new)).unionByName(_of(forest.loose, new))
+        # What is new is not among the loose, and nodes are in neither unless an id has several parents.
+        links = new.unionByName(forest.loose)
         if more:
             links = links.unionByName(_of(narrow, again).select("id", "parent_id"))
-        links = stage(links.unionByName(_of(several, links)).distinct(), "open-links")
-        parents = links.select(F.col("parent_id").alias("id")).distinct()
+        if ambiguous:
+            links = links.unionByName(_of(several, links))
+        links = stage(links.distinct() if more or ambiguous else links, "open-links")
+        parents = stage(links.select(F.col("parent_id").alias("id")).distinct(), "parents")
         ends = _of(every_post, parents)
-        held = stage(_without(_without(whole_rows(nodes, parents, "id"), again), every_post), "anchors")
+        above = _without(parents, every_post)
+        held = stage(whole_rows(nodes, _without(above, again) if more else above, "id"), "anchors")
         prefixed = links.select("id", F.concat(F.lit("t1_"), "parent_id").alias("parent_id"))
         placed = unroll(ends, prefixed, anchors=held)
+        if not ambiguous:
+            break
         # Another parent of a node that stayed where it was may have come to a place, or to another one.
         stirred = _without(_of(several, placed, "parent_id").select("id"), links)
         stirred, found = stage_and_count(_of(stirred, narrow).distinct(), "stirred")

@@ -77,3 +77,15 @@ def test_untouched_trees_are_not_read(spark, tmp_path):
 def test_nothing_new(spark):
     run(spark, [([], []), (["p"], [("a", "p")]), ([], []), (["p"], [("a", "p"), (None, "p"), ("b", None)])])
     assert hierarchy.unroll(posts_frame(spark, []), comments_frame(spark, [])).count() == 0
+
+
+def test_what_is_placed_is_not_read_again_without_several_parents(spark, monkeypatch):
+    """Only ids with several parents can be stirred; a forest without any does not look for them."""
+    staged = []
+    monkeypatch.setattr(increments, "stage_and_count", lambda df, name, f=increments.stage_and_count: staged.append(name) or f(df, name))
+    steps = [(["p"], [("c", "b"), ("q1", "q")]), (["q"], [("a", "p")]), ([], [("b", "a")])]
+    run(spark, steps)
+    assert staged == ["several", "moved"] * 2
+    staged.clear()
+    run(spark, [*steps, ([], [("c", "p")])])
+    assert "stirred" in staged
