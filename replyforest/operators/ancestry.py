@@ -236,18 +236,20 @@ def path_sums(numbers: DataFrame, values: DataFrame, block: int = BLOCK) -> Data
 def prune(numbers: DataFrame, level: int, block: int = BLOCK) -> DataFrame:
     """``hierarchy.cascade_prune`` on intervals: comments above ``level`` with none on it below them; staged.
 
-    Intervals stay as they are, so that the result can be cut again.
+    Only trees that reach ``level`` are summed up, and only what goes is looked up: a short or sparse level is in few of
+    them.  Intervals stay as they are, so that the result can be cut again.
     """
     if "connected" not in numbers.columns:
         numbers = numbers.withColumn("connected", F.lit(True))
     with passing_folder(numbers.sparkSession, "prune") as folder:
         on_level = (F.col("lvl") == level).cast("bigint")
-        marked = numbers.where(F.col("lvl") <= level).select("id", "ctp_id", "enter", "leave", on_level.alias("marks"))
-        free = _subtree_sums(marked, ["marks"], block, folder).where(F.col("marks") == 0).select("id")
-        cut_tops = numbers.where(F.col("lvl") == level).select("ctp_id", F.lit(True).alias("top_cut")).distinct()
+        cut_tops = small_side(numbers.where(F.col("lvl") == level).select("ctp_id", F.lit(True).alias("top_cut")).distinct())
+        reaching = numbers.where(F.col("lvl") <= level).join(cut_tops, "ctp_id", "left_semi")
+        marked = reaching.select("id", "ctp_id", "enter", "leave", on_level.alias("marks"))
+        gone = small_side(_subtree_sums(marked, ["marks"], block, folder).where(F.col("marks") > 0).select("id"))
         left = (
             numbers.where(F.col("lvl") < level)
-            .join(free, "id", "left_semi")
+            .join(gone, "id", "left_anti")
             .join(cut_tops, "ctp_id", "left")
             .withColumn("connected", F.col("connected") & F.col("top_cut").isNull())
         )

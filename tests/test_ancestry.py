@@ -118,3 +118,21 @@ def test_depth_of_ten_thousand(spark):
     left = ancestry.prune(numbers, depth - 1)
     assert left.where(F.col("id").startswith("c")).count() == 0 and left.count() == depth // 10
     assert left.where("connected").count() == 0
+
+
+def test_prune_sums_up_only_trees_that_reach_the_level(spark, monkeypatch):
+    """A level in one of twenty trees costs the sums of that tree only."""
+    links = [(f"c{i}", "p") for i in range(20)] + [(f"d{i}", f"c{i}") for i in range(20)] + [("e", "d7"), ("f", "e"), ("d7b", "c7")]
+    numbers = ancestry.intervals(posts_frame(spark, ["p"]), comments_frame(spark, links))
+    seen, sums = [], ancestry._subtree_sums
+
+    def watched(valued, *rest):
+        seen.append(valued.count())
+        return sums(valued, *rest)
+
+    monkeypatch.setattr(ancestry, "_subtree_sums", watched)
+    left = {r.id: r.connected for r in ancestry.prune(numbers, 2).collect()}
+    assert seen == [4]
+    wanted = {i: True for i, _ in links if i not in ("c7", "d7", "e", "f", "d7b")}
+    assert left == {**wanted, "d7b": False}
+    assert ancestry.prune(numbers, 4).count() == len(links) and seen[-1] == 0
