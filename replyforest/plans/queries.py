@@ -128,15 +128,19 @@ def _post_values(posts: DataFrame) -> DataFrame:
 
 
 def _write_lines(records: DataFrame, path: str, broken: bool = False) -> str:
-    """JSON lines in id order; ``broken`` adds malformed copies of every line."""
-    lines = records.select("id", F.to_json(F.struct(*records.columns)).alias("value"))
+    """JSON lines in id order; ``broken`` adds malformed copies of every line.
+
+    Records are put in order before their lines are made, so that copies are neither sampled nor shuffled.
+    """
+    ordered = records.repartitionByRange("id")
+    lines = ordered.select("id", F.to_json(F.struct(*records.columns)).alias("value"))
     if broken:
-        cut = lines.withColumn("value", F.expr("left(value, length(value) - 3)"))
-        twice = lines.withColumn("value", F.concat("value", "value"))
-        trailing = lines.withColumn("value", F.concat("value", F.lit(" xyz")))
-        quoted = lines.withColumn("value", F.concat(F.lit("{'id':'"), "id", F.lit("'}")))
-        lines = lines.unionByName(cut).unionByName(twice).unionByName(trailing).unionByName(quoted)
-    lines.repartitionByRange("id").sortWithinPartitions("id", "value").select("value").write.mode("append").text(path)
+        cut = F.expr("left(value, length(value) - 3)")
+        twice = F.concat("value", "value")
+        trailing = F.concat("value", F.lit(" xyz"))
+        quoted = F.concat(F.lit("{'id':'"), "id", F.lit("'}"))
+        lines = lines.select("id", F.explode(F.array("value", cut, twice, trailing, quoted)).alias("value"))
+    lines.sortWithinPartitions("id", "value").select("value").write.mode("append").text(path)
     return path
 
 

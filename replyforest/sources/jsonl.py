@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,18 @@ def record_of(value: Column, schema: T.DataType) -> Column:
 
     A reader of one object stops at its end, so lines are read as lists: of two objects on a line there are two.
     """
+    return F.get(_records_of(value, schema), F.lit(0))
+
+
+def _looks_whole(value: Column) -> Column:
+    """Whether a line begins and ends as an object does; others are not worth reading."""
+    return value.rlike(r'^ *\{[ \t\r\n]*["}]') & F.btrim(value, F.lit(" \t\r\n")).endswith("}")
+
+
+def _records_of(value: Column, schema: T.DataType) -> Column:
+    """The record of a line as a list of one, null for any other line; a line is read once."""
     found = F.from_json(F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(schema), {"allowSingleQuotes": "false"})
-    return F.when(F.trim(value).startswith("{") & (F.size(found) == 1), F.get(found, F.lit(0)))
+    return F.when(_looks_whole(value), F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) == 1, f)), F.lit(0)))
 
 
 def field_names(lines: DataFrame) -> list[str]:
@@ -71,11 +83,22 @@ def parse_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
 
     Works on batches and on streams alike.
     """
-    return (
-        lines.withColumn("record", record_of(F.col("value"), text_schema(fields)))
-        .where(F.col("record").isNotNull())
-        .select(*[c for c in lines.columns if c != "value"], *[F.col(f"record.{f}").alias(f) for f in fields])
+    # A generator reads a line once, where a filter and each field would read it again.
+    others = [c for c in lines.columns if c != "value"]
+    records = lines.where(_looks_whole(F.col("value"))).select(
+        *others, F.explode(_records_of(F.col("value"), text_schema(fields))).alias("record")
     )
+    return records.where(F.col("record").isNotNull()).select(*others, *[F.col(f"record.{f}").alias(f) for f in fields])
+
+
+def _may_hold(value: Column, text: str) -> Column:
+    """Whether a field of a line may be ``text``; lines of which this is false need not be read for it.
+
+    Letters and digits stand in a line as they are, or as ``\\u`` and their number.  Other texts may be written in more ways.
+    """
+    if not re.fullmatch("[A-Za-z]+[0-9][A-Za-z0-9_]*", text):
+        return F.lit(True)
+    return value.contains(text) | value.contains("\\u")
 
 
 def jsonl_columns(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
@@ -105,7 +128,8 @@ def ingest_after_id(
     records = parse_lines(lines, wanted)
     if resume_id is not None:
         # A single place comes back, and becomes a literal of the filter.
-        found = records.where(F.col("id") == resume_id).agg(F.min("place").alias("place")).first().place
+        candidates = parse_lines(lines.where(_may_hold(F.col("value"), resume_id)), ["id"])
+        found = candidates.where(F.col("id") == resume_id).agg(F.min("place").alias("place")).first().place
         if found is None:
             return records.select(*fields).where(F.lit(False))
         after = F.struct(F.lit(found.file).alias("file"), F.lit(found.split).alias("split"), F.lit(found.row).alias("row"))

@@ -217,3 +217,29 @@ def test_expressions(spark):
         "id": "abc", "kind": "t3_", "gone": True, "not_gone": False, "lvl": 12, "top": 0, "none": None,
         "items": ["x", "y"], "whole": True, "broken": False,
     }
+
+
+def test_a_line_is_read_once(spark, tmp_path):
+    """Not once for the filter and once for each field."""
+    path = write(tmp_path / "d.jsonl", lines(GOOD, SHORT))
+    plan = jsonl.jsonl_columns(spark, path, FIELDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_lines_that_only_look_whole(spark, tmp_path):
+    """Blanks around an object do no harm, and what is more or less than one object is skipped."""
+    whole = ['  {"id": "a"}', '{ "id": "b"}\t ', '{\t"id": "c", "score": {"x": "}"}}']
+    broken = ['{"id": "d"}, ', '{"id": "e"}{"id": "f"}', '{"id": "g"}, {"id": "h"}', '{"id": "i"} x}', "{'id': 'j'}", '{id: "k"}', '{"id": "l}', "{", "}", ""]
+    path = write(tmp_path / "d.jsonl", lines(*whole, *broken, "{}"))
+    assert [r.id for r in jsonl.jsonl_columns(spark, path, ["id"]).collect()] == ["a", "b", "c", None]
+
+
+@pytest.mark.parametrize("written", ["r040", "r\\u003040", "\\u0072040"])
+def test_resume_after_an_id_however_it_is_written(spark, tmp_path, written):
+    path = write(tmp_path / "d.jsonl", lines({"id": "r04", "body": "r040"}, '{"id": "%s"}' % written, {"id": "a"}, {"id": "r0401"}))
+    assert [r.id for r in jsonl.ingest_after_id(spark, path, ["id"], "r040").collect()] == ["a", "r0401"]
+
+
+def test_lines_without_the_id_are_not_read_for_it(spark):
+    found = [(text, spark.sql("SELECT '{\"id\": \"r041\", \"body\": \"{\\\\\\\\\"k\\\\\\\\\": 7}\"}' AS value").select(jsonl._may_hold(F.col("value"), text)).first()[0]) for text in ("r040", "r041", "1041", "x y")]
+    assert found == [("r040", False), ("r041", True), ("1041", True), ("x y", True)]
