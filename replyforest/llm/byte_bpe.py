@@ -4,15 +4,17 @@ A word is an array of ids, at first one for each byte; a fold merges the pair of
 the leftmost of equal ones, until no two can be merged.  The ranks are literals of the plan: a token's id is its rank,
 and a flat hash table holds the rank of every pair of ids that make a token.
 
-Texts are read once.  Some texts form a block, whose distinct words have numbers, and a text is kept as the numbers of its
-words.  The words of all blocks meet in one shuffle, so that every distinct word is folded once, and its ids go
-back to the blocks that hold it.  The kept texts lie in buckets by block and are not shuffled.
+Texts are read once and split by Spark's regular expressions.  Some texts form a block, whose distinct words have numbers,
+and a text is kept as the numbers of its words.  A block's words are dealt into lots by their hash; the same lot of all
+blocks meets in one partition, so that every distinct word is folded once, and its ids go back to the blocks that hold it.
+Words and ids travel as one packed row for each block and lot.  The kept texts lie in buckets by block and are not shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import batched
 from operator import itemgetter
@@ -27,8 +29,11 @@ from replyforest.llm.common import give_back_memory, text_of, worker_cache
 from replyforest.session import scratch_path
 
 BLOCK_WORDS = 1 << 19  # a block ends with the text that gives it so many distinct words,
-BLOCK_LENGTH = 1 << 22  # or so many words
-DEALT = 4096  # words of a block in a row, words of a text looked up at once
+BLOCK_LENGTH = 3 << 21  # or so many words,
+BLOCK_BYTES = 1 << 27  # or so many bytes
+LONG = 1 << 20  # characters: longer texts are split piece by piece, not in an array of all their words
+DEALT = 4096  # words folded in a row, words of a text looked up at once
+WRITTEN = 1 << 20  # words of texts in a batch, at least
 RANK_BITS = 20
 NO_RANK = (1 << RANK_BITS) - 1  # of two ids that make no token
 ID_BITS = 16
@@ -148,46 +153,138 @@ def fold(word: Column, table: RankTable, cells: Column, of_byte: Column, byte_pa
     return _let(single, folded)
 
 
-def _in_blocks(docs: DataFrame, pattern: str, block_words: int) -> DataFrame:
-    """``block, at, doc_id, codes, words`` of ``docs (doc_id, text)``.
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as four bytes each, all lowest bytes first, as high ones are nearly all zero."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    A row holds either a text, as the numbers of its words, or words of its block from number ``at`` on.  Codes are
-    kept byte by byte, all lowest bytes first, as high ones are nearly all zero.
+
+def _numbers_of(held: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    """The numbers that ``_planes`` wrote."""
+    return np.frombuffer(held, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _pack(sizes: np.ndarray, data: bytes | memoryview) -> bytes:
+    """Sizes of things and the things, one after another."""
+    return zlib.compress(b"".join([len(sizes).to_bytes(4, "little"), _planes(sizes), data]), 1)
+
+
+def _unpack(held: bytes) -> tuple[np.ndarray, memoryview]:
+    whole = memoryview(zlib.decompress(held))
+    data = 4 + 4 * int.from_bytes(whole[:4], "little")
+    return _numbers_of(whole[4:data]), whole[data:]
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begins``, one run after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(sizes.sum())
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Sizes and bytes of strings without nulls."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.diff(ends), memoryview(data or b"")[int(ends[0]) : int(ends[-1])]
+
+
+def _distinct(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, in order of their first places, and the number of each word among them."""
+    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _split(docs: DataFrame, pattern: str) -> DataFrame:
+    """``doc_id, rest, words`` of ``docs (doc_id, text)``: the words, or the text if its words are left to Python.
+
+    That is so for long texts, and for those with characters that the JVM's Unicode tables don't know yet.
     """
+    unknown = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(r"\p{Cn}")
+    rest = F.when((F.length("text") > LONG) | unknown, F.col("text"))
+    words = F.when(F.col("rest").isNull(), F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0)))
+    return docs.withColumn("rest", rest).select("doc_id", "rest", words.alias("words"))
+
+
+def _in_blocks(docs: DataFrame, pattern: str, block_words: int, lots: int) -> DataFrame:
+    """``block, doc_id, codes, lots, lot, words`` of ``docs (doc_id, text)``.
+
+    A row holds either a text, as the numbers of its words, or the lot of each word of its block, or the words of a lot, packed.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block bigint, doc_id {kind}, codes binary, lots binary, lot int, words binary"
+    names = ["block", "doc_id", "codes", "lots", "lot", "words"]
+
+    def pieces(batch: pa.RecordBatch, find) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+        """Ids of texts, their numbers of words, and all these words."""
+        ids, rest, words = batch.columns
+        alone, begin = np.flatnonzero(rest.is_valid().to_numpy(zero_copy_only=False)).tolist(), 0
+        for i in [*alone, len(batch)]:
+            # Not more texts at once than make a block.
+            sizes = np.diff(words.offsets.to_numpy()[begin : i + 1])
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_LENGTH)) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(sizes)]):
+                if b > a:
+                    yield ids.slice(begin + a, b - a), sizes[a:b], words.slice(begin + a, b - a).flatten()
+            if i < len(batch):
+                found = map(itemgetter(0), find(rest[i].as_py()))
+                own = pa.concat_arrays([pa.array([], pa.string()), *(pa.array(some, pa.string()) for some in batched(found, DEALT))])
+                yield ids.slice(i, 1), np.array([len(own)]), own
+            begin = i + 1
+
+    def rows(block: int, kind: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+        """A batch with nulls in all other columns."""
+        count = len(next(iter(columns.values())))
+        kinds = dict(zip(names, [pa.int64(), kind, pa.binary(), pa.binary(), pa.int32(), pa.binary()]))
+        columns["block"] = pa.array(np.full(count, block))
+        return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(count, kinds[n]) for n in names], names=names)
+
+    def written(block: int, ids: pa.Array, sizes: np.ndarray, codes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // WRITTEN)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            held = [_planes(codes[e - n : e]) for e, n in zip(ends[a:b].tolist(), sizes[a:b].tolist())]
+            yield rows(block, ids.type, doc_id=ids.slice(a, b - a), codes=pa.array(held, pa.binary()))
+        lot = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.uint32, len(words)) % lots
+        yield rows(block, ids.type, lots=pa.array([_planes(lot)], pa.binary()))
+        order = np.argsort(lot, kind="stable")
+        dealt, cuts = words.take(pa.array(order)), np.searchsorted(lot[order], np.arange(lots + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        held = [_pack(*_bytes_of(dealt.slice(cuts[n], cuts[n + 1] - cuts[n]))) for n in full.tolist()]
+        yield rows(block, ids.type, lot=pa.array(full, pa.int32()), words=pa.array(held, pa.binary()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        names = ["block", "at", "doc_id", "codes", "words"]
-        find, numbers, length = regex.compile(pattern).finditer, {}, 0
-        block, kind = TaskContext.get().partitionId() << 32, None
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            for at, words in zip(range(0, len(numbers), DEALT), batched(numbers, DEALT)):
-                columns = [pa.array([block]), pa.array([at], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([words], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        find, block, waiting = regex.compile(pattern).finditer, TaskContext.get().partitionId() << 32, []
+
+        def ended(last: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks of the texts that wait; all of them at the end."""
+            nonlocal block, waiting
+            while waiting and (last or sum(map(len, (w for _, _, w in waiting))) >= BLOCK_LENGTH or sum(w.nbytes for _, _, w in waiting) >= BLOCK_BYTES):
+                ids, sizes = pa.concat_arrays([i for i, _, _ in waiting]), np.concatenate([s for _, s, _ in waiting])
+                words, codes = _distinct([w for _, _, w in waiting])
+                texts, most = len(ids), len(words)
+                if most > block_words:
+                    # Numbers rise with first places, so the highest so far tells how many words there are.
+                    ends = np.cumsum(sizes)
+                    seen = np.concatenate([[0], np.maximum.accumulate(codes) + 1])[ends]
+                    texts = int(np.searchsorted(seen, block_words)) + 1
+                    most, own = int(seen[texts - 1]), int(ends[texts - 1])
+                    left = [(ids.slice(texts), sizes[texts:], words.take(pa.array(codes[own:])))] if texts < len(ids) else []
+                    codes = codes[:own]
+                else:
+                    left = []
+                waiting = left
+                yield from written(block, ids.slice(0, texts), sizes[:texts], codes, words.slice(0, most))
+                block += 1
 
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for i, text in enumerate(batch.column(1)):
-                parts = [
-                    np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words))
-                    for words in batched(map(itemgetter(0), find(text.as_py())), DEALT)
-                ]
-                codes = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-                held = pa.array([codes.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
-                columns = [pa.array([block]), pa.nulls(1, pa.int32()), batch.column(0).slice(i, 1), held, pa.nulls(1, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                length += len(codes)
-                if len(numbers) >= block_words or length >= BLOCK_LENGTH:
-                    yield from dictionary()
-                    numbers, length, block = {}, 0, block + 1
-        yield from dictionary()
-        numbers = None
+            for piece in pieces(batch, find):
+                waiting.append(piece)
+                yield from ended(False)
+        yield from ended(True)
         give_back_memory()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(split, f"block bigint, at int, doc_id {kind}, codes binary, words array<string>")
+    return _split(docs, pattern).mapInArrow(split, schema)
 
 
 def _in_buckets(blocks: DataFrame) -> DataFrame:
@@ -202,21 +299,73 @@ def _in_buckets(blocks: DataFrame) -> DataFrame:
     return read
 
 
-def _by_library(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``word, ids`` of giant words."""
+def _library(path: str, pattern: str):
+    """The library's encoder, which a worker makes once."""
+    import tiktoken
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    cache = worker_cache()
+    if (path, pattern) not in cache:
+        cache[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    return cache[path, pattern]
 
-        cache = worker_cache()
-        if (path, pattern) not in cache:
-            cache[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        for batch in batches:
-            for i, word in enumerate(batch.column(0)):
-                ids = pa.array([cache[path, pattern].encode_ordinary(word.as_py())], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), ids], names=["word", "ids"])
 
-    return words.mapInArrow(encode, "word string, ids array<int>")
+def _folded_lots(words: DataFrame, table: RankTable, path: str, pattern: str) -> DataFrame:
+    """``of_block, lot, ids`` of ``words (block, lot, words)``: the ids of the words, packed in their order.
+
+    All rows of a lot are in one partition, where each distinct word is folded once.  Three steps follow one another
+    on the rows of a partition: distinct words and where they go, the fold, and the ids of each row.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, lots, parts = [], [], []
+        for batch in batches:
+            blocks += batch.column(0).to_pylist()
+            lots += batch.column(1).to_pylist()
+            for held in batch.column(2):
+                sizes, data = _unpack(held.as_py())
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                parts.append(pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data)))
+        if not parts:
+            return
+        known, codes = _distinct(parts)
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        del parts
+        none, names = pa.nulls, ["block", "lot", "picks", "words"]
+        for at in range(0, len(known), DEALT):
+            some = known.slice(at, DEALT)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
+            yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int32()), none(1, pa.binary()), lists], names=names)
+        for block, lot, picks in zip(blocks, lots, np.split(codes, ends)):
+            row = [pa.array([block]), pa.array([lot], pa.int32()), pa.array([picks.tobytes()], pa.binary()), none(1, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(row, names=names)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, sizes, begins = [], [], None
+        for batch in batches:
+            for i, picks in enumerate(batch.column(2)):
+                if not picks.is_valid:
+                    ids, giant = batch.column(3)[i].values, iter(batch.column(4)[i].as_py())
+                    own, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy().astype(np.uint16)
+                    for at in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+                        found = np.array(_library(path, pattern).encode_ordinary(next(giant)), np.uint16)
+                        place = own[:at].sum()
+                        own[at], flat = len(found), np.concatenate([flat[:place], found, flat[place:]])
+                    values.append(flat)
+                    sizes.append(own.astype(np.int64))
+                    continue
+                if begins is None:
+                    values, sizes = np.concatenate(values), np.concatenate(sizes)
+                    begins = np.cumsum(sizes) - sizes
+                chosen = np.frombuffer(picks.as_buffer(), np.int32)
+                held = _pack(sizes[chosen], values[_runs(begins[chosen], sizes[chosen])].tobytes())
+                row = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([held], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["of_block", "lot", "ids"])
+
+    usual = lambda w: F.octet_length(w) <= GIANT
+    ids = _with_table(table, lambda *arrays: F.transform("words", lambda w: F.when(usual(w), fold(w, table, *arrays))))
+    steps = words.mapInArrow(distinct, "block bigint, lot int, picks binary, words array<string>")
+    steps = steps.select("block", "lot", "picks", F.when(F.col("words").isNotNull(), ids).alias("ids"), F.filter("words", lambda w: ~usual(w)).alias("giant"))
+    return steps.mapInArrow(packed, "of_block bigint, lot int, ids binary")
 
 
 def fold_words(words: DataFrame, table: RankTable) -> DataFrame:
@@ -237,28 +386,26 @@ def _packed(ids: Column) -> Column:
 
 def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
     """``doc_id, ids`` of the texts of a block, from the ids of its words."""
-    packed = known.column("ids").to_pylist()
-    values = np.frombuffer(b"".join(packed), ">u2").astype(np.uint16)
-    lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
-    del packed
-    order = np.argsort(known.column("number").to_numpy())
-    begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    parts = [_unpack(held.as_py()) for held in known.sort_by("lot").column("ids")]
+    values = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(data, np.uint16) for _, data in parts)])
+    lengths = np.concatenate([np.empty(0, np.int64), *(of_words for of_words, _ in parts)]).astype(np.int64)
+    del parts
+    lots = _numbers_of(coded.column("lots").drop_null()[0].as_buffer())
+    begins, sizes, order = np.empty_like(lengths), np.empty_like(lengths), np.argsort(lots, kind="stable")
+    begins[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
     digits = np.array([str(i) for i in range(1 << ID_BITS)], object)
-    found = []
-    for held in coded.column("codes"):
+    texts, found = coded.filter(coded.column("codes").is_valid()), []
+    for held in texts.column("codes"):
         codes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
         parts = []
         for at in range(0, codes.shape[1], DEALT):
             some = codes[:, at : at + DEALT].T.copy().view(np.uint32).ravel()
-            of_word = sizes[some]
-            before = np.cumsum(of_word) - of_word
-            places = np.repeat(begins[some] - before, of_word) + np.arange(of_word.sum())
-            parts.append(" ".join(digits[values[places]].tolist()))
+            parts.append(" ".join(digits[values[_runs(begins[some], sizes[some])]].tolist()))
         found.append(" ".join(parts))
-    texts = pa.table({"doc_id": coded.column("doc_id"), "ids": pa.array(found, pa.string())})
+    rows = pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(found, pa.string())})
     del found, values, digits
     give_back_memory()
-    return texts
+    return rows
 
 
 def encode(
@@ -278,14 +425,11 @@ def encode(
     """
     table = table or RankTable(read_ranks(path))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
-    blocks = _in_buckets(_in_blocks(plain, pattern, block_words))
-    held = blocks.where("words is not null").select("block", "at", F.posexplode("words").alias("place", "word"))
-    held = held.select("block", (F.col("at") + F.col("place")).alias("number"), "word")
-    usual, giant = held.where(F.octet_length("word") <= GIANT), held.where(F.octet_length("word") > GIANT)
-    by_library = giant.join(_by_library(giant.select("word").distinct(), path, pattern), "word")
-    known = fold_words(usual, table).unionByName(by_library.select("block", "number", _packed(F.col("ids")).alias("ids")))
-    known = known.withColumnRenamed("block", "of_block")
-    texts = blocks.where("codes is not null").select("block", "doc_id", "codes")
+    lots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _in_buckets(_in_blocks(plain, pattern, block_words, lots))
+    words = blocks.where("words is not null").select("block", "lot", "words").repartition(lots, "lot")
+    known = _folded_lots(words, table, path, pattern)
+    texts = blocks.where("words is null").select("block", "doc_id", "codes", "lots")
     kind = docs.schema[doc_id].dataType.simpleString()
     return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_with_ids, f"doc_id {kind}, ids string")
 

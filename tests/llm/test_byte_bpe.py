@@ -55,6 +55,43 @@ def test_texts_are_not_shuffled(documents):
     assert "codes" in texts and "Exchange" not in texts and "Window" not in texts
 
 
+def test_words_travel_packed(documents):
+    from plan_texts import executed_plan
+
+    plan = executed_plan(bpe.encode(documents(["some text", "more text"] * 50), PATH, public_tokenizers.PATTERN))
+    assert "Generate" not in plan and "Window" not in plan  # no row for each block and word
+    plain = documents([f"{n} words" for n in range(1000)] + [""]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = bpe._in_blocks(plain.coalesce(1), public_tokenizers.PATTERN, bpe.BLOCK_WORDS, 3).collect()
+    assert len(rows) == 1001 + 1 + 3 and len({r.block for r in rows}) == 1
+    sizes = [len(bpe._unpack(bytes(r.words))[0]) for r in rows if r.words is not None]
+    assert sum(sizes) == 1001
+
+
+def test_split_as_the_regex_module(spark):
+    import regex
+
+    points = [c for c in range(1 << 21) if c < 0x110000 and not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b1{c}2 {c} {c}{c}\n'{c}" for c in map(chr, points[i : i + 64])) for i in range(0, len(points), 64)]
+    rows = bpe._split(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), public_tokenizers.PATTERN).collect()
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    assert len(rows) == len(texts) and all((r.rest == texts[r.doc_id]) != (r.words == find(texts[r.doc_id])) for r in rows)
+    assert sum(r.words is not None for r in rows) > 1000
+
+
+def test_long_texts_and_unknown_characters(documents, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 12)
+    texts = ["short", "a long text of some words", "\u0378 x", "", "more \U000e0fff\ufffe", "and so on and on", None, "é " * 5000, "end"]
+    for monkey, most in (("BLOCK_LENGTH", 3), ("BLOCK_BYTES", 9), ("WRITTEN", 1)):
+        monkeypatch.setattr(bpe, monkey, most)
+        rows = bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN).collect()
+        assert len(rows) == len(texts)
+        assert all(r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id] or ""))) for r in rows)
+
+
+def test_texts_without_words(documents):
+    assert [r.ids for r in bpe.encode(documents(["", None]), PATH, public_tokenizers.PATTERN).collect()] == ["", ""]
+
+
 def test_null_and_repeated_ids_and_empty_tables(documents):
     rows = bpe.encode(documents([(None, "a"), (1, "a"), (1, "a")]), PATH, public_tokenizers.PATTERN).collect()
     assert len(rows) == 3 and len({r.ids for r in rows}) == 1
