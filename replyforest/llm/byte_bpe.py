@@ -34,6 +34,7 @@ BLOCK_BYTES = 1 << 27  # or so many bytes
 LONG = 1 << 20  # characters: longer texts are split piece by piece, not in an array of all their words
 DEALT = 4096  # words folded in a row, words of a text looked up at once
 WRITTEN = 1 << 20  # words of texts in a batch, at least
+DECODED = 1 << 20  # bytes of decoded texts in a batch, at least
 RANK_BITS = 20
 NO_RANK = (1 << RANK_BITS) - 1  # of two ids that make no token
 ID_BITS = 16
@@ -391,19 +392,22 @@ def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
     lengths = np.concatenate([np.empty(0, np.int64), *(of_words for of_words, _ in parts)]).astype(np.int64)
     del parts
     lots = _numbers_of(coded.column("lots").drop_null()[0].as_buffer())
-    begins, sizes, order = np.empty_like(lengths), np.empty_like(lengths), np.argsort(lots, kind="stable")
-    begins[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
-    digits = np.array([str(i) for i in range(1 << ID_BITS)], object)
+    # The ids of a word are one string, cut out of a string of all.
+    digits = [str(i) for i in range(1 << ID_BITS)]
+    widths = np.concatenate([[0], np.cumsum(np.array([len(d) + 1 for d in digits])[values])])
+    ends = widths[np.cumsum(lengths)]
+    begins = np.concatenate([[0], ends[:-1]])
+    whole = " ".join(map(digits.__getitem__, values.tolist()))
+    of_word = np.empty(len(lengths), object)
+    of_word[np.argsort(lots, kind="stable")] = [whole[a:b] for a, b in zip(begins.tolist(), (ends - 1).tolist())]
+    del digits, widths, whole, values
     texts, found = coded.filter(coded.column("codes").is_valid()), []
     for held in texts.column("codes"):
         codes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
-        parts = []
-        for at in range(0, codes.shape[1], DEALT):
-            some = codes[:, at : at + DEALT].T.copy().view(np.uint32).ravel()
-            parts.append(" ".join(digits[values[_runs(begins[some], sizes[some])]].tolist()))
-        found.append(" ".join(parts))
+        slices = (codes[:, at : at + DEALT].T.copy().view(np.uint32).ravel() for at in range(0, codes.shape[1], DEALT))
+        found.append(" ".join(" ".join(of_word[some].tolist()) for some in slices))
     rows = pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(found, pa.string())})
-    del found, values, digits
+    del found, of_word
     give_back_memory()
     return rows
 
@@ -443,9 +447,14 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             cache["pieces", path] = {str(rank): token for token, rank in read_ranks(path).items()}
         piece = cache["pieces", path].__getitem__
         for batch in batches:
+            begin, held, size = 0, [], 0
             for i, ids in enumerate(batch.column(1)):
-                whole = b"".join(map(piece, ids.as_py().split()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([whole], pa.binary())], names=["doc_id", "ids", "decoded"])
+                held.append(b"".join(map(piece, ids.as_py().split())))
+                size += len(held[-1])
+                if size >= DECODED or i == len(batch) - 1:
+                    columns = [*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+                    begin, held, size = i + 1, [], 0
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(joined, f"doc_id {kind}, ids string, decoded binary")
