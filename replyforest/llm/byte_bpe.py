@@ -372,7 +372,8 @@ def _folded_lots(words: DataFrame, table: RankTable, path: str, pattern: str) ->
 def fold_words(words: DataFrame, table: RankTable) -> DataFrame:
     """``words (block, number, word)`` with ``ids`` in place of the word, which is folded once however many blocks hold it.
 
-    The first row of a word folds it, the others take the ids over, row by row.
+    For words that come as rows; ``encode`` folds them in lots.  The first row of a word folds it, the others take the ids
+    over, row by row.
     """
     rows = Window.partitionBy("word").orderBy("block")
     ids = F.when(F.row_number().over(rows) == 1, _packed(_with_table(table, lambda *arrays: fold(F.col("word"), table, *arrays))))
