@@ -35,6 +35,7 @@ LONG = 1 << 20  # characters: longer texts are split piece by piece, not in an a
 DEALT = 4096  # words folded in a row, words of a text looked up at once
 WRITTEN = 1 << 20  # words of texts in a batch, at least
 DECODED = 1 << 20  # bytes of decoded texts in a batch, at least
+JOINED = 1 << 22  # characters of joined ids in a chunk, at least
 RANK_BITS = 20
 NO_RANK = (1 << RANK_BITS) - 1  # of two ids that make no token
 ID_BITS = 16
@@ -402,12 +403,18 @@ def _with_ids(coded: pa.Table, known: pa.Table) -> pa.Table:
     of_word = np.empty(len(lengths), object)
     of_word[np.argsort(lots, kind="stable")] = [whole[a:b] for a, b in zip(begins.tolist(), (ends - 1).tolist())]
     del digits, widths, whole, values
-    texts, found = coded.filter(coded.column("codes").is_valid()), []
+    texts = coded.filter(coded.column("codes").is_valid())
+    found, size, chunks = [], 0, []
     for held in texts.column("codes"):
         codes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
         slices = (codes[:, at : at + DEALT].T.copy().view(np.uint32).ravel() for at in range(0, codes.shape[1], DEALT))
         found.append(" ".join(" ".join(of_word[some].tolist()) for some in slices))
-    rows = pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(found, pa.string())})
+        size += len(found[-1])
+        if size >= JOINED:
+            chunks.append(pa.array(found, pa.string()))
+            found, size = [], 0
+    # Chunks are sent to the JVM one by one.
+    rows = pa.table({"doc_id": texts.column("doc_id"), "ids": pa.chunked_array([*chunks, pa.array(found, pa.string())], pa.string())})
     del found, of_word
     give_back_memory()
     return rows

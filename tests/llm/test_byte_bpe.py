@@ -81,11 +81,12 @@ def test_split_as_the_regex_module(spark):
 def test_long_texts_and_unknown_characters(documents, library, monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 12)
     texts = ["short", "a long text of some words", "\u0378 x", "", "more \U000e0fff\ufffe", "and so on and on", None, "é " * 5000, "end"]
-    for monkey, most in (("BLOCK_LENGTH", 3), ("BLOCK_BYTES", 9), ("WRITTEN", 1)):
+    for monkey, most in (("JOINED", 9), ("DECODED", 2), ("WRITTEN", 1), ("BLOCK_LENGTH", 3), ("BLOCK_BYTES", 9)):
         monkeypatch.setattr(bpe, monkey, most)
-        rows = bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN).collect()
+        rows = bpe.decode(bpe.encode(documents(texts), PATH, public_tokenizers.PATTERN), PATH).collect()
         assert len(rows) == len(texts)
         assert all(r.ids == " ".join(map(str, library.encode_ordinary(texts[r.doc_id] or ""))) for r in rows)
+        assert all(bytes(r.decoded).decode() == (texts[r.doc_id] or "") for r in rows)
 
 
 def test_texts_without_words(documents):
